@@ -27,11 +27,12 @@ def name_tokens(text: Column) -> Column:
 
 def unquote(text: Column, rounds: int = 8) -> Column:
     """Strips matching pairs of surrounding quotes, as often as they are nested."""
-    out = F.trim(text)
-    for _ in range(rounds):
+
+    def strip(out: Column, _: Column) -> Column:
         paired = out.rlike("(?s)^(\".*\"|'.*'|“.*”|‘.*’)$") & (F.length(out) >= 2)
-        out = F.when(paired, F.trim(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
-    return out
+        return F.when(paired, F.trim(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.trim(text), strip)
 
 
 def stable_color(name: Column) -> Column:

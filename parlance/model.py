@@ -17,6 +17,9 @@ MESSAGE_SCHEMA = (
     "is_edited boolean, is_system boolean, lang string, sentiment float, conversation_id int"
 )
 
+#: partition column of stored messages, year * 100 + month
+MONTH_KEY = "month_key"
+
 METRICS = ("messages", "words", "conversations")
 
 

@@ -7,21 +7,41 @@ the first tier that answers wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.names import fold, name_tokens
 
 
-def _latest(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(value, "pos").alias("hit"))
+def _fold(text: str) -> str:
+    """The driver-side twin of ``functions.names.fold``, for configuration values."""
+    return " ".join(text.upper().lower().split())
+
+
+def _words(text: str) -> list[str]:
+    return sorted(set(re.findall("[a-z0-9]+", _fold(text))))
+
+
+def _latest(pairs: Iterable[tuple]) -> dict:
+    """Of equal keys the last one configured."""
+    return dict(pairs)
 
 
-def _unique(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+def _unique(pairs: Iterable[tuple]) -> dict:
     """Keys that lead to exactly one value."""
-    found = df.groupBy(*keys).agg(F.min(value).alias("hit"), F.max(value).alias("other_"))
-    return found.filter(F.col("hit") == F.col("other_")).drop("other_")
+    found: dict = {}
+    for key, value in pairs:
+        found.setdefault(key, set()).add(value)
+    return {key: next(iter(values)) for key, values in found.items() if len(values) == 1}
+
+
+def _table(spark: SparkSession, found: dict, keys: list[str], hit: str) -> DataFrame:
+    rows = [((*key, value) if isinstance(key, tuple) else (key, value)) for key, value in found.items()]
+    return spark.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + f", hit {hit}")
 
 
 def _look_up(df: DataFrame, table: DataFrame, on: dict[str, str], name: str) -> DataFrame:
@@ -34,22 +54,26 @@ def _look_up(df: DataFrame, table: DataFrame, on: dict[str, str], name: str) ->
     return df.join(right, condition, "left").drop(*[f"{name}_{k}" for k in on.values()])
 
 
+def _only_one(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose rows all hold the same value."""
+    found = df.groupBy(*keys).agg(F.min(value).alias("hit"), F.max(value).alias("other_"))
+    return found.filter(F.col("hit") == F.col("other_")).drop("other_")
+
+
 def _fuzzy(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """(key, hit): names whose word set contains, or is contained in, that of one person only.
 
     Names and candidates meet on a shared word, so only pairs with something in
     common are ever formed.
     """
-    left = names.select("key", "words", F.explode("words").alias("word"))
-    right = candidates.select("pos", "who", F.size("words").alias("size"), F.explode("words").alias("word"))
+    left = names.select("key", F.size("words").alias("mine"), F.explode("words").alias("word"))
+    right = candidates.select("pos", "who", F.size("words").alias("theirs"), F.explode("words").alias("word"))
     pairs = left.join(right, "word").groupBy("key", "pos").agg(
-        F.first("who").alias("who"),
-        F.first(F.size("words")).alias("mine"),
-        F.first("size").alias("theirs"),
+        F.min("who").alias("who"), F.min("mine").alias("mine"), F.min("theirs").alias("theirs"),
         F.count(F.lit(1)).alias("shared"),
     )
     inside = pairs.filter((F.col("shared") == F.col("mine")) | (F.col("shared") == F.col("theirs")))
-    return _unique(inside, ["key"], F.col("who"))
+    return _only_one(inside, ["key"], "who")
 
 
 def resolve_people(people: DataFrame, config: Config) -> DataFrame:
@@ -60,15 +84,17 @@ def resolve_people(people: DataFrame, config: Config) -> DataFrame:
     spark = people.sparkSession
     if not config.people:
         return people.withColumn("canonical_name", F.col("display_name")).withColumn("color_hint", F.lit(""))
-    who = F.struct(F.col("person").alias("name"), F.col("hint").alias("hint"))
-    ident = config.identities_df(spark).withColumn("norm", fold(F.col("raw_id")))
-    persons = config.people_df(spark).withColumn("norm", fold(F.col("person")))
-    exact = _latest(ident, ["platform", "raw_id"], who)
-    same_platform = _latest(ident, ["platform", "norm"], who)
-    any_platform = _unique(ident, ["norm"], who)
-    by_name = _unique(persons, ["norm"], who)
-    ident_words = ident.select("pos", who.alias("who"), name_tokens(F.col("raw_id")).alias("words"))
-    name_words = persons.select("pos", who.alias("who"), name_tokens(F.col("person")).alias("words"))
+    who = "struct<name:string,hint:string>"
+    identities = [(i.platform, i.raw_id, (p.name, p.hint)) for p in config.people for i in p.identities]
+    exact = _table(spark, _latest(((pl, raw), w) for pl, raw, w in identities), ["platform", "raw_id"], who)
+    same_platform = _table(spark, _latest(((pl, _fold(raw)), w) for pl, raw, w in identities), ["platform", "norm"], who)
+    any_platform = _table(spark, _unique((_fold(raw), w) for _, raw, w in identities), ["norm"], who)
+    by_name = _table(spark, _unique((_fold(p.name), (p.name, p.hint)) for p in config.people), ["norm"], who)
+    candidate = f"pos int, who {who}, words array<string>"
+    ident_words = spark.createDataFrame([(n, w, _words(raw)) for n, (_, raw, w) in enumerate(identities)], candidate)
+    name_words = spark.createDataFrame(
+        [(n, (p.name, p.hint), _words(p.name)) for n, p in enumerate(config.people)], candidate
+    )
 
     norm_raw = fold(F.col("raw_id"))
     df = (
@@ -119,17 +145,19 @@ def source_platform(source: Column) -> Column:
 def resolve_themes(channels: DataFrame, config: Config) -> DataFrame:
     """Adds ``theme`` to rows with source_name and channel_name; unmatched channels are their own theme."""
     spark = channels.sparkSession
-    rules = config.theme_channels_df(spark)
-    if not any(t.channels for t in config.themes):
+    rules = [(src, ch, t.name) for t in config.themes for src, ch in t.channels]
+    if not rules:
         return channels.withColumn("theme", F.col("channel_name"))
-    rules = (
-        rules.withColumn("n_source", fold(F.col("source")))
-        .withColumn("n_channel", fold(F.col("channel")))
-        .withColumn("p", source_platform(F.col("source")))
+
+    def platform(source: str) -> str:
+        return _fold(source.split(":", 1)[0]) if ":" in source else ""
+
+    by_pair = _latest(((_fold(src), _fold(ch)), t) for src, ch, t in rules)
+    folded = _table(spark, by_pair, ["n_source", "n_channel"], "string")
+    pairs = spark.createDataFrame(
+        [(platform(src), src, ch, t) for (src, ch), t in by_pair.items()],
+        "p string, n_source string, n_channel string, t_ string",
     )
-    theme = F.col("theme")
-    folded = _latest(rules, ["n_source", "n_channel"], theme)
-    pairs = folded.withColumn("p", source_platform(F.col("n_source")))
     df = (
         channels.withColumn("ns_", fold(F.col("source_name")))
         .withColumn("nc_", fold(F.col("channel_name")))
@@ -139,18 +167,24 @@ def resolve_themes(channels: DataFrame, config: Config) -> DataFrame:
     prefixed = (
         df.filter(F.col("p_").isin("facebook", "signal"))
         .select("ns_", "nc_", "p_").distinct()
-        .join(pairs.select("p", "n_source", "n_channel", F.col("hit").alias("t_")), F.col("p_") == F.col("p"))
+        .join(pairs, F.col("p_") == F.col("p"))
         .filter(
             F.startswith(F.col("ns_"), F.col("n_source")) & F.startswith(F.col("nc_"), F.col("n_channel"))
         )
     )
     tiers = [
-        (_latest(rules, ["source", "channel"], theme), {"source_name": "source", "channel_name": "channel"}),
+        (
+            _table(spark, _latest(((src, ch), t) for src, ch, t in rules), ["source", "channel"], "string"),
+            {"source_name": "source", "channel_name": "channel"},
+        ),
         (folded, {"ns_": "n_source", "nc_": "n_channel"}),
-        (_unique(rules, ["p", "n_channel"], theme), {"p_": "p", "nc_": "n_channel"}),
-        (_unique(rules, ["n_channel"], theme), {"nc_": "n_channel"}),
         (
-            _unique(prefixed.select(F.col("ns_").alias("a"), F.col("nc_").alias("b"), "t_"), ["a", "b"], F.col("t_")),
+            _table(spark, _unique(((platform(src), _fold(ch)), t) for src, ch, t in rules), ["p", "n_channel"], "string"),
+            {"p_": "p", "nc_": "n_channel"},
+        ),
+        (_table(spark, _unique((_fold(ch), t) for _, ch, t in rules), ["n_channel"], "string"), {"nc_": "n_channel"}),
+        (
+            _only_one(prefixed.select(F.col("ns_").alias("a"), F.col("nc_").alias("b"), "t_"), ["a", "b"], "t_"),
             {"ns_": "a", "nc_": "b"},
         ),
     ]

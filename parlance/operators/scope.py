@@ -7,16 +7,23 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Chat, Filters, check_metric
+from ..model import MONTH_KEY, Chat, Filters, check_metric
 from .resolve import resolve_themes
 
 
 def in_dates(df: DataFrame, filters: Filters, ts: str = "ts") -> DataFrame:
-    """Both days inclusive. Plain comparisons, so they reach the Parquet scan."""
+    """Both days inclusive. Plain comparisons, so they reach the Parquet scan.
+
+    Stored messages carry the month they are partitioned by, which prunes folders.
+    """
     if filters.start is not None:
         df = df.filter(F.col(ts) >= F.lit(filters.start).cast("timestamp_ntz"))
+        if MONTH_KEY in df.columns:
+            df = df.filter(F.col(MONTH_KEY) >= filters.start.year * 100 + filters.start.month)
     if filters.end is not None:
         df = df.filter(F.col(ts) < F.lit(filters.end + timedelta(days=1)).cast("timestamp_ntz"))
+        if MONTH_KEY in df.columns:
+            df = df.filter(F.col(MONTH_KEY) <= filters.end.year * 100 + filters.end.month)
     return df
 
 

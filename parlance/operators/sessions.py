@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import boundary_number, micros
+from .numbering import running_total
 
 CONVERSATION_GAP_SECONDS = 30 * 60
 SESSION_GAP_MINUTES = 15
@@ -127,16 +128,10 @@ def conversation_buckets(messages: DataFrame) -> DataFrame:
     )
     seq = F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
     numbered = marked.withColumn("seq", seq)
-    channels = (
-        marked.groupBy("channel_id").agg(F.min("first").alias("first"), F.sum("opens").alias("n"))
-        .select(
-            "channel_id",
-            F.coalesce(
-                # one row per channel
-                F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ).alias("offset"),
-        )
-    )
+    channels = running_total(
+        marked.groupBy("channel_id").agg(F.min("first").alias("first"), F.sum("opens").alias("n")),
+        F.col("n"), F.col("first.ts"), ["first.id"], "offset",
+    ).select("channel_id", "offset")
     return numbered.join(channels, "channel_id").select(
         "channel_id", "slot", (F.col("seq") + F.col("offset")).cast("int").alias("conversation_id")
     )
