@@ -97,8 +97,11 @@ def canonical_domain(host: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-character pieces of the lower-cased text, in one linear pass."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+    """Distinct three-character pieces of the lower-cased text, in one linear pass.
+
+    The look-ahead reads a piece, the dot moves on by one whole character.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(...))."), F.lit(1)))
 
 
 def is_stop_word(word: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -24,16 +25,15 @@ def breadth(rows: DataFrame) -> DataFrame:
     by (person, channel) carries all of it.
     """
     per = rows.groupBy("person_id", "channel_id", "theme_id", "platform").agg(F.count(F.lit(1)).alias("n"))
-    totals = per.groupBy("person_id").agg(
+    # one row per channel of a person
+    share = F.col("n") / F.sum("n").over(W.partitionBy("person_id"))
+    return per.withColumn("share", share).groupBy("person_id").agg(
         F.sum("n").alias("message_count"),
         F.count(F.lit(1)).alias("channel_count"),
         F.count_distinct("theme_id").alias("theme_count"),
         F.count_distinct("platform").alias("platform_count"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
+        F.sum(F.col("share") * F.col("share")).alias("channel_hhi"),
     )
-    return totals.withColumn(
-        "channel_hhi", F.col("squares") / (F.col("message_count").cast("double") * F.col("message_count"))
-    ).drop("squares")
 
 
 def word_counts(chat: Chat, rows: DataFrame) -> DataFrame:
@@ -163,9 +163,7 @@ def theme_metadata(chat: Chat) -> DataFrame:
     """Themes in configuration order; those of the data only when none are configured."""
     if chat.config.themes:
         return chat.config.themes_df(chat.spark).orderBy("id")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("id"))
+    place = F.row_number().over(W.orderBy("id"))
     return chat.themes.select(place.alias("id"), "name", F.lit("").alias("emoji")).orderBy("id")
 
 
