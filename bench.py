@@ -59,7 +59,7 @@ def main() -> None:
         "metric": "total time of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
-    if os.environ.get("BENCH_SQL"):
+    if os.environ.get("BENCH_SQL") == "1":
         import duckdb
 
         con = duckdb.connect()
@@ -69,7 +69,7 @@ def main() -> None:
         out["sql"] = {}
         for name in HEADLINE:
             start = time.perf_counter()
-            con.execute(ORACLE[name]).fetch_arrow_table()
+            con.execute(ORACLE[name]).to_arrow_table()
             out["sql"][name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps(out))

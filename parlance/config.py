@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import local_frame
+
 IDENTITY_SCHEMA = "platform string, raw_id string, person string, hint string, is_bot boolean, pos int"
 PERSON_SCHEMA = "person string, hint string, color string, avatar string, is_bot boolean, pos int"
 THEME_CHANNEL_SCHEMA = "source string, channel string, theme string, theme_pos int, pos int"
@@ -75,22 +77,22 @@ class Config:
         for person in self.people:
             for ident in person.identities:
                 rows.append((ident.platform, ident.raw_id, person.name, person.hint, person.is_bot, len(rows)))
-        return spark.createDataFrame(rows, IDENTITY_SCHEMA)
+        return local_frame(spark, rows, IDENTITY_SCHEMA)
 
     def people_df(self, spark: SparkSession) -> DataFrame:
         rows = [(p.name, p.hint, p.color, p.avatar, p.is_bot, i) for i, p in enumerate(self.people)]
-        return spark.createDataFrame(rows, PERSON_SCHEMA)
+        return local_frame(spark, rows, PERSON_SCHEMA)
 
     def theme_channels_df(self, spark: SparkSession) -> DataFrame:
         rows = []
         for pos, theme in enumerate(self.themes, start=1):
             for source, channel in theme.channels:
                 rows.append((source, channel, theme.name, pos, len(rows)))
-        return spark.createDataFrame(rows, THEME_CHANNEL_SCHEMA)
+        return local_frame(spark, rows, THEME_CHANNEL_SCHEMA)
 
     def themes_df(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t.name, t.emoji) for i, t in enumerate(self.themes, start=1)]
-        return spark.createDataFrame(rows, THEME_SCHEMA)
+        return local_frame(spark, rows, THEME_SCHEMA)
 
 
 def _only(data: Any, allowed: set[str], where: str) -> dict:

@@ -14,7 +14,7 @@ the first k pieces are exact, so the loop always ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +28,8 @@ from ..session import pinned
 THRESHOLD = 0.72
 # ----------------------------------------------------------------------------
 
-PIECE_SCHEMA = "person_id int, piece int, n bigint, closed bigint, open_words array<string>, open_count bigint"
+PIECE_SCHEMA = "person_id int, backward boolean, piece int, n bigint, closed bigint, open_words array<string>, open_count bigint"
+PIECE = ["person_id", "backward", "piece"]
 
 
 def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFrame]:
@@ -36,6 +37,7 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
 
     A row with ``entry`` set holds the open stretch a piece starts with.
     """
+    columns = [*PIECE, "n", "closed", "open_words", "open_count"]
     current = None
     n = closed = count = 0
     words: set[str] = set()
@@ -43,7 +45,7 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
 
     def finish():
         if current is not None:
-            out.append((current[0], current[1], n, closed, sorted(words), count))
+            out.append((current[0], backward, current[1], n, closed, sorted(words), count))
 
     for pdf in batches:
         for person, piece, entry, tokens in zip(pdf["person_id"], pdf["piece"], pdf["entry"], pdf["tokens"]):
@@ -61,66 +63,78 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
                     closed += 1
                     words, count = set(), 0
         if len(out) > 1000:
-            yield pd.DataFrame(out, columns=["person_id", "piece", "n", "closed", "open_words", "open_count"])
+            yield pd.DataFrame(out, columns=columns)
             out = []
     finish()
-    yield pd.DataFrame(out, columns=["person_id", "piece", "n", "closed", "open_words", "open_count"])
+    yield pd.DataFrame(out, columns=columns)
 
 
-def _run(rows: DataFrame, backward: bool) -> DataFrame:
-    return rows.mapInPandas(lambda batches: _walk(batches, backward), PIECE_SCHEMA)
+def _order(backward: bool) -> list:
+    return [F.desc("ts"), F.desc("id")] if backward else [F.asc("ts"), F.asc("id")]
 
 
-def _score(rows: DataFrame, backward: bool) -> DataFrame:
-    """(person_id, n, score) for one reading direction; ``rows`` is pinned and range partitioned."""
-    order = [F.desc("ts"), F.desc("id")] if backward else [F.asc("ts"), F.asc("id")]
+def _both_ways(ordered: Callable[[bool], DataFrame]) -> DataFrame:
+    """Walks the rows of each reading direction."""
+
+    def one(backward: bool) -> DataFrame:
+        rows = ordered(backward).select("person_id", "piece", "entry", "tokens")
+        return rows.mapInPandas(lambda batches: _walk(batches, backward), PIECE_SCHEMA)
+
+    return one(False).unionByName(one(True))
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """(person_id, mtld); ``rows`` is pinned and range partitioned, ``piece`` being the partition."""
     fresh = F.lit(0).cast("bigint")
-    stream = rows.withColumn("entry", fresh)
+    nothing = F.array().cast("array<string>")
     pieces = pinned(
-        _run(stream.sortWithinPartitions("person_id", *order).select("person_id", "piece", "entry", "tokens"), backward)
+        _both_ways(lambda back: rows.withColumn("entry", fresh).sortWithinPartitions("person_id", *_order(back)))
     )
-    place = W.partitionBy("person_id").orderBy(F.desc("piece") if backward else F.asc("piece"))
+    place = W.partitionBy("person_id", "backward").orderBy(F.when(F.col("backward"), -F.col("piece")).otherwise(F.col("piece")))
 
     def inputs(done: DataFrame) -> DataFrame:
         """What each piece should have started with: the open stretch of the piece before it."""
         return done.select(
-            "person_id", "piece",
+            *PIECE,
             F.coalesce(F.lag("open_count").over(place), fresh).alias("entry"),
-            F.coalesce(F.lag("open_words").over(place), F.array().cast("array<string>")).alias("tokens"),
+            F.coalesce(F.lag("open_words").over(place), nothing).alias("tokens"),
         )
 
-    used = inputs(pieces).select("person_id", "piece", fresh.alias("entry"), F.array().cast("array<string>").alias("tokens"))
+    used = pieces.select(*PIECE, fresh.alias("entry"), nothing.alias("tokens"))
     while True:
         due = inputs(pieces)
-        changed = due.alias("d").join(used.alias("u"), ["person_id", "piece"]).filter(
-            (F.col("d.entry") != F.col("u.entry")) | (F.col("d.tokens") != F.col("u.tokens"))
-        ).select("person_id", "piece", F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
-        changed = pinned(changed)
+        changed = pinned(
+            due.alias("d").join(used.alias("u"), PIECE)
+            .filter((F.col("d.entry") != F.col("u.entry")) | (F.col("d.tokens") != F.col("u.tokens")))
+            .select(*PIECE, F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
+        )
         if changed.isEmpty():
             break
-        again = (
-            rows.join(changed.select("person_id", "piece"), ["person_id", "piece"], "left_semi")
-            .select("person_id", "piece", "ts", "id", fresh.alias("entry"), "tokens", F.lit(1).alias("rank"))
-            .unionByName(
-                changed.select(
-                    "person_id", "piece", F.lit(None).cast("timestamp_ntz").alias("ts"),
-                    F.lit(None).cast("string").alias("id"), "entry", "tokens", F.lit(0).alias("rank"),
+
+        def again(back: bool) -> DataFrame:
+            starts = changed.filter(F.col("backward") == back)
+            return (
+                rows.join(starts.select("person_id", "piece"), ["person_id", "piece"], "left_semi")
+                .select("person_id", "piece", "ts", "id", fresh.alias("entry"), "tokens", F.lit(1).alias("rank"))
+                .unionByName(
+                    starts.select(
+                        "person_id", "piece", F.lit(None).cast("timestamp_ntz").alias("ts"),
+                        F.lit(None).cast("string").alias("id"), "entry", "tokens", F.lit(0).alias("rank"),
+                    )
                 )
+                .repartition("person_id", "piece")
+                .sortWithinPartitions("person_id", "piece", "rank", *_order(back))
             )
-            .repartition("person_id", "piece")
-            .sortWithinPartitions("person_id", "piece", "rank", *order)
-            .select("person_id", "piece", "entry", "tokens")
-        )
-        redone = _run(again, backward)
-        used = pinned(due)
-        pieces = pinned(
-            pieces.join(changed.select("person_id", "piece"), ["person_id", "piece"], "left_anti").unionByName(redone)
-        )
-    last = F.min_by if backward else F.max_by
-    per = pieces.groupBy("person_id").agg(
+
+        kept = pieces.join(changed.select(*PIECE), PIECE, "left_anti")
+        used, pieces = due, pinned(kept.unionByName(_both_ways(again)))
+    per = pieces.groupBy("person_id", "backward").agg(
         F.sum("n").alias("n"),
         F.sum("closed").alias("closed"),
-        last(F.struct(F.size("open_words").alias("types"), F.col("open_count").alias("count")), "piece").alias("open"),
+        F.max_by(
+            F.struct(F.size("open_words").alias("types"), F.col("open_count").alias("count")),
+            F.when(F.col("backward"), -F.col("piece")).otherwise(F.col("piece")),
+        ).alias("open"),
     )
     rest = F.when(
         F.col("open.count") > 0, (1.0 - F.col("open.types") / F.col("open.count")) / F.lit(1.0 - THRESHOLD)
@@ -130,7 +144,8 @@ def _score(rows: DataFrame, backward: bool) -> DataFrame:
         F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, 1.0)
         .when(factors == 0.0, F.col("n").cast("double")).otherwise(F.col("n") / factors)
     )
-    return per.select("person_id", score.alias("score"))
+    ahead, back = F.when(~F.col("backward"), score), F.when(F.col("backward"), score)
+    return per.groupBy("person_id").agg(((F.max(ahead) + F.max(back)) / 2.0).alias("mtld"))
 
 
 def mtld(rows: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -139,15 +154,15 @@ def mtld(rows: DataFrame, pieces: int | None = None) -> DataFrame:
     ``pieces`` is the number of range partitions; by default the shuffle setting.
     """
     spark = rows.sparkSession
-    words = rows.select(
-        F.col("person_id").cast("int").alias("person_id"), "ts", "id",
-        F.filter(tx.tokens(F.col("content")), lambda w: ~tx.is_stop_word(w)).alias("tokens"),
-    ).filter(F.size("tokens") > 0)
     count = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pinned(
-        words.repartitionByRange(count, "person_id", "ts", "id").withColumn("piece", F.spark_partition_id())
+    written = rows.filter(F.coalesce("content", F.lit("")) != "").select(
+        F.col("person_id").cast("int").alias("person_id"), "ts", "id", "content"
     )
-    forward, reverse = _score(ranged, False), _score(ranged, True)
-    return forward.join(reverse.withColumnRenamed("score", "back"), "person_id").select(
-        "person_id", ((F.col("score") + F.col("back")) / 2.0).alias("mtld")
+    words = F.filter(tx.tokens(F.col("content")), lambda w: ~tx.is_stop_word(w))
+    # text is cut up after the shuffle, so that sampling the ranges does not pay for it
+    ranged = pinned(
+        written.repartitionByRange(count, "person_id", "ts", "id")
+        .select("person_id", "ts", "id", words.alias("tokens"), F.spark_partition_id().alias("piece"))
+        .filter(F.size("tokens") > 0)
     )
+    return _scores(ranged)

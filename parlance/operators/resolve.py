@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.names import fold, name_tokens
+from ..session import local_frame
 
 
 def _fold(text: str) -> str:
@@ -41,7 +42,7 @@ def _unique(pairs: Iterable[tuple]) -> dict:
 
 def _table(spark: SparkSession, found: dict, keys: list[str], hit: str) -> DataFrame:
     rows = [((*key, value) if isinstance(key, tuple) else (key, value)) for key, value in found.items()]
-    return spark.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + f", hit {hit}")
+    return local_frame(spark, rows, ", ".join(f"{k} string" for k in keys) + f", hit {hit}")
 
 
 def _look_up(df: DataFrame, table: DataFrame, on: dict[str, str], name: str) -> DataFrame:
@@ -91,8 +92,9 @@ def resolve_people(people: DataFrame, config: Config) -> DataFrame:
     any_platform = _table(spark, _unique((_fold(raw), w) for _, raw, w in identities), ["norm"], who)
     by_name = _table(spark, _unique((_fold(p.name), (p.name, p.hint)) for p in config.people), ["norm"], who)
     candidate = f"pos int, who {who}, words array<string>"
-    ident_words = spark.createDataFrame([(n, w, _words(raw)) for n, (_, raw, w) in enumerate(identities)], candidate)
-    name_words = spark.createDataFrame(
+    ident_words = local_frame(spark, [(n, w, _words(raw)) for n, (_, raw, w) in enumerate(identities)], candidate)
+    name_words = local_frame(
+        spark,
         [(n, (p.name, p.hint), _words(p.name)) for n, p in enumerate(config.people)], candidate
     )
 
@@ -154,7 +156,8 @@ def resolve_themes(channels: DataFrame, config: Config) -> DataFrame:
 
     by_pair = _latest(((_fold(src), _fold(ch)), t) for src, ch, t in rules)
     folded = _table(spark, by_pair, ["n_source", "n_channel"], "string")
-    pairs = spark.createDataFrame(
+    pairs = local_frame(
+        spark,
         [(platform(src), src, ch, t) for (src, ch), t in by_pair.items()],
         "p string, n_source string, n_channel string, t_ string",
     )

@@ -23,6 +23,9 @@ _HEAD = f"""
 SELECT CAST(e.event_id AS STRING) AS id, {CHANNEL_OF_EVENT} AS channel_id,
   CAST(e.user_id AS INT) AS person_id, e.ts AS ts"""
 
+# documents are as many as events at scale, so both are partitioned by the key rather than one being copied around
+_JOIN_HINT = "/*+ MERGE(d) */ "
+
 _TAIL = """
   CASE WHEN e.event_id % 9 = 0 AND e.event_id > 0 THEN CAST(e.event_id - 1 AS STRING) END AS reply_to_id,
   CAST(CASE WHEN e.event_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS attachment_count,
@@ -39,7 +42,7 @@ _TAIL = """
 FROM events e"""
 
 MESSAGES_TEXT = (
-    _HEAD
+    _HEAD.replace("SELECT ", "SELECT " + _JOIN_HINT, 1)
     + ",\n  NULLIF(concat_ws(' ', d.text, p.url), '') AS content,"
     + _TAIL
     + " LEFT JOIN documents d ON d.doc_id * 10 = e.event_id LEFT JOIN pages p ON p.page_id * 40 = e.event_id"
@@ -105,11 +108,15 @@ DEMO_CONFIG = Config(
 #: without a display name for the Facebook folder and without bots or people limits
 OPEN_CONFIG = Config(themes=DEMO_CONFIG.themes)
 
-TABLES = ("events", "documents", "pages")
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+    return {name: spark.read.schema(ddl).parquet(f"{sf_dir}/{name}.parquet") for name, ddl in SCHEMAS.items()}
 
 
 def sql_on(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
@@ -119,6 +126,39 @@ def sql_on(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(sql)
 
 
+class DemoChat(Chat):
+    """The dataset over one folder; a table is set up when a query first asks for it."""
+
+    VIEWS = {
+        "channels": CHANNELS, "sources": SOURCES, "people": PEOPLE, "themes": THEMES, "platform_identities": IDENTITIES,
+        "person_name_changes": PERSON_CHANGES, "channel_name_changes": CHANNEL_CHANGES, "member_events": MEMBER_EVENTS,
+    }
+
+    def __init__(self, spark: SparkSession, sf_dir: str, config: Config, text: bool, counts: bool, conversations: bool):
+        self._tables = tables(spark, sf_dir)
+        self.config = config
+        messages = sql_on(spark, MESSAGES_TEXT if text or counts else MESSAGES_PLAIN, **self._tables)
+        if counts:
+            messages = messages.withColumn("word_count", tx.word_count(F.col("content"))).withColumn(
+                "char_count", tx.char_count(F.col("content"))
+            )
+        else:
+            messages = messages.withColumn("word_count", F.lit(None).cast("int"))
+        if not text and not counts:
+            messages = messages.withColumn("content", F.lit(None).cast("string"))
+        if conversations:
+            messages = assign_conversations(messages)
+        else:
+            messages = messages.withColumn("conversation_id", F.lit(None).cast("int"))
+        self.messages = messages
+
+    def __getattribute__(self, name: str):
+        views = DemoChat.VIEWS
+        if name in views and name not in object.__getattribute__(self, "__dict__"):
+            self.__dict__[name] = sql_on(self.messages.sparkSession, views[name], **self._tables)
+        return object.__getattribute__(self, name)
+
+
 def demo_chat(
     spark: SparkSession,
     sf_dir: str,
@@ -129,33 +169,4 @@ def demo_chat(
     config: Config = DEMO_CONFIG,
 ) -> Chat:
     """The dataset over one folder. Text, word counts and conversation ids only where a query needs them."""
-    t = tables(spark, sf_dir)
-
-    def view(sql: str) -> DataFrame:
-        return sql_on(spark, sql, **t)
-
-    messages = view(MESSAGES_TEXT if text or counts else MESSAGES_PLAIN)
-    if counts:
-        messages = messages.withColumn("word_count", tx.word_count(F.col("content"))).withColumn(
-            "char_count", tx.char_count(F.col("content"))
-        )
-    else:
-        messages = messages.withColumn("word_count", F.lit(None).cast("int"))
-    if not text and not counts:
-        messages = messages.withColumn("content", F.lit(None).cast("string"))
-    if conversations:
-        messages = assign_conversations(messages)
-    else:
-        messages = messages.withColumn("conversation_id", F.lit(None).cast("int"))
-    return Chat(
-        messages=messages,
-        channels=view(CHANNELS),
-        sources=view(SOURCES),
-        people=view(PEOPLE),
-        themes=view(THEMES),
-        config=config,
-        platform_identities=view(IDENTITIES),
-        person_name_changes=view(PERSON_CHANGES),
-        channel_name_changes=view(CHANNEL_CHANGES),
-        member_events=view(MEMBER_EVENTS),
-    )
+    return DemoChat(spark, sf_dir, config, text, counts, conversations)

@@ -874,4 +874,6 @@ add(
     ),
 )
 
+from . import registry_ingest  # noqa: E402,F401  (adds the queries over rendered exports)
+
 __all__ = ["ORACLE", "QUERIES", "add", "chat_query", "tx"]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 
 def get_spark(app: str = "parlance", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -49,3 +52,17 @@ def pinned(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes partitions and cuts lineage, survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small driver-side table. Sent as Arrow, so Catalyst sees local data and its true size."""
+    schema = DataType.fromDDL(ddl)
+    columns = [pa.array([_plain(row[i], f.dataType) for row in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema=schema)
+
+
+def _plain(value, data_type):
+    """Tuples become named fields where the type is a struct."""
+    if isinstance(data_type, StructType) and value is not None:
+        return {f.name: v for f, v in zip(data_type, value)}
+    return value

@@ -20,25 +20,28 @@ from .seeds import Export, first_people
 # --- fixed values, must equal the reference's for equal results -------------
 EPOCH_MS = 1_420_070_400_000
 REPLY_PATTERN = r"scrollToMessage\(event, ['\"](\d+)['\"]\)"
+# A match that begins with "anything" can always begin where its line begins, so only
+# line starts are tried: long texts stay linear. Only a line feed ends a line.
+LINE = r"(?iud)(?:^|\n)"
 CHANNEL_RENAME = (
-    r"(?iu)changed the channel name to (.+)$",
-    r"(?iu)changed the channel name:\s*(.+)$",
+    r"(?iud)changed the channel name to (.+)$",
+    r"(?iud)changed the channel name:\s*(.+)$",
 )
 NICKNAME = (
-    r"(?iu)changed their nickname to (.+)$",
-    r"(?iu)changed his nickname to (.+)$",
-    r"(?iu)changed her nickname to (.+)$",
-    r"(?iu)set their nickname to (.+)$",
+    r"(?iud)changed their nickname to (.+)$",
+    r"(?iud)changed his nickname to (.+)$",
+    r"(?iud)changed her nickname to (.+)$",
+    r"(?iud)set their nickname to (.+)$",
 )
 PHOTO = (
-    r"(?iu)(.+?) changed the (?:server|group|channel) (?:icon|photo|avatar)(?: to)?\.?$",
-    r"(?iu)(.+?) updated the (?:server|group|channel) (?:icon|photo|avatar)\.?$",
+    LINE + r"(.+?) changed the (?:server|group|channel) (?:icon|photo|avatar)(?: to)?\.?$",
+    LINE + r"(.+?) updated the (?:server|group|channel) (?:icon|photo|avatar)\.?$",
 )
 EMOJI = (
-    r"(?iu)(.+?) added (?:the )?(?:emoji|reaction) (.+)\.?$",
-    r"(?iu)(.+?) set the group emoji to (.+)\.?$",
+    LINE + r"(.+?) added (?:the )?(?:emoji|reaction) (.+)\.?$",
+    LINE + r"(.+?) set the group emoji to (.+)\.?$",
 )
-POLL = (r"(?iu)(.+?) created a poll(?:[:\s].+)?$", r"(?iu)()poll_question_text$")
+POLL = (LINE + r"(.+?) created a poll(?:[:\s].+)?$", r"(?iud)()poll_question_text$")
 # ----------------------------------------------------------------------------
 
 RAW_SCHEMA = (
