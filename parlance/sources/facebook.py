@@ -312,13 +312,13 @@ def nickname_event(text: Column) -> Column:
     return F.when(found["nickname"] != "", found)
 
 
-def is_system_text(content: Column) -> Column:
-    text = squeeze(content)
+def is_system_text(text: Column) -> Column:
+    """Whether single-spaced text is a notice of the platform."""
     said = (
         _any(text, GROUP_NAME) | member_event(text).isNotNull() | nickname_event(text).isNotNull()
         | _any(text, OTHER_SYSTEM)
     )
-    return (content != "") & said
+    return (text != "") & said
 
 
 # -- aliases -----------------------------------------------------------------
@@ -535,7 +535,8 @@ def parse_rows(files: DataFrame) -> DataFrame:
     chat = F.element_at(F.split("path", "/"), -2)
     body = cleaned_body(F.col("body"), F.col("attachments"))
     rows = raw.withColumn("chat", chat).withColumn("b", body).select("*", "b.*").drop("b")
-    rows = rows.withColumn("said", squeeze(F.when(F.col("content") != "", F.col("content")).otherwise(F.col("box_text"))))
+    rows = rows.withColumn("text", squeeze(F.col("content")))
+    rows = rows.withColumn("said", F.when(F.col("content") != "", F.col("text")).otherwise(squeeze(F.col("box_text"))))
     said = F.col("said")
     rename, rename_actor = group_rename(said)
     tags = F.nullif("reaction_classes", F.lit(0))
@@ -544,7 +545,7 @@ def parse_rows(files: DataFrame) -> DataFrame:
         "attachment_count", "attachment_preview",
         F.coalesce(tags, "reactions_in_text", F.size("reaction_items")).cast("int").alias("reaction_count"),
         ranked_summary(F.transform("reaction_items", lambda t: reaction_emoji(t))).alias("reaction_summary"),
-        is_system_text(F.col("content")).alias("is_system"),
+        is_system_text(F.col("text")).alias("is_system"),
         rename.alias("rename"), rename_actor.alias("rename_actor"),
         member_event(said).alias("member"), nickname_event(said).alias("nick"),
         F.sha1(F.concat_ws("\x1f", F.col("author"), iso_text(F.col("ts")), F.col("content"))).alias("id"),

@@ -213,13 +213,15 @@ def group_name_change(content: Column) -> Column:
 
 
 def is_system_text(content: Column) -> Column:
-    text = squeeze(F.coalesce(content, F.lit("")))
-    said = text.rlike(SYSTEM[0])
-    for pattern in SYSTEM[1:]:
-        said = said | text.rlike(pattern)
-    # a group name change always contains one of these phrases
-    named = F.lower(text).rlike(r"(named the group|group (name|title) to) ") & group_name_change(text).isNotNull()
-    return (F.coalesce(content, F.lit("")) != "") & (said | named)
+    def said(text: Column) -> Column:
+        notice = text.rlike(SYSTEM[0])
+        for pattern in SYSTEM[1:]:
+            notice = notice | text.rlike(pattern)
+        # a group name change always contains one of these phrases
+        named = F.lower(text).rlike(r"(named the group|group (name|title) to) ") & group_name_change(text).isNotNull()
+        return (text != "") & (notice | named)
+
+    return let(squeeze(F.coalesce(content, F.lit(""))), said)
 
 
 def admitted_chats(members: DataFrame, config: Config) -> DataFrame:
