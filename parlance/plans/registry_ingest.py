@@ -16,6 +16,7 @@ from ..sources import archives, media, pages
 from ..sources.discord import read_discord
 from ..sources.facebook import read_facebook
 from ..sources.signal import read_signal
+from ..sources.signal_backup import read_signal_backup
 from . import build, demo, oracle
 from .registry import add
 
@@ -246,6 +247,51 @@ add(
     lambda spark, sf: read_signal(signal_files(spark, sf), demo.DEMO_CONFIG).channels.select("raw_id", "name"),
 )
 
+
+
+def backup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup with a group chat per channel, a recipient per person, and an item per message."""
+    c = demo.demo_chat(spark, sf_dir, text=True)
+    n = F.col("id").cast("bigint")
+    text = F.when(n % 40 == 5, F.concat(F.lit("Ann named the group Room "), (n % 3).cast("string"))).otherwise(F.col("content"))
+    reactions = F.when(F.col("reaction_count") > 0, F.transform(F.sequence(F.lit(1), F.col("reaction_count")), lambda i: F.struct(F.when(i % 2 == 0, "👍").otherwise("🎉").alias("emoji"))))
+    item = F.struct(
+        F.col("channel_id").cast("string").alias("chatId"), F.concat(F.lit("p"), "person_id").alias("authorId"),
+        F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("dateSent"),
+        F.struct(F.struct(text.alias("body")).alias("text"), reactions.alias("reactions")).alias("standardMessage"),
+    )
+    items = c.messages.select(F.to_json(F.struct(item.alias("chatItem"))).alias("value"))
+    who = F.struct(F.concat(F.lit("p"), "id").alias("id"), F.struct(F.concat(F.lit("aci-"), "id").alias("aci"), F.col("display_name").alias("profileGivenName")).alias("contact"))
+    people = c.people.select(F.to_json(F.struct(who.alias("recipient"))).alias("value"))
+    title = F.struct(F.struct(F.struct(F.col("name").alias("title")).alias("title")).alias("snapshot"))
+    group = F.struct(F.concat(F.lit("g"), "id").alias("id"), title.alias("group"))
+    groups = c.channels.select(F.to_json(F.struct(group.alias("recipient"))).alias("value"))
+    chat = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.lit("g"), "id").alias("recipientId"))
+    chats = c.channels.select(F.to_json(F.struct(chat.alias("chat"))).alias("value"))
+    return items.unionByName(people).unionByName(groups).unionByName(chats)
+
+
+_BACKUP = _M + (
+    ", said AS (SELECT *, date_trunc('millisecond', ts) AS ms, CASE WHEN CAST(id AS BIGINT) % 40 = 5 THEN 'Ann named the group Room ' || "
+    "CAST(CAST(id AS BIGINT) % 3 AS STRING) ELSE coalesce(content, '') END AS body FROM messages), "
+    "titled AS (SELECT channel_id, ms, 'Room ' || CAST(CAST(id AS BIGINT) % 3 AS STRING) AS name FROM said WHERE CAST(id AS BIGINT) % 40 = 5)"
+)
+add(
+    "signal_backup_messages",
+    _BACKUP + "SELECT CAST(s.channel_id AS STRING) AS channel_raw_id, (SELECT arg_max(name, ms) FROM titled t WHERE t.channel_id = s.channel_id) AS channel_name, "
+    "'aci-' || CAST(person_id AS STRING) AS person_raw_id, ms AS ts, body AS content, reaction_count, CASE reaction_count WHEN 1 THEN '🎉×1' WHEN 2 THEN '🎉×1 👍×1' "
+    "WHEN 3 THEN '🎉×2 👍×1' END AS reaction_summary, CAST(id AS BIGINT) % 40 = 5 AS is_system FROM said s",
+    lambda spark, sf: read_signal_backup(backup_lines(spark, sf), "backup").messages.select(
+        "channel_raw_id", "channel_name", "person_raw_id", "ts", "content", "reaction_count", "reaction_summary", "is_system"
+    ),
+)
+add(
+    "signal_backup_titles",
+    _BACKUP + "SELECT CAST(channel_id AS STRING) AS entity_raw_id, prev AS previous_name, name AS new_name, ms AS ts FROM (SELECT *, lag(name) OVER (PARTITION BY channel_id ORDER BY ms, name) "
+    "AS prev FROM titled) WHERE prev IS NULL OR prev <> name",
+    lambda spark, sf: read_signal_backup(backup_lines(spark, sf), "backup").name_changes.select("entity_raw_id", "previous_name", "new_name", "ts"),
+)
+
 # -- pages, media, archives --------------------------------------------------
 add(
     "page_previews",

@@ -10,7 +10,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -124,11 +124,11 @@ def _title_updates(items: DataFrame) -> DataFrame:
     return items.select("chat", "ts", "pos", "payload", F.explode(names).alias("name"))
 
 
-def read_signal_backup(
-    spark: SparkSession, path: str, source: str, identities: set[str] | None = None
-) -> Export:
-    """Group chats of a backup. With ``identities``, only chats with at least two of them."""
-    lines = spark.read.text(path)
+def read_signal_backup(lines: DataFrame, source: str, identities: set[str] | None = None) -> Export:
+    """Group chats of a backup from its lines, as ``spark.read.text`` gives them.
+
+    With ``identities``, only chats with at least two of them.
+    """
     records = lines.select(F.from_json("value", RECORD).alias("r"), "value").select("r.*", "value")
     # one account record per backup
     account = records.filter("account is not null").select("account.*").head()
@@ -174,7 +174,7 @@ def read_signal_backup(
         .withColumn("person_name", F.coalesce("display_name", "author_id"))
     )
     source_name, signal, none = F.lit(f"Signal: {source}"), F.lit("signal"), F.lit(None).cast("string")
-    ord_ = F.struct(F.lit(2).alias("rank"), F.lit(path).alias("path"), "pos")
+    ord_ = F.struct(F.lit(2).alias("rank"), F.lit(source).alias("path"), "pos")
 
     titles = title_changes(_title_updates(items))
     final = titles.groupBy("chat").agg(F.max_by("name", F.struct("ts", casefold(F.col("name")), "pos")).alias("last"))
@@ -214,7 +214,7 @@ def read_signal_backup(
         F.lit(False).alias("is_edited"), is_system_text(F.col("content")).alias("is_system"), ord_.alias("ord"),
     )
     # members and authors; members nobody described stand for themselves
-    zero = F.struct(F.lit(2).alias("rank"), F.lit(path).alias("path"), F.lit(-1).cast("bigint").alias("pos"))
+    zero = F.struct(F.lit(2).alias("rank"), F.lit(source).alias("path"), F.lit(-1).cast("bigint").alias("pos"))
     listed = members.join(person, "recipient_id", "left").select(
         F.coalesce("raw_id", "stable").alias("raw_id"), F.coalesce("display_name", "stable").alias("display_name"), zero.alias("ord")
     )

@@ -32,7 +32,7 @@ def write(tmp_path):
 
 
 def test_backup(spark, tmp_path):
-    export = read_signal_backup(spark, write(tmp_path), "backup")
+    export = read_signal_backup(spark.read.text(write(tmp_path)), "backup")
     rows = {r.ts: r for r in export.messages.collect()}
     assert len(rows) == 5
     first = rows[datetime(2020, 10, 9, 19, 50, 50, 123000)]
@@ -55,6 +55,6 @@ def test_backup(spark, tmp_path):
 
 
 def test_backup_filter(spark, tmp_path):
-    path = write(tmp_path)
-    assert read_signal_backup(spark, path, "b", {"aaa", "ME.01"}).messages.count() == 5
-    assert read_signal_backup(spark, path, "b", {"aaa", "PPP"}).messages.count() == 0
+    lines = spark.read.text(write(tmp_path))
+    assert read_signal_backup(lines, "b", {"aaa", "ME.01"}).messages.count() == 5
+    assert read_signal_backup(lines, "b", {"aaa", "PPP"}).messages.count() == 0
