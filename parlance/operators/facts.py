@@ -52,11 +52,18 @@ def facts_valid(chat: Chat, metadata: DataFrame | None) -> bool:
     return bool(version) and version[0][0] == tx.FACT_VERSIONS["fact_schema_version"]
 
 
-def with_tokens(chat: Chat, rows: DataFrame) -> DataFrame:
-    """Scoped messages times their tokens, column ``token``; from the stored table when there is one."""
-    if chat.tokens is not None:
-        return rows.join(chat.tokens.select(F.col("message_id").alias("id"), "token"), "id")
-    return rows.withColumn("token", F.explode(tx.tokens(F.col("content"))))
+def with_tokens(chat: Chat, rows: DataFrame, word: str | None = None) -> DataFrame:
+    """Scoped messages times their tokens, column ``token``; with ``word`` only that token.
+
+    For one word the stored table answers: it is clustered by token, and what is
+    left of it joins cheaply. For all words the text is cut up again, since the
+    token table is as large as the text and joining it would shuffle both.
+    """
+    if word is not None and chat.tokens is not None:
+        hits = chat.tokens.filter(F.col("token") == word).select(F.col("message_id").alias("id"), "token")
+        return rows.join(hits, "id")
+    found = rows.withColumn("token", F.explode(tx.tokens(F.col("content"))))
+    return found if word is None else found.filter(F.col("token") == word)
 
 
 def with_domains(chat: Chat, rows: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def word_over_time(chat: Chat, word: str, filters=Filters()) -> DataFrame:
 
 
 def _uses(chat: Chat, word: str, filters: Filters) -> DataFrame:
-    return with_tokens(chat, scope(chat, filters)).filter(F.col("token") == tx.normalise_word(word))
+    return with_tokens(chat, scope(chat, filters), tx.normalise_word(word))
 
 
 def word_people(chat: Chat, word: str, filters=Filters(), limit: int = 10) -> DataFrame:

@@ -472,6 +472,22 @@ add(
     ),
     chat_query(lambda c: words.word_people(c, _WORD), text=True),
 )
+add(
+    "word_people_stored_facts",
+    with_(
+        f"SELECT p.id, p.display_name, p.color, COUNT(*) AS count FROM tokens t JOIN people p ON p.id = t.person_id "
+        f"WHERE token = '{_WORD}' GROUP BY ALL ORDER BY count DESC, display_name LIMIT 10", extra=oracle.TOKEN_CTE,
+    ),
+    chat_query(lambda c: words.word_people(with_facts(c), _WORD), text=True),
+)
+add(
+    "most_mentioned_stored_facts",
+    with_(
+        "SELECT '@' || mention AS mention, COUNT(*) AS count FROM mentions GROUP BY 1 ORDER BY count DESC, mention LIMIT 200",
+        extra=oracle.MENTION_CTE,
+    ),
+    chat_query(lambda c: links.most_mentioned(with_facts(c)), text=True),
+)
 add(
     "word_chats",
     with_(
