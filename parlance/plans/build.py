@@ -17,7 +17,7 @@ from ..operators.people import person_stats
 from ..operators.reactions import reaction_events
 from ..operators.resolve import resolve_people, resolve_themes
 from ..operators.sessions import assign_conversations, conversation_table
-from ..session import pinned
+from ..session import pinned, use_utc
 from ..sources.discord import read_discord
 from ..sources.facebook import read_facebook
 from ..sources.files import discover_exports, read_files
@@ -252,6 +252,7 @@ def build(
     is replaced. A failed build leaves the current one as it was and removes its
     own files. Returns the folder of the new tables.
     """
+    use_utc(spark)
     out = out.rstrip("/")
     fs, pointer = _fs(spark, f"{out}/{POINTER}")
     if fs.exists(pointer) and not overwrite:
@@ -293,6 +294,7 @@ def current_folder(spark: SparkSession, out: str) -> str:
 
 def open_build(spark: SparkSession, out: str, config: Config = Config()) -> Chat:
     """The current tables. Stored facts are used only when all of them are there in the right version."""
+    use_utc(spark)
     folder = current_folder(spark, out)
 
     def table(name: str) -> DataFrame | None:

@@ -13,6 +13,7 @@ from ..config import Config, Identity, PersonRule, ThemeRule
 from ..functions import text as tx
 from ..model import Chat
 from ..operators.sessions import assign_conversations
+from ..session import use_utc
 
 CHANNEL_OF_EVENT = (
     "CAST(CASE e.event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 "
@@ -116,6 +117,7 @@ SCHEMAS = {
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    use_utc(spark)
     return {name: spark.read.schema(ddl).parquet(f"{sf_dir}/{name}.parquet") for name, ddl in SCHEMAS.items()}
 
 

@@ -48,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def use_utc(spark: SparkSession) -> None:
+    """Time stamps carry no zone and are read as UTC, so the session must not shift them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes partitions and cuts lineage, survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
