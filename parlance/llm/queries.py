@@ -5,20 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontaminate, language_id, mixing, simhash
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out(F.col("doc_id"))
+    dictionaries = language_id.fit(docs.filter(~F.coalesce(held, F.lit(False))))
+    return language_id.identify(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), dictionaries).drop("text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Query] = {
+    "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
