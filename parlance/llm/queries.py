@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, mixing, simhash, suffix_dedup
+from . import chain_dedup, decontaminate, embedding_dedup, language_id, mixing, simhash, suffix_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_chain_dedup": op9_chain_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {
