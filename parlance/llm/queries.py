@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chain_dedup, decontaminate, embedding_dedup, language_id, mixing, simhash, suffix_dedup
+from . import chain_dedup, decontaminate, embedding_dedup, html_extract, language_id, mixing, simhash, suffix_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = html_extract.extract(pages, html_extract.fit(pages))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_html_extract": op6_html_extract,
     "op7_decontaminate": op7_decontaminate,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chain_dedup": op9_chain_dedup,
