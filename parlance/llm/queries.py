@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chain_dedup, decontaminate, embedding_dedup, html_extract, language_id, mixing, simhash, suffix_dedup
+from . import (
+    chain_dedup, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash, suffix_dedup, url_filter,
+)
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("sentence_ids").cast("bigint").alias("n_sentences"),
+        F.array_join("left_over", ",").alias("left_over"),
+    )
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = url_filter.demo_captures(pages, table(spark, sf_dir, "events"))
+    judged = url_filter.evaluate(captures, url_filter.demo_entries(pages))
+    return judged.select("page_id", "url", F.array_join("lists", ",").alias("lists"), "n_entries", "blocked")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"])
@@ -60,6 +77,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
+    "op3_url_filter": op3_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
@@ -70,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
