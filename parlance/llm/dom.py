@@ -137,6 +137,8 @@ def parse(source: str | None) -> Page:
         page.bits.append(bits)
         page.above.append(page.above[up] | page.bits[up])
         page.label.append(label or page.label[up])
+        if tag == "br":
+            page.texts.append((up, len(page.tag), "\n"))
         if tag in VOID or m[0].endswith("/>") and tag not in ENDS_P:
             continue
         if tag in RAW:  # nothing in it is text of the page

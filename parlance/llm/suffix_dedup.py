@@ -137,11 +137,18 @@ def _runs(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray)
     return pd.DataFrame({"doc": doc[head], "tag": tag[head], "first": first[head], "last": stop, "trigger": np.full(len(head), -1)})
 
 
+def _changes(column: np.ndarray) -> np.ndarray:
+    """Where a sorted column has a value that the row before has not."""
+    new = np.ones(len(column), bool)
+    new[1:] = column[1:] != column[:-1]
+    return new
+
+
 def _repeats(keys: list[np.ndarray], doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort order by (keys, doc, tag, at) without repeated places, and which begin a new key; of each key alone, the first key too."""
     order = np.lexsort((at, tag, doc, *keys[::-1]))
     cols = [c[order] for c in (*keys, doc, tag, at)]
-    differs = [np.concatenate(([True], c[1:] != c[:-1])) for c in cols]
+    differs = [_changes(c) for c in cols]
     keep = np.logical_or.reduce(differs)
     order, differs = order[keep], [d[keep] for d in differs]
     new = np.logical_or.reduce(differs[: len(keys)])
