@@ -25,14 +25,18 @@ def name_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def unquote(text: Column, rounds: int = 8) -> Column:
-    """Strips matching pairs of surrounding quotes, as often as they are nested."""
+def unquote(text: Column) -> Column:
+    """Strips matching pairs of surrounding quotes, as often as they are nested.
+
+    There are no more pairs than quotes in front.
+    """
+    rounds = F.greatest(F.lit(1), F.length(F.regexp_extract(text, "^[\\s\"'“‘]*", 0)))
 
     def strip(out: Column, _: Column) -> Column:
         paired = out.rlike("(?s)^(\".*\"|'.*'|“.*”|‘.*’)$") & (F.length(out) >= 2)
         return F.when(paired, F.trim(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.trim(text), strip)
+    return F.aggregate(F.sequence(F.lit(1), rounds), F.trim(text), strip)
 
 
 def stable_color(name: Column) -> Column:

@@ -14,7 +14,7 @@ MESSAGE_SCHEMA = (
     "id string, channel_id int, person_id int, ts timestamp_ntz, content string, reply_to_id string, "
     "word_count int, char_count int, attachment_count int, attachment_preview string, "
     "reaction_count int, reaction_summary string, reaction_details_json string, "
-    "is_edited boolean, is_system boolean, lang string, sentiment float, conversation_id int"
+    "is_edited boolean, is_system boolean, lang string, sentiment float, conversation_id bigint"
 )
 
 #: partition column of stored messages, year * 100 + month

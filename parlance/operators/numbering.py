@@ -30,9 +30,8 @@ def running_total(df: DataFrame, value: Column, ts: Column, order: list, out: st
 
 
 def numbered_in_time(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
-    """Numbers rows 1, 2, 3 ... by (ts, order)."""
-    counted = running_total(df, F.lit(1), F.col("ts"), order, "n_")
-    return counted.withColumn(out, (F.col("n_") + 1).cast("int")).drop("n_")
+    """Numbers rows 1, 2, 3 ... by (ts, order). A day or an instant with many rows is spread like any other."""
+    return numbered(df, ["ts", *order], out)
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
@@ -47,5 +46,5 @@ def numbered(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     )
     place = F.row_number().over(W.partitionBy("p_").orderBy(*order))
     return ranged.withColumn("r_", place).join(sizes, "p_").withColumn(
-        out, (F.col("r_") + F.col("o_")).cast("int")
+        out, (F.col("r_") + F.col("o_")).cast("bigint")
     ).drop("p_", "r_", "o_")

@@ -119,11 +119,12 @@ def person_diversity(chat: Chat, filters=Filters(), limit: int = 50) -> DataFram
 
 
 def exclusive_words(
-    chat: Chat, person_id: int, filters=Filters(), limit: int = 10_000, dictionary: DataFrame | None = None
+    chat: Chat, person_id: int, filters=Filters(), limit: int | None = None, dictionary: DataFrame | None = None
 ) -> DataFrame:
     """Words only this person uses within the scope, in order, flagged by a word list when one is given.
 
-    ``dictionary`` has one column ``word``.
+    ``dictionary`` has one column ``word``. All words, unless ``limit`` asks for the first
+    ones only; ``truncated`` tells whether there are more.
     """
     words = exclusive(word_counts(chat, scope(chat, filters))).filter(F.col("person_id") == person_id).select("word")
     if dictionary is None:
@@ -131,7 +132,11 @@ def exclusive_words(
     else:
         known = dictionary_words(dictionary).withColumn("known", F.lit(True))
         flagged = words.join(known, "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("in_dictionary"))
-    return flagged.orderBy("word").limit(limit)
+    if limit is None:
+        return flagged.withColumn("truncated", F.lit(False)).orderBy("word")
+    page = flagged.orderBy("word").limit(limit + 1)
+    whole = W.partitionBy()  # the page only: limit + 1 rows
+    return page.withColumn("truncated", F.count(F.lit(1)).over(whole) > limit).orderBy("word").limit(limit)
 
 
 def dictionary_words(lines: DataFrame) -> DataFrame:
@@ -163,8 +168,7 @@ def theme_metadata(chat: Chat) -> DataFrame:
     """Themes in configuration order; those of the data only when none are configured."""
     if chat.config.themes:
         return chat.config.themes_df(chat.spark).orderBy("id")
-    place = F.row_number().over(W.orderBy("id"))
-    return chat.themes.select(place.alias("id"), "name", F.lit("").alias("emoji")).orderBy("id")
+    return chat.themes.select("id", "name", F.lit("").alias("emoji")).orderBy("id")
 
 
 def platform_metadata(chat: Chat) -> DataFrame:

@@ -189,7 +189,8 @@ def top_reactors(chat: Chat, filters=Filters(), limit: int = 20) -> DataFrame:
 def top_reacted_messages(chat: Chat, filters=Filters(), limit: int = 6, offset: int = 0) -> DataFrame:
     """A page of messages by reactions received. ``has_more`` tells whether another page follows."""
     order = [F.desc("reaction_count"), F.desc("ts"), F.desc("id")]
-    page = scope(chat, filters).filter(F.col("reaction_count") > 0).orderBy(*order)
+    known = chat.people.select(F.col("id").alias("person_id"))
+    page = scope(chat, filters).filter(F.col("reaction_count") > 0).join(known, "person_id", "left_semi").orderBy(*order)
     page = (page.offset(offset) if offset else page).limit(limit + 1)
     people = chat.people.select(
         F.col("id").alias("person_id"), F.col("display_name").alias("person_name"), F.col("color").alias("person_color")

@@ -18,10 +18,10 @@ def query_grams(q: str) -> list[str]:
 
 
 def messages_with_grams(trigrams: DataFrame, grams: list[str]) -> DataFrame:
-    """Ids of messages that hold every gram. Only the listed grams are read."""
+    """Ids of messages that hold every gram. Only the listed grams are read; a message has each gram once."""
     return (
         trigrams.filter(F.col("gram").isin(grams))
-        .groupBy("message_id").agg(F.count_distinct("gram").alias("n"))
+        .groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") == len(grams)).select(F.col("message_id").alias("id"))
     )
 

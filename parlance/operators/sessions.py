@@ -67,7 +67,7 @@ def activity_sessions(df: DataFrame) -> DataFrame:
     """Sessions over all messages; a new one starts after more than 15 minute boundaries of silence."""
     per_day = 24 * 60
     minutes = df.groupBy(boundary_number(F.col("ts"), 60).alias("minute")).agg(
-        F.min(F.struct("ts", "id")).alias("first"), F.max("ts").alias("last_ts")
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
     marked = _previous(minutes, "minute", "minute", per_day).withColumn(
         "opens",
@@ -88,24 +88,20 @@ def activity_sessions(df: DataFrame) -> DataFrame:
     return (
         inside.join(days, "day_")
         .groupBy((F.col("seq_") + F.col("offset_")).alias("session_id"))
-        .agg(F.min("first").alias("first"), F.max("last_ts").alias("end_ts"))
-        .select(
-            "session_id",
-            F.col("first.ts").alias("start_ts"),
-            "end_ts",
-            F.col("first.id").alias("start_message_id"),
-            (boundary_number(F.col("end_ts"), 1) - boundary_number(F.col("first.ts"), 1)).alias("duration_seconds"),
-        )
+        .agg(F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("end_ts"))
+        .withColumn("duration_seconds", boundary_number(F.col("end_ts"), 1) - boundary_number(F.col("start_ts"), 1))
     )
 
 
+def with_start_message(sessions: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds the smallest id among the messages written at the very start of a session."""
+    starts = df.select(F.col("ts").alias("start_ts"), "id").join(sessions.select("start_ts"), "start_ts")
+    return sessions.join(starts.groupBy("start_ts").agg(F.min("id").alias("start_message_id")), "start_ts")
+
+
 def longest_session(df: DataFrame) -> DataFrame:
-    return (
-        activity_sessions(df)
-        .orderBy(F.desc("duration_seconds"), "start_ts")
-        .limit(1)
-        .select("duration_seconds", "start_message_id")
-    )
+    longest = activity_sessions(df).orderBy(F.desc("duration_seconds"), "start_ts").limit(1)
+    return with_start_message(longest, df).select("duration_seconds", "start_message_id")
 
 
 def _half_hour(ts: Column) -> Column:
@@ -116,24 +112,24 @@ def conversation_buckets(messages: DataFrame) -> DataFrame:
     """(channel_id, slot, conversation_id) for every half-hour slot with messages.
 
     A slot is as wide as the allowed gap, so all its messages share a conversation.
-    Ids are dense; channels are numbered in the order of their first message.
+    Ids are dense; channels are numbered in the order of their first message, then by id.
     """
     slots = messages.groupBy("channel_id", _half_hour(F.col("ts")).alias("slot")).agg(
-        F.min(F.struct("ts", "id")).alias("first"), F.max("ts").alias("last_ts")
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
     order = W.partitionBy("channel_id").orderBy("slot")
-    gap = micros(F.col("first.ts")) - micros(F.lag("last_ts").over(order))
+    gap = micros(F.col("first_ts")) - micros(F.lag("last_ts").over(order))
     marked = slots.withColumn(
         "opens", F.when(gap.isNull() | (gap > CONVERSATION_GAP_SECONDS * 1_000_000), 1).otherwise(0)
     )
     seq = F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))
     numbered = marked.withColumn("seq", seq)
     channels = running_total(
-        marked.groupBy("channel_id").agg(F.min("first").alias("first"), F.sum("opens").alias("n")),
-        F.col("n"), F.col("first.ts"), ["first.id"], "offset",
+        marked.groupBy("channel_id").agg(F.min("first_ts").alias("first_ts"), F.sum("opens").alias("n")),
+        F.col("n"), F.col("first_ts"), ["channel_id"], "offset",
     ).select("channel_id", "offset")
     return numbered.join(channels, "channel_id").select(
-        "channel_id", "slot", (F.col("seq") + F.col("offset")).cast("int").alias("conversation_id")
+        "channel_id", "slot", (F.col("seq") + F.col("offset")).cast("bigint").alias("conversation_id")
     )
 
 
@@ -154,8 +150,8 @@ def conversation_table(messages: DataFrame, person_keys: tuple[str, ...] = ("per
         .agg(
             F.min("ts").alias("start_ts"),
             F.max("ts").alias("end_ts"),
-            F.count(F.lit(1)).cast("int").alias("message_count"),
-            F.count_distinct(F.struct(*person_keys)).cast("int").alias("participant_count"),
+            F.count(F.lit(1)).alias("message_count"),
+            F.count_distinct(F.struct(*person_keys)).alias("participant_count"),
         )
     )
 

@@ -69,8 +69,10 @@ def word_chats(chat: Chat, word: str, filters=Filters(), limit: int = 10) -> Dat
 def as_examples(chat: Chat, rows: DataFrame, *, newest: bool, limit: int, offset: int = 0) -> DataFrame:
     """One page of messages with author and channel names.
 
-    The page is cut before the author is looked up, so only its rows are joined.
+    Messages of unknown authors are left out before the page is cut, by id alone; names are
+    looked up for the rows of the page.
     """
+    rows = rows.join(chat.people.select(F.col("id").alias("person_id")), "person_id", "left_semi")
     order = [F.desc("ts"), F.desc("id")] if newest else [F.asc("ts"), F.asc("id")]
     page = rows.orderBy(*order)
     page = (page.offset(offset) if offset else page).limit(limit)

@@ -33,6 +33,8 @@ FACT_KEYS = {
     "message_search_trigrams": "gram",
     "message_reaction_events": "emoji",
 }
+#: tasks that a key with many rows is spread over
+SALTS = 16
 PLAIN_TABLES = (
     "people", "platform_identities", "sources", "themes", "channels", "person_name_changes", "channel_name_changes",
     "conversations", "member_events", "person_stats", "build_metadata",
@@ -116,7 +118,7 @@ def name_change_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """(person_name_changes, channel_name_changes) numbered together in time order."""
     rows = pinned(
-        numbered_in_time(changes, ["platform", "entity_kind", "entity_raw_id", "kind"])
+        numbered_in_time(changes, ["platform", "source_name", "entity_kind", "entity_raw_id", "kind", "previous_name", "new_name", "payload_json"])
         .join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_name")
     )
     tail = ["source_id", "kind", "previous_name", "new_name", "ts", "payload_json"]
@@ -134,7 +136,7 @@ def member_event_table(
     events: DataFrame, sources: DataFrame, channels: DataFrame, identities: DataFrame
 ) -> DataFrame:
     """Events of known channels and targets; the actor may be unknown. Numbers keep their gaps."""
-    rows = numbered_in_time(events, ["kind", "target_raw_id"])
+    rows = numbered_in_time(events, ["kind", "source_name", "channel_raw_id", "target_raw_id", "actor_raw_id", "payload_json"])
     dim = channels.select("source_id", F.col("platform_channel_id").alias("channel_raw_id"), F.col("id").alias("channel_id"))
     target = identities.select("platform", F.col("platform_user_id").alias("target_raw_id"), F.col("person_id").alias("target_person_id"))
     actor = identities.select("platform", F.col("platform_user_id").alias("actor_raw_id"), F.col("person_id").alias("actor_person_id"))
@@ -169,8 +171,9 @@ def _fs(spark: SparkSession, path: str):
 
 def _write(df: DataFrame, folder: str, key: str | None = None) -> None:
     if key:
-        # the id splits keys that hold a large share of the rows
-        df = df.repartitionByRange(key, "message_id").sortWithinPartitions(key, "message_id")
+        # by hash, since ranges would derive the rows a first time to sample them; the salt splits keys with many rows
+        salt = F.pmod(F.xxhash64("message_id"), F.lit(SALTS))
+        df = df.repartition(key, salt).sortWithinPartitions(key, "message_id")
     df.write.mode("overwrite").parquet(folder)
 
 
@@ -188,7 +191,9 @@ def write_tables(export: Export, folder: str, config: Config) -> None:
 
     whole = message_table(export.messages, *dims)
     month = F.year("ts") * 100 + F.month("ts")
-    whole.withColumn(MONTH_KEY, month).write.mode("overwrite").partitionBy(MONTH_KEY).parquet(f"{folder}/messages")
+    # neighbours in a channel lie in one file, and a month in few
+    laid_out = whole.withColumn(MONTH_KEY, month).repartitionByRange(MONTH_KEY, "channel_id", "ts", "id")
+    laid_out.sortWithinPartitions(MONTH_KEY, "channel_id", "ts", "id").write.mode("overwrite").partitionBy(MONTH_KEY).parquet(f"{folder}/messages")
     stored = spark.read.parquet(f"{folder}/messages")
     _write(conversation_table(stored, ("platform", "person_raw_id")), f"{folder}/conversations")
     persons, chats = name_change_tables(export.name_changes, read["sources"], read["channels"], read["platform_identities"])

@@ -47,7 +47,7 @@ run_offsets AS (
   FROM run_sizes
 ),
 messages AS (
-  SELECT r.* EXCLUDE (prev_ts, seq), CAST(r.seq + o.before_n AS INT) AS conversation_id
+  SELECT r.* EXCLUDE (prev_ts, seq), CAST(r.seq + o.before_n AS BIGINT) AS conversation_id
   FROM runs r JOIN run_offsets o USING (channel_id)
 )"""
 

@@ -244,7 +244,9 @@ add(
         "SELECT session_id, start_ts, end_ts, start_message_id, date_diff('second', start_ts, end_ts) AS duration_seconds FROM sess",
         extra=_SESSION_CTE,
     ),
-    chat_query(lambda c: sessions.activity_sessions(scope(c).select("id", "ts"))),
+    chat_query(
+        lambda c: sessions.with_start_message(sessions.activity_sessions(scope(c).select("id", "ts")), scope(c).select("id", "ts"))
+    ),
 )
 add(
     "conversation_summary",
@@ -259,7 +261,7 @@ add(
 add(
     "conversation_table",
     f"WITH {oracle._MESSAGES} SELECT conversation_id AS id, channel_id, MIN(ts) AS start_ts, MAX(ts) AS end_ts, "
-    "CAST(COUNT(*) AS INT) AS message_count, CAST(COUNT(DISTINCT person_id) AS INT) AS participant_count "
+    "COUNT(*) AS message_count, COUNT(DISTINCT person_id) AS participant_count "
     "FROM messages GROUP BY ALL",
     chat_query(lambda c: sessions.conversation_table(c.messages), conversations=True),
 )
@@ -673,13 +675,14 @@ add(
 )
 _DIVERSITY = """SELECT b.person_id, b.message_count, coalesce(t.unique_words, 0) AS unique_words,
   coalesce(t.total_words, 0) AS total_words, coalesce(e.word_entropy, 0.0) AS word_entropy,
-  coalesce(a.exclusive_word_count, 0) AS exclusive_word_count, b.channel_count, b.theme_count, b.platform_count, h.channel_hhi
-FROM breadth b LEFT JOIN totals t USING (person_id) LEFT JOIN entropy e USING (person_id)
+  coalesce(a.exclusive_word_count, 0) AS exclusive_word_count, b.channel_count, b.theme_count, b.platform_count, h.channel_hhi,
+  coalesce(m.mtld, 0.0::DOUBLE) AS mtld
+FROM breadth b LEFT JOIN mtld m USING (person_id) LEFT JOIN totals t USING (person_id) LEFT JOIN entropy e USING (person_id)
 LEFT JOIN alone a USING (person_id) LEFT JOIN hhi h USING (person_id)"""
 add(
-    "person_stats_stored", with_(_DIVERSITY, "NOT m.is_system", extra=_STATS_TEXT),
+    "person_stats_stored", with_(_DIVERSITY, "NOT m.is_system", extra=_STATS_TEXT + "," + _MTLD),
     chat_query(
-        lambda c: people.person_stats(c).drop("mtld")
+        lambda c: people.person_stats(c).withColumn("mtld", F.round("mtld", 2))
         .withColumn("word_entropy", F.round("word_entropy", 4) + 0.0).withColumn("channel_hhi", F.round("channel_hhi", 4)),
         text=True,
     ),
@@ -690,15 +693,15 @@ add(
         f"SELECT p.id, p.display_name, p.color, CASE p.id WHEN 3 THEN 'https://example.org/3.png' ELSE '' END AS avatar, "
         f"d.* EXCLUDE (person_id), 'live' AS source FROM ({_DIVERSITY}) d JOIN people p ON p.id = d.person_id "
         "WHERE p.display_name IN ('User 3', 'User 5')",
-        f"{DEFAULT} AND d.channel_name IN ('purchase', 'signup', 'view')", extra=_STATS_TEXT,
+        f"{DEFAULT} AND d.channel_name IN ('purchase', 'signup', 'view')", extra=_STATS_TEXT + "," + _MTLD,
     ),
-    chat_query(lambda c: people.person_diversity(c, Filters(themes=(2, 3))).drop("mtld"), text=True),
+    chat_query(lambda c: people.person_diversity(c, Filters(themes=(2, 3))), text=True),
 )
 add(
     "exclusive_words",
     with_(
-        "SELECT word, false AS in_dictionary FROM word_freq a WHERE person_id = 3 AND NOT EXISTS (SELECT 1 FROM word_freq b WHERE "
-        "b.word = a.word AND b.person_id <> a.person_id) ORDER BY word LIMIT 10000", extra=_STATS_TEXT,
+        "SELECT word, false AS in_dictionary, false AS truncated FROM word_freq a WHERE person_id = 3 AND NOT EXISTS (SELECT 1 FROM word_freq b WHERE "
+        "b.word = a.word AND b.person_id <> a.person_id)", extra=_STATS_TEXT,
     ),
     chat_query(lambda c: people.exclusive_words(c, 3), text=True),
 )
@@ -714,7 +717,7 @@ def _exclusive_with_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "exclusive_words_dictionary",
     with_(
-        "SELECT word, word IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark) AS in_dictionary "
+        "SELECT word, word IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark) AS in_dictionary, false AS truncated "
         "FROM word_freq a WHERE person_id = 3 AND NOT EXISTS (SELECT 1 FROM word_freq b WHERE "
         "b.word = a.word AND b.person_id <> a.person_id)", extra=_STATS_TEXT,
     ),

@@ -391,7 +391,7 @@ add("resolve_people", _RESOLVED, lambda spark, sf: resolve_people(_identities(sp
 add(
     "people_ids",
     f"WITH r AS ({_RESOLVED}), p AS (SELECT canonical_name, color_hint, MIN(platform || ' ' || raw_id) AS first FROM r GROUP BY ALL) "
-    "SELECT CAST(row_number() OVER (ORDER BY first) AS INT) AS id, canonical_name AS display_name FROM p",
+    "SELECT row_number() OVER (ORDER BY first) AS id, canonical_name AS display_name FROM p",
     lambda spark, sf: build.people_tables(_identities(spark, sf), _PERSON_CONFIG)[0].select("id", "display_name"),
 )
 
@@ -414,9 +414,9 @@ SELECT source_name, channel_name, raw_id, CASE WHEN n = 'click' THEN 'alerts' WH
 add("resolve_themes", _THEMED, lambda spark, sf: resolve_themes(_channels(spark, sf), demo.DEMO_CONFIG))
 add(
     "channel_and_theme_ids",
-    f"WITH t AS ({_THEMED}), ch AS (SELECT *, CAST(row_number() OVER (ORDER BY source_name, raw_id) AS INT) AS id FROM t), "
-    "th AS (SELECT theme, CAST(row_number() OVER (ORDER BY MIN(id)) AS INT) AS theme_id FROM ch GROUP BY 1), "
-    "so AS (SELECT source_name, CAST(row_number() OVER (ORDER BY source_name) AS INT) AS source_id FROM (SELECT DISTINCT source_name FROM t)) "
+    f"WITH t AS ({_THEMED}), ch AS (SELECT *, row_number() OVER (ORDER BY source_name, raw_id) AS id FROM t), "
+    "th AS (SELECT theme, row_number() OVER (ORDER BY MIN(id)) AS theme_id FROM ch GROUP BY 1), "
+    "so AS (SELECT source_name, row_number() OVER (ORDER BY source_name) AS source_id FROM (SELECT DISTINCT source_name FROM t)) "
     "SELECT ch.id, so.source_id, ch.raw_id AS platform_channel_id, ch.channel_name AS name, th.theme_id FROM ch JOIN th USING (theme) JOIN so USING (source_name)",
     lambda spark, sf: build.channel_tables(
         _channels(spark, sf).select(F.col("source_name").alias("name"), F.lower(F.split_part("source_name", F.lit(":"), F.lit(1))).alias("platform")).distinct(),
@@ -442,7 +442,7 @@ add(
 )
 add(
     "numbered_in_time",
-    "SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS id FROM events",
+    "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS id FROM events",
     lambda spark, sf: numbering.numbered_in_time(demo.tables(spark, sf)["events"].select("event_id", "ts"), ["event_id"]).drop("ts"),
 )
 
@@ -465,7 +465,7 @@ def _member_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add(
     "member_event_table",
-    "WITH e AS (SELECT *, CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS id FROM events WHERE event_id % 5 = 4) "
+    "WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS id FROM events WHERE event_id % 5 = 4) "
     "SELECT id, CAST(3 AS INT) AS channel_id, CAST(2 AS INT) AS source_id, 'added' AS kind, CASE WHEN event_id % 2 = 0 THEN NULL ELSE CAST(user_id AS INT) END AS "
     "actor_person_id, CAST(user_id AS INT) AS target_person_id, ts, CAST(event_id AS STRING) AS payload_json FROM e WHERE event_type = 'purchase' AND event_id % 25 <> 4",
     _member_table,
@@ -491,7 +491,7 @@ def _change_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add(
     "name_change_tables",
-    "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS id, CAST(CASE WHEN event_id % 2 = 0 THEN user_id ELSE -3 END AS INT) AS entity_id, "
+    "SELECT row_number() OVER (ORDER BY ts, event_id) AS id, CAST(CASE WHEN event_id % 2 = 0 THEN user_id ELSE -3 END AS INT) AS entity_id, "
     "CAST(2 AS INT) AS source_id, event_type AS new_name, ts FROM events WHERE event_id % 5 = 1",
     _change_tables,
 )

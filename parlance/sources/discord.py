@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import unquote as strip_quotes
 from ..functions.times import from_micros
+from ..session import pinned
 from .html import Node, parse_html
 from .seeds import Export, first_people
 
@@ -62,7 +63,10 @@ def _asset(value: str, html_path: str, root: str) -> str | None:
     value = value.strip()
     if not value or value.startswith("data:"):
         return None
-    url = urlparse(value)
+    try:
+        url = urlparse(value)
+    except ValueError:
+        return None
     if url.scheme and url.scheme != "file":
         return value
     place = unquote(url.path)
@@ -238,7 +242,7 @@ def _changes(rows: DataFrame) -> DataFrame:
 
 def read_discord(files: DataFrame) -> Export:
     """Messages, people, channels and name changes from rows of (path, content)."""
-    raw = files.select("path", "content").mapInPandas(_parse, RAW_SCHEMA)
+    raw = pinned(files.select("path", "content").mapInPandas(_parse, RAW_SCHEMA))  # five consumers, one parse
     text = F.trim("content")
     rows = raw.select(
         "*", F.lit("discord").alias("platform"), F.concat(F.lit("Discord: "), "guild").alias("source_name"),

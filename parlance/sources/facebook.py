@@ -417,7 +417,7 @@ def fold_emoji_messages(messages: DataFrame) -> DataFrame:
         .select("chat", F.col("anchor").alias("id"), "more", "given")
     )
     rows = rows.join(given, ["chat", "id"], "left")
-    spread = F.when(F.col("rn") <= 1_000_000, from_micros(micros(F.col("ts")) + F.col("rn") - 1)).otherwise(F.col("ts"))
+    spread = from_micros(micros(F.col("ts")) + F.col("rn") - 1)
     return rows.select(
         *[c for c in messages.columns if c not in ("ts", "reaction_count", "reaction_summary", "is_system")],
         spread.alias("ts"),

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset({"script", "style", "template"})
+# what HTML closes without an end tag
+BLOCKS = frozenset(
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
+    "section table ul".split()
+)
+CLOSED_BY = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"),
+    "th": ("td", "th"),
+}
+HOLDERS = frozenset("ul ol dl select table".split())
 
 
 class Node:
@@ -27,9 +38,11 @@ class Node:
 
     def walk(self) -> Iterator["Node"]:
         """Descendants in document order, without the node itself."""
-        for child in self.elements():
-            yield child
-            yield from child.walk()
+        left = self.elements()[::-1]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(node.elements()[::-1])
 
     def ancestors(self) -> Iterator["Node"]:
         node = self.parent
@@ -38,11 +51,13 @@ class Node:
             node = node.parent
 
     def strings(self) -> Iterator[str]:
-        for child in self.children:
+        left = self.children[::-1]
+        while left:
+            child = left.pop()
             if isinstance(child, str):
                 yield child
             elif child.tag not in SILENT:
-                yield from child.strings()
+                left.extend(child.children[::-1])
 
     def text(self, joiner: str = " ") -> str:
         parts = (s.strip() for s in self.strings())
@@ -92,26 +107,52 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
         self.open = [self.root]
+        self.count: Counter[str] = Counter()
+
+    def _close(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.count[node.tag] -= 1
+        del self.open[place:]
+
+    def _close_implied(self, tag: str) -> None:
+        """Ends what the start of ``tag`` ends: an open paragraph, the list item or cell before."""
+        if tag in BLOCKS and self.count["p"]:
+            place = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ("p", "td", "th", "table")), 0)
+            if place and self.open[place].tag == "p":
+                self._close(place)
+        ended, place = CLOSED_BY.get(tag, ()), 0
+        if any(self.count[t] for t in ended):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in HOLDERS:
+                    break
+                if self.open[i].tag in ended:
+                    place = i
+            if place:
+                self._close(place)
 
     def handle_starttag(self, tag, attrs):
         known: dict[str, str] = {}
         for name, value in attrs:
             known[name] = value or ""
+        self._close_implied(tag)
         node = Node(tag, known, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if not self.count[tag]:
+            return
+        place = len(self.open) - 1
+        while self.open[place].tag != tag:
+            place -= 1
+        self._close(place)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)

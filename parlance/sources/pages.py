@@ -32,7 +32,24 @@ def _meta(page: Node, names: tuple[str, ...]) -> str | None:
     return None
 
 
-def page_fields(url: str, html: str) -> tuple:
+def _joined(base: str | None, address: str | None) -> str | None:
+    """``address`` as seen from ``base``; null where either cannot be parsed."""
+    if not address:
+        return None
+    try:
+        return urljoin(base or "", address)
+    except ValueError:
+        return None
+
+
+def _host(url: str | None) -> str | None:
+    try:
+        return urlparse(url or "").netloc
+    except ValueError:
+        return None
+
+
+def page_fields(url: str | None, html: str | None) -> tuple:
     page = parse_html(html or "")
     title = _meta(page, TITLE)
     if not title:
@@ -42,8 +59,7 @@ def page_fields(url: str, html: str) -> tuple:
     icon = next((n for n in page.all("link") if "icon" in (n.get("rel") or "").lower()), None)
     href = (icon.get("href") or "").strip() if icon is not None else ""
     return (
-        url, title, _meta(page, DESCRIPTION), urljoin(url, image) if image else None,
-        _meta(page, SITE) or urlparse(url).netloc, urljoin(url, href) if href else None,
+        url, title, _meta(page, DESCRIPTION), _joined(url, image), _meta(page, SITE) or _host(url), _joined(url, href),
     )
 
 
@@ -54,5 +70,8 @@ def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def page_previews(pages: DataFrame) -> DataFrame:
-    """Preview fields for rows of (url, html); relative addresses are resolved against the url."""
+    """Preview fields for rows of (url, html); relative addresses are resolved against the url.
+
+    Fields that need an address that cannot be parsed are null; the row stays.
+    """
     return pages.select("url", "html").mapInPandas(_fields, SCHEMA)

@@ -20,7 +20,7 @@ from parlance.operators.numbering import numbered
 from parlance.operators.reactions import reaction_events
 from parlance.operators.resolve import resolve_people, resolve_themes
 from parlance.operators.search import query_grams, search_matches
-from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap
+from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap, with_start_message
 
 T0 = datetime(2024, 1, 1)
 
@@ -75,7 +75,7 @@ def test_conversations_equal_a_sequential_walk(spark):
 def test_sessions_count_minute_boundaries(spark):
     times = [T0 + timedelta(seconds=59), T0 + timedelta(minutes=15, seconds=1), T0 + timedelta(minutes=31)]
     df = messages(spark, [(str(i), 1, 1, t, "x") for i, t in enumerate(times)])
-    got = sorted((r.start_message_id, r.duration_seconds) for r in activity_sessions(df).collect())
+    got = sorted((r.start_message_id, r.duration_seconds) for r in with_start_message(activity_sessions(df), df).collect())
     assert got == [("0", 842), ("2", 0)]
 
 
