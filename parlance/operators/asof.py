@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import boundary_number
+from ..functions.times import boundary_number, micros
 
 DAY = 86_400
 
@@ -27,7 +27,13 @@ def as_of(
     earlier slots, then each change inside the slot. A fact then meets exactly one
     piece, through an equality on (keys, slot) and a range check. The join is one
     adaptive execution can broadcast or split when a key is hot, since each side
-    is a plain scan. Carrying over runs on one row per key and active slot.
+    is a plain scan.
+
+    A slot is ``slot_seconds`` wide where changes are rare. Where a key has c of
+    them in such a slot it is halved until there are c parts or more, so that a
+    part holds about one change and the pairs tried grow with the rows, not with
+    their product. Values are carried over the parts of one slot first, then over
+    slots, on one row per active part.
 
     Of changes at the same instant the one with the largest ``tie`` wins; without
     ``tie``, the largest value.
@@ -39,22 +45,39 @@ def as_of(
         .select(*keys, "start", boundary_number(F.col("start"), slot_seconds).alias("slot"),
                 F.struct(F.col("r.value").alias("value")).alias("v"))
     )
-    slotted = facts.withColumn("slot", boundary_number(F.col("ts"), slot_seconds))
-    active = slotted.select(*keys, "slot").na.drop(subset=keys).distinct().withColumn("wanted", F.lit(True))
-    closing = change.groupBy(*keys, "slot").agg(F.max_by("v", "start").alias("last"))
+    width = F.lit(slot_seconds * 1_000_000)
+    dense = change.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("c")).select(
+        *keys, "slot", F.greatest(F.lit(1), (width / F.pow(F.lit(2.0), F.ceil(F.log2("c")))).cast("bigint")).alias("wide")
+    )
+
+    def parted(rows: DataFrame, at: str) -> DataFrame:
+        """Adds ``part``, the part of the slot that ``at`` lies in."""
+        inside = F.pmod(micros(F.col(at)), width)
+        wide = F.coalesce("wide", width)
+        return rows.join(dense, [*keys, "slot"], "left").withColumn("part", ((inside - F.pmod(inside, wide)) / wide).cast("bigint")).drop("wide")
+
+    change = parted(change, "start")
+    slotted = parted(facts.withColumn("slot", boundary_number(F.col("ts"), slot_seconds)), "ts")
+    active = slotted.select(*keys, "slot", "part").na.drop(subset=keys).distinct().withColumn("wanted", F.lit(True))
+    closing = change.groupBy(*keys, "slot", "part").agg(F.max_by("v", "start").alias("last"))
+    within_slot = W.partitionBy(*keys, "slot").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = active.join(closing, [*keys, "slot", "part"], "full").withColumn("v", F.last("last", ignorenulls=True).over(within_slot))
     line = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = parts.groupBy(*keys, "slot").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("part"))).alias("last")).withColumn(
+        "before", F.last("last", ignorenulls=True).over(line)
+    ).select(*keys, "slot", "before")
     carried = (
-        active.join(closing, [*keys, "slot"], "full")
-        .withColumn("v", F.last("last", ignorenulls=True).over(line))
-        .filter(F.col("wanted") & F.col("v").isNotNull())
-        .select(*keys, "slot", F.lit(None).cast("timestamp_ntz").alias("start"), "v")
+        parts.filter("wanted").join(slots, [*keys, "slot"])
+        .withColumn("v", F.coalesce("v", "before"))
+        .filter(F.col("v").isNotNull())
+        .select(*keys, "slot", "part", F.lit(None).cast("timestamp_ntz").alias("start"), "v")
     )
-    within = W.partitionBy(*keys, "slot").orderBy(F.asc_nulls_first("start"))
-    pieces = carried.unionByName(change.select(*keys, "slot", "start", "v")).withColumn(
+    within = W.partitionBy(*keys, "slot", "part").orderBy(F.asc_nulls_first("start"))
+    pieces = carried.unionByName(change.select(*keys, "slot", "part", "start", "v")).withColumn(
         "end", F.lead("start").over(within)
     )
     f, p = slotted.alias("f"), pieces.alias("p")
-    condition = F.col("f.slot") == F.col("p.slot")
+    condition = (F.col("f.slot") == F.col("p.slot")) & (F.col("f.part") == F.col("p.part"))
     for key in keys:
         condition = condition & (F.col(f"f.{key}") == F.col(f"p.{key}"))
     condition = (
