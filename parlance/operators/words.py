@@ -79,7 +79,7 @@ def as_examples(chat: Chat, rows: DataFrame, *, newest: bool, limit: int, offset
     people = chat.people.select(
         F.col("id").alias("person_id"), F.col("display_name").alias("person_name"), F.col("color").alias("person_color")
     )
-    return page.join(people, "person_id").select(
+    return page.join(people, "person_id").orderBy(*order).select(
         F.col("id").alias("message_id"), "ts", "content", "person_name", "person_color",
         shown_channel(chat, F.col("channel_name"), F.col("source_name")).alias("channel_name"), "source_name",
     )

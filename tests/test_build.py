@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from parlance import Config, Filters, Identity, PersonRule, ThemeRule
 from parlance.operators import people, rankings, search, words
 from parlance.plans import build as plan
-from tests.test_sources import DISCORD, box, chat, signal_page
+from tests.test_sources import DISCORD, GARDEN, box, chat
 
 CONFIG = Config(
     people=(
-        PersonRule("Alice Example", "#123456", identities=(Identity("discord", "1001"), Identity("signal", "Alice"))),
-        PersonRule("Bobby", identities=(Identity("discord", "1002"), Identity("signal", "Bob"))),
+        PersonRule("Ines Example", "#123456", identities=(Identity("discord", "71"), Identity("signal", "Noor"))),
+        PersonRule("Pavlik", identities=(Identity("discord", "72"), Identity("signal", "Pavel"))),
     ),
-    themes=(ThemeRule("Talk", channels=(("Discord: Guild", "general"), ("Facebook: Chat", "Chat"))),),
+    themes=(ThemeRule("Talk", channels=(("Discord: Board games", "rules"), ("Facebook: Chat", "Chat"))),),
 )
 
 
@@ -23,12 +23,12 @@ CONFIG = Config(
 def data(tmp_path_factory):
     root = tmp_path_factory.mktemp("data")
     pages = {
-        "discord/99/555.html": DISCORD,
+        "discord/club/8.html": DISCORD,
         "facebook/Chat_x/message_1.html": chat(
-            box("Ann", "Ann added Bob to the group.", "05 Jan 2020, 10:00"),
-            box("Ann", "words words @bob see https://youtu.be/abc", "05 Jan 2020, 10:40"),
+            box("Lena", "Lena added Pavel to the group.", "05 Jan 2020, 10:00"),
+            box("Lena", "words words @pavel see https://youtu.be/abc", "05 Jan 2020, 10:40"),
         ),
-        "signal_decrypted/Test Group (_id77)/Test Group.html": signal_page(),
+        "signal_decrypted/Garden plot 9 (_id412)/x.html": GARDEN,
     }
     for name, text in pages.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
@@ -46,17 +46,18 @@ def built(spark, data, tmp_path_factory):
 def test_dimensions(built):
     _, c = built
     assert [(r.id, r.platform, r.name) for r in c.sources.orderBy("id").collect()] == [
-        (1, "discord", "Discord: Guild"), (2, "facebook", "Facebook: Chat_x"), (3, "signal", "Signal: signal_decrypted"),
+        (1, "discord", "Discord: Board games"), (2, "facebook", "Facebook: Chat_x"), (3, "signal", "Signal: signal_decrypted"),
     ]
     names = {r.display_name: (r.id, r.color) for r in c.people.collect()}
-    assert names["Alice Example"] == (1, "#123456") and names["Bobby"] == (2, "Bobby")
-    # Bob of the Facebook chat is matched by the name configured for another platform
-    assert set(names) == {"Alice Example", "Bobby", "Ann", "You"} and names["Ann"][1].startswith("#")
+    assert names["Ines Example"] == (1, "#123456") and names["Pavlik"] == (2, "Pavlik")
+    # Pavel of the Facebook chat is matched by the name configured for another platform
+    assert set(names) == {"Ines Example", "Pavlik", "Lena", "You"} and names["Lena"][1].startswith("#")
     identities = {(r.platform, r.platform_user_id): r.person_id for r in c.platform_identities.collect()}
-    assert identities[("signal", "name:alice")] == identities[("discord", "1001")] == 1
-    assert [(r.id, r.name) for r in c.themes.orderBy("id").collect()] == [(1, "Talk"), (2, "Test Group")]
+    assert identities[("signal", "name:noor")] == identities[("discord", "71")] == 1
+    assert identities[("discord", "72")] == identities[("signal", "name:pavel")] == identities[("facebook", "Pavel")] == 2
+    assert [(r.id, r.name) for r in c.themes.orderBy("id").collect()] == [(1, "Talk"), (2, "Garden plot 9")]
     channels = [(r.id, r.source_id, r.platform_channel_id, r.name, r.theme_id) for r in c.channels.orderBy("id").collect()]
-    assert channels == [(1, 1, "555", "general", 1), (2, 2, "Chat_x", "Chat_x", 1), (3, 3, "77", "Test Group", 2)]
+    assert channels == [(1, 1, "8", "rules", 1), (2, 2, "Chat_x", "Chat_x", 1), (3, 3, "412", "Garden plot 9", 2)]
 
 
 def test_messages_and_conversations(built):
@@ -66,9 +67,10 @@ def test_messages_and_conversations(built):
         1: 1, 2: 2, 3: 1,
     }
     table = [tuple(r)[1:] for r in c.conversations.orderBy("id").collect()]
-    assert [r[0] for r in table] == [1, 2, 2, 3]
-    assert table[1][1:] == (datetime(2020, 1, 5, 10, 0), datetime(2020, 1, 5, 10, 0), 1, 1)
-    assert [r[3] for r in table] == [4, 1, 1, 2]
+    # channels are numbered by their first message
+    assert [r[0] for r in table] == [2, 2, 3, 1]
+    assert table[0][1:] == (datetime(2020, 1, 5, 10, 0), datetime(2020, 1, 5, 10, 0), 1, 1)
+    assert [r[3:] for r in table] == [(1, 1), (1, 1), (2, 2), (4, 2)]
     assert c.messages.filter("lang is not null or sentiment is not null").count() == 0
 
 
@@ -76,18 +78,18 @@ def test_facts_and_stats(built):
     _, c = built
     assert c.tokens is not None
     assert {r.domain for r in c.links.collect()} == {"youtube.com"}
-    assert {r.mention for r in c.mentions.collect()} == {"bob"}
+    assert {r.mention for r in c.mentions.collect()} == {"pavel"}
     assert c.reaction_events.count() == c.messages.agg(F.sum("reaction_count")).head()[0] == 6
-    # Bob reacted in the Signal chat but never wrote there, so they are identified but not a known person
+    # Quinn reacted in the Signal chat but never wrote there, so they are identified but not a known person
     identified = c.reaction_events.filter("reactor_raw_id is not null").collect()
-    assert [(r.reactor_raw_id, r.reactor_person_id) for r in identified] == [("name:bob", None)]
+    assert [(r.reactor_raw_id, r.reactor_person_id) for r in identified] == [("name:quinn", None)]
     stats = {r.person_id: r for r in c.person_stats.collect()}
-    ann = c.people.filter("display_name = 'Ann'").head().id
+    lena = c.people.filter("display_name = 'Lena'").head().id
     # system messages are left out
-    assert stats[ann].message_count == 1 and stats[ann].total_words == 6 and stats[ann].unique_words == 5
+    assert stats[lena].message_count == 1 and stats[lena].total_words == 6 and stats[lena].unique_words == 5
     events = c.member_events.collect()
-    assert [(r.id, r.channel_id, r.kind, r.actor_person_id == ann, r.target_person_id) for r in events] == [(1, 2, "added", True, 2)]
-    assert {r.new_name for r in c.channel_name_changes.collect()} == {"general-renamed", "photo-changed", "Better Group"}
+    assert [(r.id, r.channel_id, r.kind, r.actor_person_id == lena, r.target_person_id) for r in events] == [(1, 2, "added", True, 2)]
+    assert {r.new_name for r in c.channel_name_changes.collect()} == {"house rules", "Plot nine"}
 
 
 def test_queries_on_the_build(built):
@@ -108,7 +110,7 @@ def test_stored_and_live_facts_agree(built):
 
     live = copy.copy(c)
     live.tokens = live.links = live.mentions = live.trigrams = None
-    for run in (lambda x: words.top_words(x, limit=None), lambda x: search.search_matches(x, "hello").select("id")):
+    for run in (lambda x: words.top_words(x, limit=None), lambda x: search.search_matches(x, "the beans").select("id")):
         assert sorted(map(tuple, run(c).collect())) == sorted(map(tuple, run(live).collect()))
 
 

@@ -15,12 +15,13 @@ from parlance.model import int_list
 from parlance.operators import diversity, facts, people
 from parlance.operators.asof import as_of
 from parlance.operators.history import actor_display_name
-from parlance.operators.links import attachment_kind, is_url_only, shown_links, without_links
-from parlance.operators.numbering import numbered
-from parlance.operators.reactions import reaction_events
+from parlance.operators.links import attachment_kind, domain_examples, is_url_only, shown_links, without_links
+from parlance.operators.numbering import numbered, numbered_in_time
+from parlance.operators.reactions import reaction_events, top_reacted_messages
 from parlance.operators.resolve import resolve_people, resolve_themes
 from parlance.operators.search import query_grams, search_matches
 from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap, with_start_message
+from parlance.operators.words import word_examples
 
 T0 = datetime(2024, 1, 1)
 
@@ -212,7 +213,7 @@ def test_exclusive_words(spark):
     chat = small_chat(spark, rows)
     words = spark.createDataFrame([("Zebra ",), ("be",), ("b3ta",)], "word string")
     got = people.exclusive_words(chat, 2, dictionary=words).collect()
-    assert [tuple(r) for r in got] == [("beta", False), ("zebra", True)]
+    assert [tuple(r) for r in got] == [("beta", False, False), ("zebra", True, False)]
     assert [r.word for r in people.exclusive_words(chat, 2, Filters(people=(2,))).collect()] == ["beta", "shared", "zebra"]
 
 
@@ -374,3 +375,50 @@ def test_parameters():
     with pytest.raises(ValueError):
         tx.normalise_word("a1b")
     assert date(2024, 1, 1) == Filters(start=date(2024, 1, 1)).start
+
+
+def test_numbering_spreads_a_hot_day(spark):
+    """All rows in one instant: every partition numbers its share, ties by the columns given."""
+    at = datetime(2024, 1, 1, 12)
+    df = spark.range(4000).select(F.lit(at).cast("timestamp_ntz").alias("ts"), F.col("id").alias("n"))
+    got = numbered_in_time(df, ["n"])
+    assert got.filter("id != n + 1").count() == 0 and got.schema["id"].dataType.simpleString() == "bigint"
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_as_of_where_changes_are_dense(spark):
+    """One key, one day, more changes than a slot is meant for; equal instants count as before."""
+    rng = random.Random(1)
+    day = datetime(2024, 1, 1)
+    at = lambda: day + timedelta(microseconds=rng.randrange(60_000_000))
+    changes = sorted({at(): str(i) for i in range(300)}.items())
+    facts = [(i, at()) for i in range(300)] + [(1000 + i, t) for i, (t, _) in enumerate(changes)]
+    expected = {}
+    for n, t in facts:
+        before = [v for c, v in changes if c <= t]
+        expected[n] = before[-1] if before else None
+    f = spark.createDataFrame([("k", n, t) for n, t in facts], "k string, n long, ts timestamp_ntz")
+    c = spark.createDataFrame([("k", t, v) for t, v in changes], "k string, ts timestamp_ntz, name string")
+    assert {r.n: r.out for r in as_of(f, c, ["k"], "name", "out").collect()} == expected
+
+
+def test_exclusive_words_are_not_cut(spark):
+    """More words than any page, all of one person; a limit is a page that says so."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join("x" + a + b + c for a in letters for b in letters for c in letters[:16])
+    chat = small_chat(spark, [("a", 1, 1, T0, many), ("b", 1, 2, T0, "hello")])
+    rows = people.exclusive_words(chat, 1)
+    assert rows.count() == 26 * 26 * 16 and rows.filter("truncated").count() == 0
+    page = people.exclusive_words(chat, 1, limit=10).collect()
+    assert len(page) == 10 and all(r.truncated for r in page)
+
+
+def test_pages_are_cut_after_unknown_authors_are_left_out(spark):
+    rows = [(f"m{i}", 1, 1 if i % 2 else 99, T0 + timedelta(minutes=i), "word https://a.org/x") for i in range(12)]
+    chat = small_chat(spark, rows)
+    chat.people = chat.people.filter("id = 1")
+    chat.messages = chat.messages.withColumn("reaction_count", F.lit(1)).withColumn("reaction_summary", F.lit("x")).withColumn("attachment_preview", F.lit(None).cast("string"))
+    assert [r.message_id for r in word_examples(chat, "word", limit=6).collect()] == ["m11", "m9", "m7", "m5", "m3", "m1"]
+    assert domain_examples(chat, "a.org", limit=6).count() == 6
+    top = top_reacted_messages(chat, limit=6).collect()
+    assert len(top) == 6 and not any(r.has_more for r in top)
