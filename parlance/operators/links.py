@@ -22,12 +22,13 @@ AUDIO_PATH = r"\.(mp3|wav|ogg|m4a|aac|flac)(\?|#|$)"
 # ----------------------------------------------------------------------------
 
 
-def linked_domains(chat: Chat, filters=Filters(), limit: int = 200) -> DataFrame:
-    return (
+def linked_domains(chat: Chat, filters=Filters(), limit: int | None = 200) -> DataFrame:
+    counts = (
         with_domains(chat, scope(chat, filters)).filter(F.col("domain") != "")
         .groupBy("domain").agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "domain").limit(limit)
+        .orderBy(F.desc("count"), "domain")
     )
+    return counts if limit is None else counts.limit(limit)
 
 
 def domain_examples(chat: Chat, domain: str, filters=Filters(), limit: int = 6, offset: int = 0) -> DataFrame:

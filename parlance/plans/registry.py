@@ -527,11 +527,16 @@ add(
     with_("SELECT domain, COUNT(*) AS count FROM links GROUP BY 1 ORDER BY count DESC, domain LIMIT 200", extra=oracle.LINK_CTE),
     chat_query(lambda c: links.linked_domains(with_facts(c)), text=True),
 )
-_DOMAIN = "blog.ththsh.example.com"
+def _first_domain_examples(c: Chat) -> DataFrame:
+    """Examples of the first domain in order, whichever the tables hold."""
+    first = links.linked_domains(c, limit=None).agg(F.min("domain")).first()[0]
+    return links.domain_examples(c, f" {first.upper()} ")
+
+
 add(
     "domain_examples",
-    with_(_EXAMPLE.format(s="links", cond=f"domain = '{_DOMAIN}'", way="DESC", page="6"), extra=oracle.LINK_CTE),
-    chat_query(lambda c: links.domain_examples(c, _DOMAIN.upper() + " "), text=True),
+    with_(_EXAMPLE.format(s="links", cond="domain = (SELECT MIN(domain) FROM links)", way="DESC", page="6"), extra=oracle.LINK_CTE),
+    chat_query(_first_domain_examples, text=True),
 )
 add(
     "links_by_author",

@@ -7,6 +7,7 @@ gathers more than that in one place. The SQL states what the readers must find.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config, Identity, PersonRule
@@ -15,6 +16,7 @@ from ..operators.resolve import resolve_people, resolve_themes
 from ..sources import archives, media, pages
 from ..sources.discord import read_discord
 from ..sources.facebook import read_facebook
+from ..sources.seeds import merge
 from ..sources.signal import read_signal
 from ..sources.signal_backup import read_signal_backup
 from . import build, demo, oracle
@@ -45,16 +47,22 @@ def _files(rows: DataFrame, path: Column, box: Column, head: str, newest_first:
 
 
 # -- Discord -----------------------------------------------------------------
-def discord_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def discord_files(spark: SparkSession, sf_dir: str, threads: bool = False) -> DataFrame:
+    """Exports of all messages; with ``threads`` replies are linked, and every tenth message continues the one before it."""
     m = _messages(spark, sf_dir)
+    before = F.lag("n").over(W.partitionBy("channel_id", "block").orderBy("n"))
+    m = m.withColumn("continues", F.lit(threads) & (F.col("n") % 10 == 1) & before.isNotNull())
+    reply = F.when(F.lit(threads) & F.col("reply_to_id").isNotNull(), F.concat(
+        F.lit('<div class="chatlog__reply"><a class="chatlog__reply-link" href="#'), F.col("reply_to_id"), F.lit('">r</a></div>'))).otherwise(F.lit(""))
+    author = F.when(F.col("continues"), F.lit("")).otherwise(F.concat(
+        F.lit('<span class="chatlog__author" data-user-id="u'), F.col("person_id").cast("string"), F.lit('">User '), F.col("person_id").cast("string"), F.lit("</span>")))
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     snow = F.shiftleft(ms - F.lit(1420070400000), 22) + F.col("n")
     text = F.when(F.col("n") % 30 == 2, F.concat(F.lit("They changed the channel name to \"Room "), (F.col("n") % 5).cast("string"), F.lit("\"")))
     text = F.coalesce(text, F.col("content"), F.lit(""))
     box = F.concat(
         F.lit('<div class="chatlog__message-container" data-message-id="'), snow.cast("string"), F.lit('">'),
-        F.lit('<span class="chatlog__author" data-user-id="u'), F.col("person_id").cast("string"), F.lit('">User '),
-        F.col("person_id").cast("string"), F.lit('</span><div class="chatlog__content"><div>'), _escape(text), F.lit("</div></div>"),
+        reply, author, F.lit('<div class="chatlog__content"><div>'), _escape(text), F.lit("</div></div>"),
         F.when(F.col("attachment_count") > 0, F.concat(F.lit('<div class="chatlog__attachment"><a href="'), F.col("attachment_preview"), F.lit('">f</a></div>'))).otherwise(F.lit("")),
         F.when(F.col("reaction_count") > 0, F.concat(
             F.lit('<div class="chatlog__reaction" title="t"><img class="chatlog__emoji" alt="👍" src="e.png"><span class="chatlog__reaction-count">'),
@@ -98,6 +106,14 @@ add(
     "SELECT DISTINCT 'discord' AS platform, 'u' || CAST(user_id AS STRING) AS raw_id, 'User ' || CAST(user_id AS STRING) AS display_name FROM events",
     lambda spark, sf: read_discord(discord_files(spark, sf)).people.drop("ord"),
 )
+add(
+    "discord_replies_and_continuations",
+    _M + f", placed AS (SELECT *, CAST(id AS BIGINT) AS n, CAST(id AS BIGINT) // {BLOCK} AS block FROM messages), "
+    "lagged AS (SELECT *, lag(n) OVER (PARTITION BY channel_id, block ORDER BY n) AS p FROM placed) "
+    f"SELECT CAST({_SNOW} AS STRING) AS id, reply_to_id, 'u' || CAST(last_value(CASE WHEN n % 10 = 1 AND p IS NOT NULL THEN NULL ELSE person_id END IGNORE NULLS) "
+    "OVER (PARTITION BY channel_id, block ORDER BY n ROWS UNBOUNDED PRECEDING) AS STRING) AS person_raw_id FROM lagged",
+    lambda spark, sf: read_discord(discord_files(spark, sf, threads=True)).messages.select("id", "reply_to_id", "person_raw_id"),
+)
 
 
 # -- Facebook ----------------------------------------------------------------
@@ -106,19 +122,24 @@ _FB_NICK = 11  # ... a nickname, _FB_ADD ... a new member
 _FB_ADD = 13
 
 
-def facebook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facebook_files(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
+    """Exports of all messages; ``plain`` ones have reaction lists and people who leave, but no bare emoji and nicknames."""
     m = _messages(spark, sf_dir)
     kind = F.col("n") % 50
     who = F.concat(F.lit("User "), F.col("person_id").cast("string"))
     text = (
-        F.when(kind == _FB_EMOJI, F.lit("🔥"))
-        .when(kind == _FB_NICK, F.concat(who, F.lit(" set their own nickname to Nick "), (F.col("n") % 3).cast("string"), F.lit(" of "), who, F.lit(".")))
+        F.when((kind == _FB_ADD + 1) & F.lit(plain), F.concat(who, F.lit(" removed New "), (F.col("n") % 9).cast("string"), F.lit(" from the group.")))
+        .when((kind == _FB_ADD + 2) & F.lit(plain), F.concat(who, F.lit(" left the group.")))
+        .when((kind == _FB_EMOJI) & ~F.lit(plain), F.lit("🔥"))
+        .when((kind == _FB_NICK) & ~F.lit(plain), F.concat(who, F.lit(" set their own nickname to Nick "), (F.col("n") % 3).cast("string"), F.lit(" of "), who, F.lit(".")))
         .when(kind == _FB_ADD, F.concat(who, F.lit(" added New "), (F.col("n") % 9).cast("string"), F.lit(" and Other to the group.")))
         .otherwise(_escape(F.coalesce(F.col("content"), F.lit(""))))
     )
+    item = F.lit("<li>👍 User 1</li>")
+    given = F.when(F.lit(plain) & (F.col("reaction_count") > 0), F.concat(F.lit('<ul class="_tqp">'), F.repeat(item, F.col("reaction_count")), F.lit("</ul>"))).otherwise(F.lit(""))
     box = F.concat(
         F.lit('<div class="pam _3-95 _2pi0 _2lej uiBoxWhite noborder"><div class="_2lek">'), who, F.lit('</div><div class="_2let"><div>'),
-        text, F.lit("</div></div><div>"), F.date_format("ts", "dd MMM yyyy, HH:mm"), F.lit("</div></div>"),
+        text, F.lit("</div>"), given, F.lit("</div><div>"), F.date_format("ts", "dd MMM yyyy, HH:mm"), F.lit("</div></div>"),
     )
     chat = F.concat(F.lit("Chat_"), F.col("channel_id").cast("string"))
     # file names in order are newest first, as in real archives
@@ -176,6 +197,24 @@ add(
         "channel_raw_id", "kind", "actor_raw_id", "target_raw_id", "ts"
     ),
 )
+add(
+    "facebook_reaction_lists",
+    f"WITH messages AS ({demo.MESSAGES_TEXT}) SELECT 'Chat_' || CAST(channel_id AS STRING) AS channel_raw_id, date_trunc('minute', ts) AS minute, "
+    "SUM(reaction_count)::BIGINT AS reactions, COUNT(DISTINCT reaction_count) AS counts FROM messages "
+    "WHERE content IS NOT NULL AND content NOT LIKE 'http%' AND CAST(id AS BIGINT) % 50 NOT IN (13, 14, 15) GROUP BY ALL",
+    lambda spark, sf: read_facebook(facebook_files(spark, sf, plain=True)).messages.filter("content <> '' AND NOT is_system").groupBy(
+        "channel_raw_id", F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("minute")
+    ).agg(F.sum("reaction_count").alias("reactions"), F.count_distinct("reaction_count").alias("counts")),
+)
+add(
+    "facebook_members_gone",
+    f"WITH messages AS ({demo.MESSAGES_TEXT}), m AS (SELECT *, CAST(id AS BIGINT) % 50 AS kind, 'User ' || CAST(person_id AS STRING) AS who FROM messages) "
+    "SELECT 'Chat_' || CAST(channel_id AS STRING) AS channel_raw_id, CASE kind WHEN 14 THEN 'removed' ELSE 'left' END AS kind, who AS actor_raw_id, "
+    "CASE kind WHEN 14 THEN 'New ' || CAST(CAST(id AS BIGINT) % 9 AS STRING) ELSE who END AS target_raw_id, date_trunc('minute', ts) AS ts FROM m WHERE kind IN (14, 15)",
+    lambda spark, sf: read_facebook(facebook_files(spark, sf, plain=True)).member_events.filter("kind <> 'added'").select(
+        "channel_raw_id", "kind", "actor_raw_id", "target_raw_id", "ts"
+    ),
+)
 add(
     "facebook_nicknames",
     _FB + ", nicks AS (SELECT channel_id, n, author, minute, 'Nick ' || CAST(n % 3 AS STRING) || ' of ' || author AS nick FROM cleaned "
@@ -247,6 +286,12 @@ add(
     lambda spark, sf: read_signal(signal_files(spark, sf), demo.DEMO_CONFIG).channels.select("raw_id", "name"),
 )
 
+add(
+    "merged_channels",
+    _SIGNAL + "SELECT 'Signal: signal_decrypted' AS source_name, chat AS raw_id, 'Chat' AS name FROM placed GROUP BY 2 "
+    "UNION SELECT 'Discord: Guild', chat, 'chat' FROM placed",
+    lambda spark, sf: merge([read_discord(discord_files(spark, sf)), read_signal(signal_files(spark, sf)), read_discord(discord_files(spark, sf))]).channels,
+)
 
 
 def backup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
