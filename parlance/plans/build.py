@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from ..sources.seeds import Export, merge
 from ..sources.signal import read_signal
 
 POINTER = "CURRENT"
+STAGED = "_staged"
 #: derived tables and the column their files are clustered by, so that scans for one key skip files
 FACT_KEYS = {
     "message_tokens": "token",
@@ -33,6 +35,8 @@ FACT_KEYS = {
     "message_search_trigrams": "gram",
     "message_reaction_events": "emoji",
 }
+#: file names that may be broadcast, some 100 bytes each
+LISTED_FILES = 100_000
 #: tasks that a key with many rows is spread over
 SALTS = 16
 PLAIN_TABLES = (
@@ -85,14 +89,25 @@ def channel_tables(sources: DataFrame, channels: DataFrame, config: Config) -> t
 def dedupe_messages(messages: DataFrame, order: str = "ord") -> DataFrame:
     """Of messages with the same id the earliest; equal times keep reading order.
 
-    An aggregation, so copies are reduced before they are shuffled.
+    Which one that is comes from narrow columns alone; only ids that occur more than once
+    need the look-up, and no row is packed whole.
     """
-    row = F.struct(*messages.columns)
-    return messages.groupBy("id").agg(F.min_by(row, F.struct("ts", order)).alias("m")).select("m.*")
+    keys = messages.groupBy("id").agg(F.count(F.lit(1)).alias("n_"), F.min(F.struct("ts", F.col(order).alias("o_"))).alias("first_"))
+    again = keys.filter("n_ > 1").select("id", F.col("first_.ts").alias("ts_"), F.col("first_.o_").alias("o_"))
+    kept = F.col("ts_").isNull() | ((F.col("ts") == F.col("ts_")) & (F.col(order) == F.col("o_")))
+    return messages.join(again, "id", "left").filter(kept).select(*messages.columns)
 
 
-def message_table(messages: DataFrame, channels: DataFrame, sources: DataFrame, identities: DataFrame) -> DataFrame:
-    """Deduplicated messages with all ids; keeps the identity columns for conversations."""
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def message_table(
+    messages: DataFrame, channels: DataFrame, sources: DataFrame, identities: DataFrame, stage: Stage = lambda df, _: df
+) -> DataFrame:
+    """Deduplicated messages with all ids; keeps the identity columns for conversations.
+
+    ``stage`` writes the rows before conversations are looked for, since these read them twice.
+    """
     dim = channels.select(F.col("id").alias("channel_id"), "source_id", F.col("platform_channel_id").alias("channel_raw_id")).join(
         sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id"
     ).drop("source_id")
@@ -104,7 +119,7 @@ def message_table(messages: DataFrame, channels: DataFrame, sources: DataFrame,
         .withColumn("word_count", tx.word_count(F.col("content")))
         .withColumn("char_count", tx.char_count(F.col("content")))
     )
-    return assign_conversations(rows).select(
+    return assign_conversations(stage(rows, "rows")).select(
         "id", "channel_id", "person_id", "ts", "content", "reply_to_id", "word_count", "char_count", "attachment_count",
         "attachment_preview", "reaction_count", "reaction_summary", "reaction_details_json", "is_edited", "is_system",
         F.lit(None).cast("string").alias("lang"), F.lit(None).cast("float").alias("sentiment"), "conversation_id",
@@ -153,6 +168,8 @@ def member_event_table(
 def read_exports(spark: SparkSession, data_root: str, config: Config, filter_signal: bool) -> Export:
     root = data_root.rstrip("/")
     wanted = discover_exports(spark, root).select("path")
+    if wanted.limit(LISTED_FILES + 1).count() <= LISTED_FILES:
+        wanted = F.broadcast(wanted)  # else the bytes of all files would travel to meet a list of names
 
     def files(folder: str, pattern: str) -> DataFrame:
         return read_files(spark, f"{root}/{folder}", pattern).join(wanted, "path", "left_semi")
@@ -177,6 +194,16 @@ def _write(df: DataFrame, folder: str, key: str | None = None) -> None:
     df.write.mode("overwrite").parquet(folder)
 
 
+def _staging(spark: SparkSession, folder: str) -> Stage:
+    """Writes rows below ``folder`` as Parquet and reads them back: parsed once, then read by column."""
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{STAGED}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{STAGED}/{name}")
+
+    return stage
+
+
 def write_tables(export: Export, folder: str, config: Config) -> None:
     """All tables of a dataset below one folder."""
     spark = export.messages.sparkSession
@@ -189,7 +216,7 @@ def write_tables(export: Export, folder: str, config: Config) -> None:
     read = {n: spark.read.parquet(f"{folder}/{n}") for n in ("people", "platform_identities", "sources", "channels", "themes")}
     dims = (read["channels"], read["sources"], read["platform_identities"])
 
-    whole = message_table(export.messages, *dims)
+    whole = message_table(export.messages, *dims, stage=_staging(spark, folder))
     month = F.year("ts") * 100 + F.month("ts")
     # neighbours in a channel lie in one file, and a month in few
     laid_out = whole.withColumn(MONTH_KEY, month).repartitionByRange(MONTH_KEY, "channel_id", "ts", "id")
@@ -267,10 +294,12 @@ def build(
     try:
         export = read_exports(spark, data_root, config, bool(config.people) if filter_signal is None else filter_signal)
         # each consumer below would otherwise parse the exports again
-        export.messages = pinned(export.messages)
-        export.people = pinned(export.people)
+        stage = _staging(spark, folder)
+        export.messages = stage(export.messages, "messages")
+        export.people = stage(export.people, "people")
         write_tables(export, folder, config)
         validate(spark, folder, export.messages.select("id").distinct().count())
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGED}"), True)
     except Exception:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
         raise

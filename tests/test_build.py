@@ -127,6 +127,7 @@ def test_failed_build_keeps_the_current_one(spark, data, built, monkeypatch):
     with pytest.raises(RuntimeError, match="fact build failed"):
         plan.build(spark, data, out, CONFIG)
     assert plan.current_folder(spark, out) == before
+    assert not os.path.exists(f"{before}/{plan.STAGED}")
     assert [n for n in os.listdir(out) if n.startswith("build_id=")] == [before.rsplit("/", 1)[1]]
     with pytest.raises(FileExistsError):
         plan.build(spark, data, out, CONFIG, overwrite=False)
