@@ -79,4 +79,5 @@ def main() -> None:
     print(json.dumps(out))
 
 
-main()
+if __name__ == "__main__":
+    main()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..model import Chat
+from ..model import MONTH_KEY, Chat
 
 
 def message_tokens(messages: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def message_mentions(messages: DataFrame) -> DataFrame:
 
 
 def message_trigrams(messages: DataFrame) -> DataFrame:
+    """(message_id, gram), and the month where messages are stored by it: a search then reads the months of its hits only."""
     long_enough = messages.filter(F.length("content") >= 3)
-    return long_enough.select(F.col("id").alias("message_id"), F.explode(tx.trigrams(F.col("content"))).alias("gram"))
+    month = [MONTH_KEY] if MONTH_KEY in messages.columns else []
+    return long_enough.select(F.col("id").alias("message_id"), F.explode(tx.trigrams(F.col("content"))).alias("gram"), *month)
 
 
 def fact_metadata(spark) -> DataFrame:

@@ -89,12 +89,7 @@ def channels_in_scope(chat: Chat, filters: Filters, theme_match: str = "resolved
             return dim.filter(F.col("theme_id").isin(*filters.themes))
         names = chat.config.theme_names(filters.themes)
         if not chat.config.themes:
-            # nothing configured: the ids are positions in the stored theme list
-            place = F.row_number().over(_by_id())
-            wanted = chat.themes.select(F.col("id").alias("theme_id"), place.alias("pos")).filter(
-                F.col("pos").isin(*filters.themes)
-            )
-            return dim.join(wanted.select("theme_id"), "theme_id", "left_semi")
+            return dim.filter(F.col("theme_id").isin(*filters.themes))  # nothing configured: the ids of the stored themes, dense from 1
         if not names:
             return dim.filter(F.lit(False))
         if theme_match == "names":
@@ -104,12 +99,6 @@ def channels_in_scope(chat: Chat, filters: Filters, theme_match: str = "resolved
     return dim
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")  # themes only: as many rows as the configuration has
-
-
 def scope(
     chat: Chat,
     filters: Filters = Filters(),

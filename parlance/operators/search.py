@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_literal
-from ..model import Chat, Filters
+from ..model import MONTH_KEY, Chat, Filters
 from .scope import scope
 
 
@@ -19,10 +19,11 @@ def query_grams(q: str) -> list[str]:
 
 def messages_with_grams(trigrams: DataFrame, grams: list[str]) -> DataFrame:
     """Ids of messages that hold every gram. Only the listed grams are read; a message has each gram once."""
+    month = [MONTH_KEY] if MONTH_KEY in trigrams.columns else []
     return (
         trigrams.filter(F.col("gram").isin(grams))
-        .groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") == len(grams)).select(F.col("message_id").alias("id"))
+        .groupBy("message_id", *month).agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") == len(grams)).select(F.col("message_id").alias("id"), *month)
     )
 
 
@@ -37,7 +38,9 @@ def search_matches(chat: Chat, q: str, filters=Filters()) -> DataFrame:
     rows = scope(chat, replace(filters, include_bots=True), system=True)
     ascii_only = all(ord(c) < 128 for c in q)
     if ascii_only and len(q.casefold()) >= 3 and chat.trigrams is not None:
-        rows = rows.join(messages_with_grams(chat.trigrams, query_grams(q)), "id", "left_semi")
+        hits = messages_with_grams(chat.trigrams, query_grams(q))
+        keys = [c for c in hits.columns if c in rows.columns]  # the month too, where both have it: partitions without hits are not read
+        rows = rows.join(hits.select(*keys), keys, "left_semi")
     pattern = like_literal(q)
     content = F.col("content")
     return rows.filter(content.ilike(pattern) if ascii_only else content.like(pattern))

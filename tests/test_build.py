@@ -95,7 +95,9 @@ def test_facts_and_stats(built):
 def test_queries_on_the_build(built):
     _, c = built
     assert rankings.top_themes(c).head().name == "Talk"
-    assert search.search_matches(c, "YOUTU.BE").count() == 1
+    found = search.search_matches(c, "YOUTU.BE")
+    assert found.count() == 1
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()  # months without hits are not read
     assert [r.word for r in words.top_words(c, Filters(platforms=("facebook",)), limit=1).collect()] == ["words"]
     shown = people.person_diversity(c)
     assert {r.source for r in shown.collect()} == {"materialized"}
