@@ -152,9 +152,6 @@ def parse(source: str | None) -> Page:
     return page
 
 
-NUMBERS = 17
-
-
 def features(pages: list[Page]) -> np.ndarray:
     """One row a node: kinds of tag and attribute words, those of ancestors, and the numbers:
     text, links, density, place, depth, children and siblings."""

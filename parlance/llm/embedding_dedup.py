@@ -148,7 +148,8 @@ def near_duplicates(
 
     Unusable vectors (see ``distinct_vectors``) have no links and are their own component.
     Equal vectors link with each other; rows that share a vec_id are counted as rows. A null
-    vec_id is never a component. An empty table gives no rows.
+    vec_id is never a component, and a vector all of whose rows have a null id is compared
+    with its equals only. An empty table gives no rows.
     """
     distinct = staged(distinct_vectors(vectors))
     found = staged(linked(distinct, threshold, tables, projections, width, block))

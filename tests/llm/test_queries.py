@@ -1,6 +1,7 @@
 """Queries of the llm subpackage on the smallest tables: against their SQL where there is one, else against brute force."""
 
 import hashlib
+import html
 import re
 import zlib
 
@@ -107,8 +108,6 @@ def test_op6_articles(spark, sf, con):
     right = 0
     for page_id, source in rows:
         inner = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)[1]
-        import html
-
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " " if "<br>" in b else "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         right += got[page_id] == "\n\n".join(b for b in blocks if b)
     assert right >= 0.98 * len(rows)
