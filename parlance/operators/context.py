@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Chat
+from ..session import pinned
 from .asof import as_of
 from .scope import channel_dim, shown_channel
 
@@ -91,7 +92,8 @@ def window_rows(chat: Chat, message_id: str, context: int = 10, full: bool = Fal
 
 def message_window(chat: Chat, message_id: str, context: int = 10, full: bool = False) -> DataFrame:
     """The neighbourhood of a message, with names as they were then."""
-    rows = names_at_time(chat, window_rows(chat, message_id, context, full))
+    near = window_rows(chat, message_id, context, full)
+    rows = names_at_time(chat, near if full else pinned(near))  # a few rows, which dating the names reads several times
     avatars = chat.config.people_df(chat.spark).select(
         F.col("person").alias("person_name_canonical"), F.nullif("avatar", F.lit("")).alias("avatar_url")
     ).dropDuplicates(["person_name_canonical"])

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
-from ..functions import text as tx
 from ..model import Chat, Filters
 from ..operators import (
     context, facts, history, links, overview, people, rankings, reactions, search, sessions, timelines, words,
