@@ -135,9 +135,10 @@ class Index:
         )
         starts = F.sequence(F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("words") - F.col("size"), F.size("doc") - F.col("size") - F.col("shift")))
         same = lambda i: F.slice("doc", F.col("shift") + i + 1, F.col("size")) == F.slice("words", i + 1, F.col("size"))
-        possible = F.col("shift") + F.col("size") <= F.size("doc")
-        hits = spread.filter(possible & (F.size("words") - F.col("size") >= -F.col("shift"))).select(
-            "row", "item_id", F.explode(F.filter(starts, same)).alias("start"), "shift", "size"
+        last = F.least(F.size("words"), F.size("doc") - F.col("shift")) - F.col("size")  # a window ends in the item and the document
+        possible = last >= F.greatest(F.lit(0), -F.col("shift"))  # else the sequence of starts would run down
+        hits = spread.select("*", F.when(possible, starts).alias("starts")).filter(F.col("starts").isNotNull()).select(
+            "row", "item_id", F.explode(F.filter("starts", same)).alias("start"), "shift", "size"
         )
         return hits.select(
             "row", "item_id", F.explode(F.sequence(F.col("shift") + F.col("start"), F.col("shift") + F.col("start") + F.col("size") - 1)).alias("at")

@@ -144,6 +144,15 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
 
 
+def test_fragments_of_a_longer_item(spark):
+    words = text_of(22, 20).split()
+    others = words[:8] + words[10:]
+    docs = [(1, " ".join(words[8:10])), (2, " ".join(words[1:10])), (3, " ".join(words)), *((i, " ".join(others)) for i in range(4, 8))]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {1: 0, 2: 0, 3: 20, 4: 10, 5: 10, 6: 10, 7: 10}  # words 11 to 20 are a window
+
+
 def test_decontaminate_near(spark):
     words = text_of(20, 40).split()
     docs = spark.createDataFrame([(1, " ".join(words[:25] + ["inserted"] + words[25:])), (2, text_of(21))], "doc_id long, text string")
