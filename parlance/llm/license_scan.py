@@ -1,7 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (case, punctuation, quotes, comment marks and
-runs of spaces go) and looked up among known licence sentences, which gives an identifier. The
+A text is cut into pieces at line feeds and sentence ends, and each is normalised (case,
+punctuation, quotes, comment marks and runs of spaces go). Successive pieces of a paragraph,
+as many as fit, are looked up among known licence sentences, which gives an identifier: so a
+sentence is found on one line as well as wrapped over several. Blank lines, also those with a
+comment mark only, end a paragraph. The
 identifiers of a document, in order, are then matched against an ordered list of rules, each a
 sequence of identifiers that stands for a licence; matched sentences are used up. Known
 sentences that no rule takes are reported as they are.
@@ -14,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import fresh
 
-BREAK = r"(?<=[.!?;:])\s+|[\r\n]+"
+BREAK = r"\r\n|\n|\r|(?<=[.!?;:])[ \t\x0B\f]++(?![\r\n])"
 NOISE = r"[^\p{L}\p{N}.+]+"
 STOP = r"\.(?= |$)"
 
@@ -115,10 +117,34 @@ def normal_text(sentence: str) -> str:
 
 
 def parts_of(sentence: str) -> list[str]:
-    """A known sentence may itself hold marks that end one; each part is known under its number."""
+    """A known sentence may itself hold marks that end one."""
     return [p for p in (normal_text(p) for p in re.split(r"(?<=[.!?;:])\s+|[\r\n]+", sentence)) if p]
 
 
+def beginnings(known: dict[str, str]) -> set[str]:
+    """All known sentences cut off behind any of their words."""
+    return {" ".join(words[:n]) for words in map(str.split, known) for n in range(1, len(words) + 1)}
+
+
+def named(pieces: list[str], known: dict[str, str], begun: set[str]) -> list[str]:
+    """Identifiers of the known sentences that successive pieces make up; of two that start at
+    the same piece the longer one. An empty piece is a blank line, which no sentence crosses."""
+    out, at = [], 0
+    while at < len(pieces):
+        text, stop, name, after = pieces[at], at + 1, None, at + 1
+        while text in begun:
+            if text in known:
+                name, after = known[text], stop
+            if stop == len(pieces) or not pieces[stop]:
+                break
+            text += " " + pieces[stop]
+            stop += 1
+        if name is not None:
+            out.append(name)
+        at = after
+    return out
+
+
 def apply_rules(ids: list[str], rules: list[tuple[tuple[str, ...], str]]) -> tuple[list[str], list[str]]:
     """Licences of an identifier sequence, by place, and the identifiers left over."""
     found, used = [], [False] * len(ids)
@@ -142,25 +168,20 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     replaced.
     """
     sentences, rules = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
-    known: dict[str, str] = {}
-    for sentence, name in sentences.items():
-        parts = parts_of(sentence)
-        for i, part in enumerate(parts):
-            known[part] = name if i == 0 else ""  # what follows belongs to the part before it
+    known = {" ".join(parts_of(sentence)): name for sentence, name in sentences.items()}
+    begun = beginnings(known)
     kept = docs.drop("sentence_ids", "licenses", "left_over")
     name = fresh(kept)
-    ids = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
-    named = F.transform(F.split(F.col("text"), BREAK), lambda s: ids[normal(s)])
-    found = F.coalesce(F.filter(named, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+    pieces = F.transform(F.split(F.col("text"), BREAK), normal)
 
-    @F.pandas_udf("licenses array<string>, left_over array<string>")
+    @F.pandas_udf("sentence_ids array<string>, licenses array<string>, left_over array<string>")
     def ruled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([apply_rules(list(x), rules) for x in batch], columns=["licenses", "left_over"])
+            ids = [[] if x is None else named(list(x), known, begun) for x in batch]
+            yield pd.DataFrame([(x, *apply_rules(x, rules)) for x in ids], columns=["sentence_ids", "licenses", "left_over"])
 
     some_word = F.col("text").rlike("(?i)licen[cs]|rights|permi|redistrib|warrant|copyright|domain|software|names? of|use of") if sentences is SENTENCES else F.lit(True)
     return (
-        kept.withColumn("sentence_ids", F.when(some_word, found).otherwise(F.array().cast("array<string>")))
-        .withColumn(name, ruled("sentence_ids"))
-        .select(*kept.columns, "sentence_ids", f"{name}.*")
+        kept.withColumn(name, ruled(F.when(some_word, pieces)))
+        .select(*kept.columns, f"{name}.*")
     )

@@ -227,6 +227,61 @@ def test_known_sentences_are_found(spark):
     assert row["sentence_ids"] == ["BSDSource", "CC-BY-NC-4"] and row["licenses"] == ["CC-BY-NC-4.0"] and row["left_over"] == ["BSDSource"]
 
 
+WRAPPED = {
+    "BSD-3-Clause": """
+/*
+ * Copyright (c) 2020, Somebody. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+ * AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+ * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ * ARE DISCLAIMED. IN NO EVENT SHALL
+ */""",
+    "MIT": """
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in
+# all copies or substantial portions of the Software.""",
+    "GPL-2.0-or-later": """
+// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation; either version 2 of the License, or
+// (at your option) any later version.
+""",
+    "GPL-3.0-or-later": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+}
+
+
+def test_wrapped_licences_are_found(spark):
+    rows = [(i, text_of(i) + "\n" + text + "\n" + text_of(9)) for i, text in enumerate(WRAPPED.values())]
+    rows.append((9, "Redistributions of source code must retain the above copyright notice,\n\nthis list of conditions and the following disclaimer."))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["licenses"] for i in range(len(WRAPPED))] == [[name] for name in WRAPPED]
+    assert got[9]["sentence_ids"] == [] and all(got[i]["left_over"] == [] for i in range(len(WRAPPED)))
+
+
 def test_urls(spark):
     at = lambda d: f"2024-01-{d:02d} 12:00:00"
     entries = spark.createDataFrame(
