@@ -171,6 +171,35 @@ def test_chain(odd, none):
     assert by[1]["text"] == text_of(1) and by[2]["text"] == "" and by[2]["n_chars"] == 0 and by[4]["text"] is None
 
 
+def exact_words(texts, size=50):
+    """Per text the words inside windows of ``size`` that an earlier text has."""
+    seen, need = set(), {}
+    for doc, text in texts:
+        words = text.split()
+        grams = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+        need[doc] = {w for i, g in enumerate(grams) if g in seen for w in range(i, i + size)}
+        seen.update(grams)
+    return need
+
+
+def found_words(spark, texts):
+    found = {doc: set() for doc, _ in texts}
+    for r in chain_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        found[r["doc_id"]] |= set(range(r["start_word"], r["stop_word"]))
+    return found
+
+
+def test_passages_of_lines_that_stand_alone_elsewhere(spark):
+    texts = []
+    for case in range(30):  # two lines, each alone before and between the documents that have both
+        a, b, at = text_of(1000 + case, 27), text_of(2000 + case, 27), case * 10
+        around = [text_of(10_000 + 10 * case + i, 30) for i in range(6)]
+        texts += [(at, f"{around[0]} {a}"), (at + 1, f"{b} {around[1]}"), (at + 2, f"{around[2]} {a} {b} {around[2]}")]
+        texts += [(at + 3, f"{around[3]} {a}"), (at + 4, f"{b} {around[4]}"), (at + 5, f"{around[5]} {a} {b} x")]
+    need, found = exact_words(texts), found_words(spark, texts)
+    assert sum(map(bool, need.values())) == 30 and not [d for d in need if not need[d] <= found[d]]
+
+
 def test_chains_prefer_the_ascending_matches():
     a, b = np.array([0, 6, 12, 18, 24, 30]), np.array([100, 106, 3, 118, 124, 130])
     best = chain_dedup.chains(a, b)[0]
