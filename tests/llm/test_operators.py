@@ -200,6 +200,16 @@ def test_passages_of_lines_that_stand_alone_elsewhere(spark):
     assert sum(map(bool, need.values())) == 30 and not [d for d in need if not need[d] <= found[d]]
 
 
+def test_passages_whose_lines_stand_before_them_in_the_same_document(spark):
+    texts = []
+    for case in range(30):
+        a, b = text_of(3000 + case, 27), text_of(4000 + case, 27)
+        around = [text_of(20_000 + 10 * case + i, 30) for i in range(4)]
+        texts += [(2 * case, f"{a} {around[0]} {b} {around[1]} {a} {b} {around[2]}"), (2 * case + 1, f"{around[3]} {a} {b} x")]
+    need, found = exact_words(texts), found_words(spark, texts)
+    assert sum(map(bool, need.values())) == 30 and not [d for d in need if not need[d] <= found[d]]
+
+
 def test_chains_prefer_the_ascending_matches():
     a, b = np.array([0, 6, 12, 18, 24, 30]), np.array([100, 106, 3, 118, 124, 130])
     best = chain_dedup.chains(a, b)[0]
