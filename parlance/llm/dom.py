@@ -19,6 +19,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 # tags by what HTML says of them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+NESTED = frozenset("template svg select object canvas video audio".split())  # of RAW: what follows one without an end tag is text
 RAW = frozenset("script style noscript template iframe svg textarea title select object canvas video audio".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -65,12 +66,24 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # (node, nodes begun before it, text)
 
 
+def pairs_of(source: str, tag: str) -> dict[int, int]:
+    """Where each element of a tag that has an end tag starts, and the place behind its end."""
+    out, begun = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*>?", source, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                begun.append(m.start())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 def parse(source: str | None) -> Page:
     page, stack, opened = Page(), [0], Counter()
     page.tag.append("html")
     for values, first in ((page.parent, -1), (page.depth, 0), (page.end, 0), (page.bits, _TAG_BITS["html"]), (page.above, 0), (page.label, "")):
         values.append(first)
-    source = source or ""
+    source, ends = source or "", {}
 
     def close(upto: int) -> None:
         while len(stack) > upto:
@@ -141,6 +154,11 @@ def parse(source: str | None) -> Page:
             page.texts.append((up, len(page.tag), "\n"))
         if tag in VOID or m[0].endswith("/>") and tag not in ENDS_P:
             continue
+        if tag in NESTED:
+            if tag not in ends:
+                ends[tag] = pairs_of(source, tag)
+            at = ends[tag].get(m.start(), at)
+            continue
         if tag in RAW:  # nothing in it is text of the page
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
             at = stop.end() if stop else n

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    chain_dedup, components, decontaminate, embedding_dedup, golay, html_extract, language_id, license_scan, mixing, simhash, suffix_dedup, url_filter,
+    chain_dedup, components, decontaminate, dom, embedding_dedup, golay, html_extract, language_id, license_scan, mixing, simhash, suffix_dedup, url_filter,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, x_doc string, score double, taken long, spans string, row long"
@@ -235,6 +235,14 @@ def test_html(spark, none):
     assert html_extract.extract(pages.limit(0), html_extract.fit(pages.limit(0))).count() == 0
 
 
+def test_embedded_elements_without_an_end_tag_hide_nothing_else():
+    words = lambda source: " ".join(" ".join(t[2] for t in dom.parse(source).texts).split())
+    for tag in ("object", "video", "audio", "canvas", "select", "svg", "template"):
+        assert words(f"<p>one</p><{tag} a=b><p>two</p>") == "one two"
+        assert words(f"<p>one</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>two</p>") == "one two"
+    assert words("<p>one</p><script>x <p>two</p>") == "one"
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (None, [1.0, 0.0], "x"), (4, None, "x"), (5, [], "x"), (6, [float("inf"), 1.0], "x"), (7, [0.0, 1.0], "x"), (8, [1.0], "x")]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")).collect()
