@@ -156,19 +156,19 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1) -> Dat
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, planes: int = 1) -> DataFrame:
-    """``doc_id``, ``fp`` (the first plane), ``node`` and ``component_id`` for every row of ``docs``.
+    """``doc_id``, ``fp`` (the first plane), ``node``, ``component_id`` and ``digest`` (of the text) for every row of ``docs``.
 
     Texts without words share fingerprint 0 and are linked like any other. Rows with equal
     ids are kept apart by nothing: each gets its own fingerprint's component. A null id
     takes part, and a component of null ids only has a null id. An empty table gives no rows.
     """
-    printed = staged(fingerprints(docs.select("doc_id", "text"), shingle, planes).select("doc_id", "node", "fps"))
+    printed = staged(fingerprints(docs.select("doc_id", "text"), shingle, planes).select("doc_id", F.xxhash64("text").alias("digest"), "node", "fps"))
     distinct = staged(printed.groupBy("node", "fps").agg(F.min("doc_id").alias("first_id")))
     found = components(fingerprint_links(distinct, distance, planes))
     named = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = named.join(label, "component").select("node", "component_id")
-    return printed.join(by_node, "node").select("doc_id", F.col("fps")[0].alias("fp"), "node", "component_id")
+    return printed.join(by_node, "node").select("doc_id", F.col("fps")[0].alias("fp"), "node", "component_id", "digest")
 
 
 #: For whole documents: three fingerprints of word pairs. Texts that share four fifths of their
@@ -182,9 +182,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR["shingle"], distan
 
     The defaults find copies and what is as similar as 0.8 of the five-word shingles. Texts
     without words form one group. Rows that share the smallest id of a group all stay, and so
-    do rows whose id is null.
+    do rows whose id is null. Of rows with one id and different texts, only the copies go.
     """
     name = fresh(docs)
     groups = simhash_groups(docs, shingle, distance, planes)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name), F.col("digest").alias(f"{name}digest")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone[name]) & (F.xxhash64(docs["text"]) == gone[f"{name}digest"]), "left_anti")

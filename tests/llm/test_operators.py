@@ -93,6 +93,12 @@ def test_simhash_groups(odd, none):
     assert 1 in ids and 2 not in ids and 3 not in ids and 5 not in ids and 8 in ids
 
 
+def test_a_copy_does_not_take_another_text_with_its_id_along(spark):
+    rows = [(1, text_of(1)), (2, text_of(1)), (2, text_of(2)), (3, text_of(3))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2], rows[3]]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60, 1)] + [(100, 101), (5, 5), (7, 6), (7, 6)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
