@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """Written to the folder that all executors share and read back: cuts the lineage,
     survives lost executors, and later reads take only the columns they need."""
+    return stage(df)[0]
+
+
+def stage(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``staged``, with a call that deletes the table, for when all that reads it is written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def delete() -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.read.schema(df.schema).parquet(path), delete
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
