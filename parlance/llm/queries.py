@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chain_dedup, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash, suffix_dedup, url_filter,
+    centroids, chain_dedup, collocations, decontaminate, embedding_dedup, html_extract, language_id, license_scan, line_dedup, mixing, simhash,
+    suffix_dedup, url_filter,
 )
 from .shared import table
 
@@ -76,6 +77,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("centroid")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.apply_keep().cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op3_url_filter": op3_url_filter,
@@ -87,9 +101,15 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chain_dedup": op9_chain_dedup,
     "op10_mixing": op10_mixing,
+    "op11_phrase_collocation": op11_phrase_collocation,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_phrase_collocation": collocations.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
+    "op13_line_dedup": line_dedup.ORACLE,
 }
