@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Config
+from .session import written
 
 #: message columns, in table order
 MESSAGE_SCHEMA = (
@@ -98,6 +100,13 @@ class Chat:
     channel_name_changes: DataFrame | None = None
     member_events: DataFrame | None = None
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several operators read: written when first asked for, read after that."""
+        kept = self.__dict__.setdefault("_once", {})
+        if name not in kept:
+            kept[name] = written(make())
+        return kept[name]
+
     @property
     def spark(self) -> SparkSession:
         return self.messages.sparkSession

@@ -2,89 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import boundary_number, micros
+from ..session import written
 
-DAY = 86_400
+LEAF = 1024
 
 
-def as_of(
-    facts: DataFrame,
-    changes: DataFrame,
-    keys: list[str],
-    value: str,
-    out: str,
-    tie: str | None = None,
-    slot_seconds: int = DAY,
-) -> DataFrame:
-    """Left as-of join on ``keys``: adds ``out``, null where no change precedes the row.
+def latest_at(items: Column, at: Callable[[Column], Column], ts: Column) -> Column:
+    """The last of the sorted ``items`` whose ``at`` is not after ``ts``, by binary search; null where there is none."""
+    steps = F.sequence(F.floor(F.log2(F.size(items))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(place: Column, bit: Column) -> Column:
+        ahead = place + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((ahead <= F.size(items)) & (at(F.get(items, ahead - 1)) <= ts), ahead).otherwise(place)
 
-    Facts are never sorted or windowed. Time is cut into slots; every slot of a
-    key that has facts gets the pieces valid in it: the value carried in from
-    earlier slots, then each change inside the slot. A fact then meets exactly one
-    piece, through an equality on (keys, slot) and a range check. The join is one
-    adaptive execution can broadcast or split when a key is hot, since each side
-    is a plain scan.
+    return F.get(items, F.aggregate(steps, F.lit(0), step) - 1)
 
-    A slot is ``slot_seconds`` wide where changes are rare. Where a key has c of
-    them in such a slot it is halved until there are c parts or more, so that a
-    part holds about one change and the pairs tried grow with the rows, not with
-    their product. Values are carried over the parts of one slot first, then over
-    slots, on one row per active part.
+
+def change_leaves(changes: DataFrame, keys: list[str], value: str, tie: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """Changes of each key in sorted runs: ``keys``, ``first`` (time of the run's first change), ``items`` (start, value).
 
     Of changes at the same instant the one with the largest ``tie`` wins; without
-    ``tie``, the largest value.
+    ``tie``, the largest value. The changes are range-partitioned by key and time,
+    so those of a key are spread over tasks however they lie in time, and each task
+    cuts its stretch into runs of at most ``leaf``.
     """
     rank = F.struct(F.col(tie or value).alias("rank"), F.col(value).alias("value"))
-    change = (
-        changes.select(*keys, F.col("ts").alias("start"), rank.alias("r"))
-        .groupBy(*keys, "start").agg(F.max("r").alias("r"))
-        .select(*keys, "start", boundary_number(F.col("start"), slot_seconds).alias("slot"),
-                F.struct(F.col("r.value").alias("value")).alias("v"))
-    )
-    width = F.lit(slot_seconds * 1_000_000)
-    dense = change.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("c")).select(
-        *keys, "slot", F.greatest(F.lit(1), (width / F.pow(F.lit(2.0), F.ceil(F.log2("c")))).cast("bigint")).alias("wide")
+    last = changes.na.drop(subset=[*keys, "ts"]).groupBy(*keys, F.col("ts").alias("start")).agg(F.max(rank).alias("r"))
+    ranged = last.select(*keys, F.struct("start", F.col("r.value").alias("value")).alias("item")).repartitionByRange(
+        *keys, F.col("item.start")
     )
+    stretch = ranged.groupBy(F.spark_partition_id().alias("part"), *keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("items"), F.lit(leaf)), lambda i: F.slice("items", i, leaf))
+    return written(stretch.select(*keys, F.explode(runs).alias("items")).select(*keys, F.col("items")[0]["start"].alias("first"), "items"))
 
-    def parted(rows: DataFrame, at: str) -> DataFrame:
-        """Adds ``part``, the part of the slot that ``at`` lies in."""
-        inside = F.pmod(micros(F.col(at)), width)
-        wide = F.coalesce("wide", width)
-        return rows.join(dense, [*keys, "slot"], "left").withColumn("part", ((inside - F.pmod(inside, wide)) / wide).cast("bigint")).drop("wide")
-
-    change = parted(change, "start")
-    slotted = parted(facts.withColumn("slot", boundary_number(F.col("ts"), slot_seconds)), "ts")
-    active = slotted.select(*keys, "slot", "part").na.drop(subset=keys).distinct().withColumn("wanted", F.lit(True))
-    closing = change.groupBy(*keys, "slot", "part").agg(F.max_by("v", "start").alias("last"))
-    within_slot = W.partitionBy(*keys, "slot").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = active.join(closing, [*keys, "slot", "part"], "full").withColumn("v", F.last("last", ignorenulls=True).over(within_slot))
-    line = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    slots = parts.groupBy(*keys, "slot").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("part"))).alias("last")).withColumn(
-        "before", F.last("last", ignorenulls=True).over(line)
-    ).select(*keys, "slot", "before")
-    carried = (
-        parts.filter("wanted").join(slots, [*keys, "slot"])
-        .withColumn("v", F.coalesce("v", "before"))
-        .filter(F.col("v").isNotNull())
-        .select(*keys, "slot", "part", F.lit(None).cast("timestamp_ntz").alias("start"), "v")
-    )
-    within = W.partitionBy(*keys, "slot", "part").orderBy(F.asc_nulls_first("start"))
-    pieces = carried.unionByName(change.select(*keys, "slot", "part", "start", "v")).withColumn(
-        "end", F.lead("start").over(within)
-    )
-    f, p = slotted.alias("f"), pieces.alias("p")
-    condition = (F.col("f.slot") == F.col("p.slot")) & (F.col("f.part") == F.col("p.part"))
-    for key in keys:
-        condition = condition & (F.col(f"f.{key}") == F.col(f"p.{key}"))
-    condition = (
-        condition
-        & (F.col("p.start").isNull() | (F.col("p.start") <= F.col("f.ts")))
-        & (F.col("p.end").isNull() | (F.col("f.ts") < F.col("p.end")))
-    )
-    return f.join(p, condition, "left").select(
-        *[F.col(f"f.`{c}`") for c in facts.columns], F.col("p.v.value").alias(out)
+
+def as_of(
+    facts: DataFrame, changes: DataFrame, keys: list[str], value: str, out: str, tie: str | None = None, leaf: int = LEAF
+) -> DataFrame:
+    """Left as-of join on ``keys``: adds ``out``, null where no change precedes the row.
+
+    Facts are read once and neither sorted nor windowed. A fact meets the one row
+    of its key that lists where the runs of changes begin (see ``change_leaves``),
+    finds its run by binary search, meets that one run, and finds its change in
+    there. Both joins have at most one partner, on equalities, so few changes are
+    broadcast by their written size, and a hot key is split by adaptive execution.
+    The work is the logarithm of a key's changes a fact, wherever they lie in time.
+    """
+    leaves = change_leaves(changes, keys, value, tie, leaf)
+    starts = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+    f, d = facts.alias("f"), starts.alias("d")
+
+    def equal(left: str, right: str) -> Column:
+        condition = F.lit(True)
+        for key in keys:
+            condition = condition & (F.col(f"{left}.`{key}`") == F.col(f"{right}.`{key}`"))
+        return condition
+
+    run = latest_at(F.col("d.firsts"), lambda x: x, F.col("f.ts"))
+    found = f.join(d, equal("f", "d"), "left").select("f.*", run.alias("run_")).alias("f")
+    return found.join(leaves.alias("l"), equal("f", "l") & (F.col("f.run_") == F.col("l.first")), "left").select(
+        *[F.col(f"f.`{c}`") for c in facts.columns],
+        latest_at(F.col("l.items"), lambda x: x["start"], F.col("f.ts"))["value"].alias(out),
     )

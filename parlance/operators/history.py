@@ -22,11 +22,16 @@ def _not_you(text: Column) -> Column:
 
 
 def identity_names(chat: Chat) -> DataFrame:
-    """(platform, raw_id, person_id, resolved): the name an identity is shown under.
+    """(platform, raw_id, person_id, resolved, preferred): the name an identity is shown under,
+    and the best one its person is known by.
 
-    The person's own name, except where that is missing or "You": then the
-    configured name, then any better name the person is known by.
+    ``resolved`` is the person's own name, except where that is missing or "You": then
+    the configured name, then any better name the person is known by.
     """
+    return chat.once("identity_names", lambda: _identity_names(chat))
+
+
+def _identity_names(chat: Chat) -> DataFrame:
     known = chat.platform_identities.select(
         "platform", F.col("platform_user_id").alias("raw_id"), "person_id"
     ).join(chat.people.select(F.col("id").alias("person_id"), "display_name"), "person_id")
@@ -37,7 +42,7 @@ def identity_names(chat: Chat) -> DataFrame:
     first = F.when(name.isNull() | (name_key(name) == "you"), F.coalesce("person", name)).otherwise(name)
     return both.withColumn("first", first).join(better, "person_id", "left").select(
         "platform", "raw_id", "person_id",
-        F.when(name_key(F.col("first")) == "you", F.coalesce("preferred", "first")).otherwise(F.col("first")).alias("resolved"),
+        F.when(name_key(F.col("first")) == "you", F.coalesce("preferred", "first")).otherwise(F.col("first")).alias("resolved"), "preferred",
     )
 
 
@@ -130,8 +135,8 @@ def chats_of_configured_people(chat: Chat, least: int = 2) -> DataFrame:
     )
 
 
-def rename_history(chat: Chat, filters=Filters()) -> DataFrame:
-    """Real renames of chats, one row each, with their author.
+def renames(chat: Chat, filters=Filters()) -> DataFrame:
+    """Real renames of chats without their author.
 
     Chats that never changed from one name to another are left out; Signal chats
     need two configured people.
@@ -143,9 +148,13 @@ def rename_history(chat: Chat, filters=Filters()) -> DataFrame:
     rows = kept.join(renamed, "channel_id", "left_semi")
     admitted = chats_of_configured_people(chat).withColumn("ok", F.lit(True))
     rows = rows.join(admitted, "channel_id", "left").filter((F.col("platform") != "signal") | F.col("ok")).drop("ok")
-    return with_actor(chat, rows).select(
-        F.col("channel_id").alias("id"), "platform", "source_name", "source_id",
-        shown_channel(chat, F.col("channel_name"), F.col("source_name")).alias("current_name"),
+    return rows.withColumn("current_name", shown_channel(chat, F.col("channel_name"), F.col("source_name")))
+
+
+def rename_history(chat: Chat, filters=Filters()) -> DataFrame:
+    """Real renames of chats, one row each, with their author."""
+    return with_actor(chat, renames(chat, filters)).select(
+        F.col("channel_id").alias("id"), "platform", "source_name", "source_id", "current_name",
         F.col("chat_id").alias("platform_channel_id"), "previous_name", "new_name", "author_name", "ts",
     )
 
@@ -168,9 +177,7 @@ def nickname_history(chat: Chat, filters=Filters()) -> DataFrame:
         sources = sources.filter(F.col("platform").isin(*filters.platforms))
     people = chat.people.select(F.col("id").alias("person_id"), "display_name")
     rows = with_actor(chat, rows.join(sources, "source_id").join(people, "person_id"))
-    names = identity_names(chat).select("platform", "raw_id", "person_id").join(people, "person_id")
-    configured = chat.config.identities_df(chat.spark).select("platform", "raw_id", "person", "pos")
-    better = preferred_names(names.join(configured, ["platform", "raw_id"], "left"))
+    better = identity_names(chat).filter(F.col("person_id").isNotNull()).select("person_id", "preferred").distinct()
     owner = F.lit(chat.config.primary_person).cast("string")
     shown = F.coalesce(
         "preferred", F.when(name_key(F.col("display_name")) == "you", owner), F.col("display_name")
@@ -183,10 +190,7 @@ def nickname_history(chat: Chat, filters=Filters()) -> DataFrame:
 
 def chat_participants(chat: Chat, filters=Filters()) -> DataFrame:
     """Nickname history of the chats that have a rename history."""
-    chats = rename_history(chat, filters).select(
-        "source_id", F.col("platform_channel_id").alias("chat_id"), F.col("id").alias("channel_id"),
-        "current_name", "source_name",
-    ).distinct()
+    chats = renames(chat, filters).select("source_id", "chat_id", "channel_id", "current_name", "source_name").distinct()
     return nickname_history(chat, filters).join(chats, ["source_id", "chat_id"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,15 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read back. Like ``pinned``, but later plans
+    know the table's size and read only the columns they use."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small driver-side table. Sent as Arrow, so Catalyst sees local data and its true size."""
     schema = DataType.fromDDL(ddl)

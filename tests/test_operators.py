@@ -13,7 +13,7 @@ from parlance.functions import text as tx
 from parlance.functions.names import stable_color, unquote
 from parlance.model import int_list
 from parlance.operators import diversity, facts, people
-from parlance.operators.asof import as_of
+from parlance.operators.asof import as_of, change_leaves
 from parlance.operators.history import actor_display_name
 from parlance.operators.links import attachment_kind, domain_examples, is_url_only, shown_links, without_links
 from parlance.operators.numbering import numbered, numbered_in_time
@@ -400,6 +400,30 @@ def test_as_of_where_changes_are_dense(spark):
     f = spark.createDataFrame([("k", n, t) for n, t in facts], "k string, n long, ts timestamp_ntz")
     c = spark.createDataFrame([("k", t, v) for t, v in changes], "k string, ts timestamp_ntz, name string")
     assert {r.n: r.out for r in as_of(f, c, ["k"], "name", "out").collect()} == expected
+    cut = as_of(f, c, ["k"], "name", "out", leaf=7)  # the same through many runs
+    assert {r.n: r.out for r in cut.collect()} == expected
+    leaves = change_leaves(c, ["k"], "name", leaf=7).collect()
+    assert max(len(r["items"]) for r in leaves) <= 7 and sum(len(r["items"]) for r in leaves) == 300
+
+
+def test_as_of_reads_facts_once_and_does_not_sort_them(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "id % 3 AS k", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts").write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    changes = facts.filter("id % 50 = 0").select("k", "ts", F.col("id").cast("string").alias("v"))
+    dated = as_of(facts, changes, ["k"], "v", "found")
+    plan = dated._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/facts") == 1 and "Sort" not in plan.split("BroadcastHashJoin")[0] and "Window" not in plan
+    for r in dated.collect():
+        before = [i for i in range(0, r.id + 1, 50) if i % 3 == r.k]
+        assert r.found == (str(before[-1]) if before else None)
+
+
+def test_as_of_without_changes_or_facts(spark):
+    facts = spark.createDataFrame([(1, "a", T0)], "id int, k string, ts timestamp_ntz")
+    changes = spark.createDataFrame([("a", T0, "x")], "k string, ts timestamp_ntz, v string")
+    assert [r.found for r in as_of(facts, changes.limit(0), ["k"], "v", "found").collect()] == [None]
+    assert [r.found for r in as_of(facts, changes, ["k"], "v", "found").collect()] == ["x"]
+    assert as_of(facts.limit(0), changes, ["k"], "v", "found").count() == 0
 
 
 def test_exclusive_words_are_not_cut(spark):
