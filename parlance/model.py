@@ -80,6 +80,8 @@ class Chat:
     """A dataset: the fact table, its dimensions, and the tables derived from them.
 
     Derived tables that are None are computed from message content on the fly.
+    ``places`` and ``ordered`` number messages in (channel, ts, id) order; the first
+    is sorted by id, the second by number.
     """
 
     messages: DataFrame
@@ -99,6 +101,8 @@ class Chat:
     person_name_changes: DataFrame | None = None
     channel_name_changes: DataFrame | None = None
     member_events: DataFrame | None = None
+    places: DataFrame | None = None
+    ordered: DataFrame | None = None
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that several operators read: written when first asked for, read after that."""

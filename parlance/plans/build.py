@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.names import stable_color
 from ..model import MONTH_KEY, Chat
 from ..operators import facts
+from ..operators.context import message_places
 from ..operators.numbering import numbered, numbered_in_time
 from ..operators.people import person_stats
 from ..operators.reactions import reaction_events
@@ -186,11 +187,14 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _write(df: DataFrame, folder: str, key: str | None = None) -> None:
+def _write(df: DataFrame, folder: str, key: str | None = None, seen: Observation | None = None) -> None:
+    """Writes a table; ``seen`` takes the number of its rows in passing."""
     if key:
         # by hash, since ranges would derive the rows a first time to sample them; the salt splits keys with many rows
         salt = F.pmod(F.xxhash64("message_id"), F.lit(SALTS))
         df = df.repartition(key, salt).sortWithinPartitions(key, "message_id")
+    if seen:
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
     df.write.mode("overwrite").parquet(folder)
 
 
@@ -204,8 +208,17 @@ def _staging(spark: SparkSession, folder: str) -> Stage:
     return stage
 
 
-def write_tables(export: Export, folder: str, config: Config) -> None:
-    """All tables of a dataset below one folder."""
+def write_places(messages: DataFrame, folder: str) -> None:
+    """Message numbers in channel order, once as they are and once sorted by id with Bloom filters on it."""
+    message_places(messages).sortWithinPartitions("place").write.mode("overwrite").parquet(f"{folder}/message_order")
+    ordered = messages.sparkSession.read.parquet(f"{folder}/message_order")
+    by_id = ordered.repartition("id").sortWithinPartitions("id").write.mode("overwrite")
+    by_id.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{folder}/message_places")
+
+
+def write_tables(export: Export, folder: str, config: Config) -> dict[str, int]:
+    """All tables of a dataset below one folder. Returns what ``validate`` looks at, counted
+    while the rows were written, right before the files, where every row passes once."""
     spark = export.messages.sparkSession
     people, identities = people_tables(export.people, config)
     sources, channels, themes = channel_tables(export.sources, export.channels, config)
@@ -220,8 +233,14 @@ def write_tables(export: Export, folder: str, config: Config) -> None:
     month = F.year("ts") * 100 + F.month("ts")
     # neighbours in a channel lie in one file, and a month in few
     laid_out = whole.withColumn(MONTH_KEY, month).repartitionByRange(MONTH_KEY, "channel_id", "ts", "id")
-    laid_out.sortWithinPartitions(MONTH_KEY, "channel_id", "ts", "id").write.mode("overwrite").partitionBy(MONTH_KEY).parquet(f"{folder}/messages")
+    seen = {name: Observation() for name in ("messages", "message_search_trigrams", "message_reaction_events")}
+    counted = laid_out.sortWithinPartitions(MONTH_KEY, "channel_id", "ts", "id").observe(
+        seen["messages"], F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("reaction_count").cast("bigint")), F.lit(0)).alias("reactions"),
+        F.coalesce(F.max(F.length("content")), F.lit(0)).alias("longest"),
+    )
+    counted.write.mode("overwrite").partitionBy(MONTH_KEY).parquet(f"{folder}/messages")
     stored = spark.read.parquet(f"{folder}/messages")
+    write_places(stored, folder)
     _write(conversation_table(stored, ("platform", "person_raw_id")), f"{folder}/conversations")
     persons, chats = name_change_tables(export.name_changes, read["sources"], read["channels"], read["platform_identities"])
     _write(persons, f"{folder}/person_name_changes")
@@ -238,34 +257,29 @@ def write_tables(export: Export, folder: str, config: Config) -> None:
         "message_search_trigrams": facts.message_trigrams(stored),
         "message_reaction_events": reaction_events(stored, read["platform_identities"]),
     }.items():
-        _write(table, f"{folder}/{name}", FACT_KEYS[name])
+        _write(table, f"{folder}/{name}", FACT_KEYS[name], seen.get(name))
     _write(facts.fact_metadata(spark), f"{folder}/build_metadata")
     chat = Chat(
         messages=stored.drop("platform", "person_raw_id"), channels=read["channels"], sources=read["sources"], people=read["people"], themes=read["themes"],
         config=config, tokens=spark.read.parquet(f"{folder}/message_tokens"),
     )
     _write(person_stats(chat), f"{folder}/person_stats")
-
-
-def validate(spark: SparkSession, folder: str, expected_messages: int) -> None:
-    """Raises when the written tables do not agree with each other or with what was read."""
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}")
-
-    seen = table("messages").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.col("reaction_count").cast("bigint")), F.lit(0)).alias("reactions"),
-        F.coalesce(F.max(F.length("content")), F.lit(0)).alias("longest"),
-    ).head()
-    if seen.n != expected_messages:
-        raise BuildError(f"expected {expected_messages} messages, found {seen.n}")
-    if seen.longest >= 3 and table("message_search_trigrams").isEmpty():
+    found = seen["messages"].get
+    return {
+        "messages": found["n"], "reactions": found["reactions"], "longest": found["longest"],
+        "trigrams": seen["message_search_trigrams"].get["n"], "reaction_events": seen["message_reaction_events"].get["n"],
+    }
+
+
+def validate(spark: SparkSession, folder: str, seen: dict[str, int], expected_messages: int) -> None:
+    """Raises when what was written does not agree with itself or with what was read."""
+    if seen["messages"] != expected_messages:
+        raise BuildError(f"expected {expected_messages} messages, found {seen['messages']}")
+    if seen["longest"] >= 3 and not seen["trigrams"]:
         raise BuildError("search facts are empty")
-    events = table("message_reaction_events").count()
-    if events != seen.reactions:
-        raise BuildError(f"expected {seen.reactions} reaction events, found {events}")
-    version = table("build_metadata").filter(F.col("key") == "fact_schema_version").head(1)
+    if seen["reaction_events"] != seen["reactions"]:
+        raise BuildError(f"expected {seen['reactions']} reaction events, found {seen['reaction_events']}")
+    version = spark.read.parquet(f"{folder}/build_metadata").filter(F.col("key") == "fact_schema_version").head(1)
     if not version or version[0].value != tx.FACT_VERSIONS["fact_schema_version"]:
         raise BuildError("fact version is missing")
 
@@ -278,7 +292,17 @@ def build(
     filter_signal: bool | None = None,
     overwrite: bool = True,
 ) -> str:
-    """Builds all tables from exports and makes them current in one step.
+    """Builds all tables from the exports below a folder and makes them current in one step (see ``build_from``)."""
+    use_utc(spark)
+    return build_from(
+        spark, lambda: read_exports(spark, data_root, config, bool(config.people) if filter_signal is None else filter_signal), out, config, overwrite
+    )
+
+
+def build_from(
+    spark: SparkSession, read: Callable[[], Export], out: str, config: Config = Config(), overwrite: bool = True
+) -> str:
+    """Builds all tables from what ``read`` gives and makes them current in one step.
 
     Tables go to a folder of their own and are checked; only then the pointer file
     is replaced. A failed build leaves the current one as it was and removes its
@@ -292,13 +316,13 @@ def build(
     name = f"build_id={uuid.uuid4().hex}"
     folder = f"{out}/{name}"
     try:
-        export = read_exports(spark, data_root, config, bool(config.people) if filter_signal is None else filter_signal)
+        export = read()
         # each consumer below would otherwise parse the exports again
         stage = _staging(spark, folder)
         export.messages = stage(export.messages, "messages")
         export.people = stage(export.people, "people")
-        write_tables(export, folder, config)
-        validate(spark, folder, export.messages.select("id").distinct().count())
+        seen = write_tables(export, folder, config)
+        validate(spark, folder, seen, export.messages.select("id").distinct().count())
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGED}"), True)
     except Exception:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
@@ -343,6 +367,7 @@ def open_build(spark: SparkSession, out: str, config: Config = Config()) -> Chat
         person_stats=table("person_stats"), conversations=table("conversations"),
         platform_identities=table("platform_identities"), person_name_changes=table("person_name_changes"),
         channel_name_changes=table("channel_name_changes"), member_events=table("member_events"),
+        places=table("message_places"), ordered=table("message_order"),
     )
     if not facts.facts_valid(chat, table("build_metadata")):
         chat.tokens = chat.links = chat.mentions = chat.trigrams = chat.reaction_events = None

@@ -848,18 +848,32 @@ _RANKED = (
     f"(SELECT channel_id FROM messages WHERE id = '{_TARGET}')), "
     "win AS (SELECT r.* FROM ranked r WHERE rn BETWEEN (SELECT rn FROM ranked WHERE id = '{t}') - {k} AND (SELECT rn FROM ranked WHERE id = '{t}') + {k})"
 )
+_AVATARS = "CASE n.person_name_canonical WHEN 'User 3' THEN 'https://example.org/3.png' END AS avatar_url"
+_WINDOW = (
+    "w.id, w.ts, w.content, w.attachment_preview, w.attachment_count, w.reaction_count, w.reaction_summary, w.reaction_details_json, "
+    "w.is_system, w.reply_to_id, n.person_name_canonical, n.nickname_at_time, "
+    f"coalesce(n.nickname_at_time, n.person_name_canonical) AS person_name, '#888888' AS person_color, {_AVATARS}"
+)
+_WINDOW_OUT = [
+    "id", "ts", "content", "attachment_preview", "attachment_count", "reaction_count", "reaction_summary", "reaction_details_json",
+    "is_system", "reply_to_id", "person_name_canonical", "nickname_at_time", "person_name", "person_color", "avatar_url",
+]
 add(
     "message_window",
+    with_(f"SELECT {_WINDOW} FROM win w JOIN named n USING (id)", extra=f"{_NICKS}, {_NAMED}, {_RANKED.format(t=_TARGET, k=10)}"),
+    chat_query(lambda c: context.message_window(c, _TARGET, 10).select(*_WINDOW_OUT), text=True),
+)
+add(
+    "message_windows_of_replies",
     with_(
-        "SELECT w.id, w.ts, w.content, w.attachment_preview, w.reaction_count, w.is_system, w.reply_to_id, n.person_name_canonical, "
-        "coalesce(n.nickname_at_time, n.person_name_canonical) AS person_name FROM win w JOIN named n USING (id)",
-        extra=f"{_NICKS}, {_NAMED}, {_RANKED.format(t=_TARGET, k=10)}",
+        f"SELECT w.target_id, w.step, {_WINDOW} FROM wide w JOIN named n USING (id)",
+        extra=f"{_NICKS}, {_NAMED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, id) AS rn FROM messages), "
+        "wide AS (SELECT t.id AS target_id, CAST(r.rn - t.rn AS INT) AS step, r.* FROM ranked t JOIN ranked r "
+        "ON r.channel_id = t.channel_id AND r.rn BETWEEN t.rn - 5 AND t.rn + 5 "
+        "WHERE t.id IN (SELECT reply_to_id FROM messages WHERE reply_to_id IS NOT NULL))",
     ),
     chat_query(
-        lambda c: context.message_window(c, _TARGET, 10).select(
-            "id", "ts", "content", "attachment_preview", "reaction_count", "is_system", "reply_to_id",
-            "person_name_canonical", "person_name",
-        ),
+        lambda c: context.message_windows(c, c.messages.select(F.col("reply_to_id").alias("id")), 5).select("target_id", "step", *_WINDOW_OUT),
         text=True,
     ),
 )

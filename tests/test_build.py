@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance import Config, Filters, Identity, PersonRule, ThemeRule
-from parlance.operators import people, rankings, search, words
+from parlance.operators import context, people, rankings, search, words
 from parlance.plans import build as plan
 from tests.test_sources import DISCORD, GARDEN, box, chat
 
@@ -135,10 +135,51 @@ def test_failed_build_keeps_the_current_one(spark, data, built, monkeypatch):
         plan.build(spark, data, out, CONFIG, overwrite=False)
 
 
-def test_validation_notices_missing_rows(spark, built):
+def test_validation_notices_what_does_not_agree(spark, built):
     out, _ = built
-    with pytest.raises(plan.BuildError, match="expected 9 messages"):
-        plan.validate(spark, plan.current_folder(spark, out), 9)
+    folder = plan.current_folder(spark, out)
+    good = {"messages": 8, "reactions": 6, "longest": 40, "trigrams": 9, "reaction_events": 6}
+    plan.validate(spark, folder, good, 8)
+    for change, expected, said in (({}, 9, "expected 9 messages"), ({"trigrams": 0}, 8, "search facts"), ({"reaction_events": 5}, 8, "6 reaction events, found 5")):
+        with pytest.raises(plan.BuildError, match=said):
+            plan.validate(spark, folder, good | change, expected)
+
+
+def test_counts_are_taken_while_writing(spark, data, tmp_path):
+    """What is counted in passing is what the files hold."""
+    export = plan.read_exports(spark, data, CONFIG, True)
+    seen = plan.write_tables(export, str(tmp_path), CONFIG)
+    stored = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("messages", "message_search_trigrams", "message_reaction_events")}
+    assert seen["messages"] == stored["messages"].count() == 8
+    assert seen["trigrams"] == stored["message_search_trigrams"].count() > 0
+    assert seen["reaction_events"] == seen["reactions"] == stored["message_reaction_events"].count() == 6
+    assert seen["longest"] == stored["messages"].agg(F.max(F.length("content"))).head()[0]
+
+
+def test_windows_by_stored_places(built):
+    """Neighbours found by number are those found by time, for one target and for all at once."""
+    import copy
+
+    _, c = built
+    live = copy.copy(c)
+    live.places = live.ordered = None
+    ids = [r.id for r in c.messages.select("id").collect()]
+    for target in ids[:4]:
+        stored, scanned = (sorted(map(str, context.message_window(x, target, 2).collect())) for x in (c, live))
+        assert stored == scanned and stored
+    targets = c.messages.select("id").unionByName(c.messages.select("id")).unionByName(c.spark.createDataFrame([("none",), (None,)], "id string"))
+    for x in (c, live):
+        rows = context.message_windows(x, targets, 2).select("target_id", "step", "id").collect()
+        assert {r.target_id: r.id for r in rows if r.step == 0} == {i: i for i in ids} and len(set(rows)) == len(rows)
+        for target in ids[:3]:
+            near = {r.id for r in rows if r.target_id == target}
+            assert near == {r.id for r in context.window_rows(x, target, 2).collect()}
+    with pytest.raises(LookupError):
+        context.message_window(c, "none")
+    looked = c.places.filter(F.col("id") == ids[0])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id" in looked
+    found = context.window_rows(c, ids[0], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dynamicpruning" in found  # other months are not read
 
 
 def test_dedupe_keeps_the_earliest(spark):
