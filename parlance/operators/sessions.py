@@ -9,6 +9,8 @@ consecutive buckets only, a table bounded by the calendar instead of by the data
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,30 +39,58 @@ def _previous(df: DataFrame, value: str, at: str, per_day: int) -> DataFrame:
     return inside.join(days, "day_").withColumn("prev", F.coalesce("lag_", "before_")).drop("lag_", "before_")
 
 
+def _by_day(df: DataFrame, seconds: int) -> DataFrame:
+    """(day, m): for each day with messages its buckets in order, with their first and last message.
+
+    A day has no more entries than buckets, whatever its number of messages.
+    """
+    at = boundary_number(F.col("ts"), seconds)
+    buckets = df.groupBy(F.floor(at / (DAY // seconds)).alias("day"), at.alias("at")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    return buckets.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("at", "first_ts", "last_ts"))).alias("m"))
+
+
+def _neighbours(items: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of each two items that follow each other."""
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.zip_with(F.slice(items, 1, n), F.slice(items, 2, n), make)
+
+
 def longest_gap(df: DataFrame) -> DataFrame:
     """The longest silence between consecutive messages, in whole-second boundaries.
 
     Columns gap_seconds, prev_ts, ts; no row when there are fewer than two messages.
+    Days are summed up as (first, last, best gap inside), and days next to each other
+    give the gaps between them: one scan, and one row a day is all that comes together.
     """
-    seconds = (
-        df.groupBy(boundary_number(F.col("ts"), 1).alias("second"))
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    )
-    between = _previous(seconds, "last_ts", "second", DAY).filter(F.col("prev").isNotNull())
-    gaps = between.select(
-        (F.col("second") - boundary_number(F.col("prev"), 1)).alias("gap_seconds"),
-        F.col("prev").alias("prev_ts"),
-        F.col("first_ts").alias("ts"),
-    )
-    # The first two messages are a real consecutive pair; they decide only when
-    # everything was written within one second.
+
+    def gap(before: Column, after: Column) -> Column:
+        return F.struct(
+            (after["at"] - before["at"]).alias("gap_seconds"), (-micros(before["last_ts"])).alias("earliest"),
+            before["last_ts"].alias("prev_ts"), after["first_ts"].alias("ts"),
+        )
+
+    days = _by_day(df, 1).select(
+        F.struct(
+            "day", F.col("m")[0].alias("first"), F.element_at("m", -1).alias("last"), F.array_max(_neighbours(F.col("m"), gap)).alias("best"),
+            F.size("m").alias("n"),
+        ).alias("d")
+    )
+    whole = days.agg(F.sort_array(F.collect_list("d")).alias("d"))
+    between = _neighbours(F.col("d"), lambda a, b: gap(a["last"], b["first"]))
+    inside = F.filter(F.transform("d", lambda x: x["best"]), lambda x: x.isNotNull())
+    gaps = whole.select(F.array_max(F.concat(between, inside)).alias("g")).filter(F.col("g").isNotNull()).select("g.gap_seconds", "g.prev_ts", "g.ts")
+    # Only when everything was written within one second are the first two messages looked
+    # for. Else this one-row table is empty, and adaptive execution drops the second scan.
+    lone = whole.filter((F.size("d") == 1) & (F.col("d")[0]["n"] == 1)).select(F.col("d")[0]["first"]["first_ts"].alias("from_ts"))
     pair = (
-        df.select("ts").orderBy("ts").limit(2)
+        df.select("ts").join(F.broadcast(lone), F.col("ts") >= F.col("from_ts")).select("ts").orderBy("ts").limit(2)
         .agg(F.min("ts").alias("prev_ts"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
         .filter("n = 2")
-        .select((boundary_number(F.col("ts"), 1) - boundary_number(F.col("prev_ts"), 1)).alias("gap_seconds"), "prev_ts", "ts")
+        .select(F.lit(0).cast("bigint").alias("gap_seconds"), "prev_ts", "ts")
     )
-    return gaps.unionByName(pair).orderBy(F.desc("gap_seconds"), "prev_ts", "ts").limit(1)
+    return gaps.unionByName(pair)
 
 
 def activity_sessions(df: DataFrame) -> DataFrame:
@@ -99,9 +129,57 @@ def with_start_message(sessions: DataFrame, df: DataFrame) -> DataFrame:
     return sessions.join(starts.groupBy("start_ts").agg(F.min("id").alias("start_message_id")), "start_ts")
 
 
+def longest_session_span(df: DataFrame) -> DataFrame:
+    """(duration_seconds, start_ts) of the longest session, the earliest of equal ones; no row without messages.
+
+    A day's minutes make runs, at most one for each quarter of an hour. Runs inside a day are
+    finished; its first and last one are open, and are joined with those of the days beside it
+    while the days, one row each, are walked in order.
+    """
+    run = "struct<start:timestamp_ntz,stop:timestamp_ntz,first:bigint,last:bigint>"
+
+    def grow(runs: Column, x: Column) -> Column:
+        tail = F.element_at(runs, -1)
+        new = F.struct(x["first_ts"].alias("start"), x["last_ts"].alias("stop"), x["at"].alias("first"), x["at"].alias("last"))
+        grown = F.struct(tail["start"].alias("start"), x["last_ts"].alias("stop"), tail["first"].alias("first"), x["at"].alias("last"))
+        joins = F.when(F.size(runs) > 0, x["at"] - tail["last"] <= SESSION_GAP_MINUTES).otherwise(False)
+        return F.when(joins, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(runs, F.array(new)))
+
+    def length(r: Column) -> Column:
+        seconds = boundary_number(r["stop"], 1) - boundary_number(r["start"], 1)
+        return F.when(r.isNotNull(), F.struct(seconds.alias("seconds"), (-micros(r["start"])).alias("earliest"), r["start"].alias("start")))
+
+    best_type = "struct<seconds:bigint,earliest:bigint,start:timestamp_ntz>"
+    runs = _by_day(df, 60).select("day", F.aggregate("m", F.array().cast(f"array<{run}>"), grow).alias("runs"))
+    middle = F.slice("runs", 2, F.greatest(F.size("runs") - 2, F.lit(0)))
+    days = runs.select(
+        F.struct(
+            "day", F.size("runs").alias("n"), F.col("runs")[0].alias("head"), F.element_at("runs", -1).alias("tail"),
+            F.array_max(F.transform(middle, length)).alias("best"),
+        ).alias("d")
+    )
+
+    def step(state: Column, d: Column) -> Column:
+        joins = F.coalesce(d["head"]["first"] - state["open"]["last"] <= SESSION_GAP_MINUTES, F.lit(False))
+        head = F.struct(
+            F.when(joins, state["open"]["start"]).otherwise(d["head"]["start"]).alias("start"), d["head"]["stop"].alias("stop"),
+            F.when(joins, state["open"]["first"]).otherwise(d["head"]["first"]).alias("first"), d["head"]["last"].alias("last"),
+        )
+        done = F.greatest(
+            state["best"], d["best"], F.when(~joins, length(state["open"])).otherwise(F.lit(None).cast(best_type)),
+            F.when(d["n"] > 1, length(head)).otherwise(F.lit(None).cast(best_type)),
+        )
+        return F.struct(F.when(d["n"] > 1, d["tail"]).otherwise(head).cast(run).alias("open"), done.cast(best_type).alias("best"))
+
+    start = F.struct(F.lit(None).cast(run).alias("open"), F.lit(None).cast(best_type).alias("best"))
+    last = days.agg(F.sort_array(F.collect_list("d")).alias("d")).select(
+        F.aggregate("d", start, step, lambda s: F.greatest(s["best"], length(s["open"]))).alias("s")
+    )
+    return last.filter(F.col("s").isNotNull()).select(F.col("s.seconds").alias("duration_seconds"), F.col("s.start").alias("start_ts"))
+
+
 def longest_session(df: DataFrame) -> DataFrame:
-    longest = activity_sessions(df).orderBy(F.desc("duration_seconds"), "start_ts").limit(1)
-    return with_start_message(longest, df).select("duration_seconds", "start_message_id")
+    return with_start_message(longest_session_span(df), df).select("duration_seconds", "start_message_id")
 
 
 def _half_hour(ts: Column) -> Column:

@@ -350,6 +350,12 @@ def current_folder(spark: SparkSession, out: str) -> str:
     return f"{out.rstrip('/')}/{name}"
 
 
+def stored_versions(spark: SparkSession, out: str) -> DataFrame:
+    """Which version the facts of the current build have, if it is the one this library reads."""
+    metadata = spark.read.parquet(f"{current_folder(spark, out)}/build_metadata")
+    return metadata.join(facts.fact_metadata(spark), ["key", "value"]).filter(F.col("key") == "fact_schema_version")
+
+
 def open_build(spark: SparkSession, out: str, config: Config = Config()) -> Chat:
     """The current tables. Stored facts are used only when all of them are there in the right version."""
     use_utc(spark)

@@ -842,6 +842,22 @@ add(
     ),
     chat_query(context.channel_names_at_time),
 )
+add(
+    "theme_metadata",
+    with_(
+        "SELECT t.id, t.name, CASE t.id WHEN 1 THEN '🚨' WHEN 2 THEN '💰' ELSE '' END AS emoji, COUNT(s.id) AS message_count "
+        "FROM themes t LEFT JOIN scoped s ON s.theme_id = t.id GROUP BY ALL"
+    ),
+    chat_query(
+        lambda c: people.theme_metadata(c).join(count_by(scope(c), [F.col("theme_id").alias("id")], "messages"), "id", "left")
+        .select("id", "name", "emoji", F.coalesce("message_count", F.lit(0)).alias("message_count"))
+    ),
+)
+add(
+    "platform_metadata",
+    with_("SELECT platform, COUNT(*) AS message_count FROM scoped GROUP BY platform"),
+    chat_query(lambda c: people.platform_metadata(c).join(count_by(scope(c), ["platform"], "messages"), "platform")),
+)
 _TARGET = "400"
 _RANKED = (
     "ranked AS (SELECT m.*, row_number() OVER (ORDER BY ts, id) AS rn FROM messages m WHERE channel_id = "

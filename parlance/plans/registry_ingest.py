@@ -6,16 +6,22 @@ gathers more than that in one place. The SQL states what the readers must find.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config, Identity, PersonRule
+from ..functions import text as tx
 from ..operators import numbering
 from ..operators.resolve import resolve_people, resolve_themes
+from ..session import ensure_checkpoint_dir
 from ..sources import archives, media, pages
 from ..sources.discord import read_discord
 from ..sources.facebook import read_facebook
+from ..sources.files import export_files
 from ..sources.seeds import merge
 from ..sources.signal import read_signal
 from ..sources.signal_backup import read_signal_backup
@@ -294,6 +300,65 @@ add(
 )
 
 
+
+# -- finding exports, building tables ------------------------------------------
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of exports of all messages, each platform its own way, and files beside them that are none."""
+    m = _messages(spark, sf_dir).select(F.col("channel_id").cast("string").alias("c"), F.col("block").cast("string").alias("b")).distinct()
+    root = F.lit("file:/data/")
+    shapes = {
+        "discord": [F.concat(root, F.lit("discord/9/"), "c", F.lit("/"), "b", F.lit(".html"))],
+        "facebook": [
+            F.concat(root, F.lit("facebook/Chat_"), "c", F.lit("/message_"), "b", F.lit(".html")),
+            F.concat(root, F.lit("facebook/Chat_"), "c", F.lit("/old/message_"), "b", F.lit(".html")),
+        ],
+        "signal": [
+            F.concat(root, F.lit("signal_decrypted/Chat "), "c", F.lit("/part"), "b", F.lit(".html")),
+            F.concat(root, F.lit("signal_decrypted/Chat "), "c", F.lit("/media/"), "b", F.lit(".html")),
+        ],
+    }
+    return m.select(F.explode(F.array(*[F.struct(F.lit(p).alias("platform"), path.alias("path")) for p, paths in shapes.items() for path in paths])).alias("x")).select("x.*")
+
+
+_BLOCKS = f"(SELECT DISTINCT CAST(channel_id AS STRING) AS c, CAST(CAST(id AS BIGINT) // {BLOCK} AS STRING) AS b FROM messages)"
+add(
+    "exports_found",
+    _M + "SELECT 'discord' AS platform, c AS chat_dir, b || '.html' AS file, 'file:/data/discord/9/' || c || '/' || b || '.html' AS path "
+    f"FROM {_BLOCKS} UNION ALL SELECT 'facebook', 'Chat_' || c, 'message_' || b || '.html', 'file:/data/facebook/Chat_' || c || '/message_' || b || '.html' FROM {_BLOCKS} "
+    "UNION ALL SELECT 'signal', 'Chat ' || c, 'part' || min(b) || '.html', 'file:/data/signal_decrypted/Chat ' || c || '/part' || min(b) || '.html' "
+    f"FROM {_BLOCKS} GROUP BY c",
+    lambda spark, sf: export_files(_listed(spark, sf)),
+)
+
+
+def built_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of a build from exports of all messages, as the opened build shows them."""
+    out = f"{ensure_checkpoint_dir(spark)}/build-{uuid.uuid4().hex}"
+    build.build_from(spark, lambda: merge([read_discord(discord_files(spark, sf_dir))]), out)
+    c = build.open_build(spark, out)
+    if c.tokens is None:
+        raise build.BuildError("facts are not of the current version")
+    tables = {
+        "messages": c.messages, "people": c.people, "platform_identities": c.platform_identities, "sources": c.sources, "channels": c.channels,
+        "channel_name_changes": c.channel_name_changes, "reaction_events": c.reaction_events, "places": c.places, "ordered": c.ordered,
+        "person_stats": c.person_stats, "fact_version " + tx.FACT_VERSIONS["fact_schema_version"]: build.stored_versions(spark, out),
+    }
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+_N = "(SELECT COUNT(*) FROM messages)"
+add(
+    "build_tables",
+    _M + f"SELECT unnest(['messages', 'people', 'platform_identities', 'sources', 'channels', 'channel_name_changes', 'reaction_events', 'places', 'ordered', "
+    f"'person_stats', 'fact_version {tx.FACT_VERSIONS['fact_schema_version']}']) AS name, "
+    f"unnest([{_N}, (SELECT COUNT(DISTINCT user_id) FROM events), (SELECT COUNT(DISTINCT user_id) FROM events), 1, (SELECT COUNT(*) FROM {_BLOCKS}), "
+    f"(SELECT COUNT(*) FROM messages WHERE CAST(id AS BIGINT) % 30 = 2), (SELECT SUM(reaction_count) FROM messages), {_N}, {_N}, "
+    "(SELECT COUNT(DISTINCT user_id) FROM events), 1]::BIGINT[]) AS n",
+    built_tables,
+)
+
+
 def backup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backup with a group chat per channel, a recipient per person, and an item per message."""
     c = demo.demo_chat(spark, sf_dir, text=True)

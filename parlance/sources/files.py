@@ -28,20 +28,19 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", content: bool
 
 
 def discover_exports(spark: SparkSession, data_root: str) -> DataFrame:
-    """(platform, chat_dir, file, path) of every export file, without reading any of them.
+    """(platform, chat_dir, file, path) of every export file below a folder, without reading any of them."""
+    root = data_root.rstrip("/")
+    folders = (("discord", "discord", "*.html"), ("facebook", "facebook", "message_*.html"), ("signal", "signal_decrypted", "*.html"))
+    found = [read_files(spark, f"{root}/{f}", pattern, content=False).withColumn("platform", F.lit(p)) for p, f, pattern in folders]
+    return export_files(found[0].unionByName(found[1]).unionByName(found[2])).orderBy("platform", "path")
+
+
+def export_files(found: DataFrame) -> DataFrame:
+    """Those of the listed files (platform, path) that are exports, as (platform, chat_dir, file, path).
 
     Discord: every HTML file. Facebook: the message files of each chat folder.
     Signal: the first HTML file of each chat folder, or of a single flat chat.
     """
-    root = data_root.rstrip("/")
-    discord = read_files(spark, f"{root}/discord", "*.html", content=False).withColumn("platform", F.lit("discord"))
-    facebook = read_files(spark, f"{root}/facebook", "message_*.html", content=False).withColumn(
-        "platform", F.lit("facebook")
-    )
-    signal = read_files(spark, f"{root}/signal_decrypted", "*.html", content=False).withColumn(
-        "platform", F.lit("signal")
-    )
-    found = discord.unionByName(facebook).unionByName(signal)
     parts = F.split("path", "/")
     found = found.withColumn("file", F.element_at(parts, -1)).withColumn("chat_dir", F.element_at(parts, -2))
     depth = F.col("path").rlike
@@ -55,5 +54,4 @@ def discover_exports(spark: SparkSession, data_root: str) -> DataFrame:
     first = found.filter(F.col("platform") == "signal").groupBy("chat_dir").agg(F.min("path").alias("path"))
     return found.filter(F.col("platform") != "signal").unionByName(
         found.join(first, ["chat_dir", "path"], "left_semi").filter(F.col("platform") == "signal")
-    ).select("platform", "chat_dir", "file", "path").orderBy("platform", "path")
-
+    ).select("platform", "chat_dir", "file", "path")

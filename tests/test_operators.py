@@ -20,7 +20,7 @@ from parlance.operators.numbering import numbered, numbered_in_time
 from parlance.operators.reactions import reaction_events, top_reacted_messages
 from parlance.operators.resolve import resolve_people, resolve_themes
 from parlance.operators.search import query_grams, search_matches
-from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap, with_start_message
+from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap, longest_session_span, with_start_message
 from parlance.operators.words import word_examples
 
 T0 = datetime(2024, 1, 1)
@@ -80,6 +80,38 @@ def test_sessions_count_minute_boundaries(spark):
     assert got == [("0", 842), ("2", 0)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_gap_and_session_against_brute_force(spark, seed):
+    """Sessions over midnight, days with one run, days without messages, equal instants."""
+    rng = random.Random(seed)
+    at, times = T0 - timedelta(minutes=seed * 30), []
+    for _ in range(250):
+        at += rng.choice([timedelta(0), timedelta(seconds=rng.randrange(90)), timedelta(minutes=rng.randrange(40)), timedelta(minutes=rng.randrange(200))])
+        at += rng.choice([timedelta(0)] * 60 + [timedelta(days=2)])
+        times.append(at)
+    df = spark.createDataFrame([(f"m{i:03}", t) for i, t in enumerate(times)], "id string, ts timestamp_ntz")
+    second = lambda t: int((t - T0) // timedelta(seconds=1))
+    minute = lambda t: int((t - T0) // timedelta(minutes=1))
+    gaps = [(second(b) - second(a), a, b) for a, b in zip(times, times[1:])]
+    assert [tuple(r) for r in longest_gap(df).collect()] == [min(gaps, key=lambda g: (-g[0], g[1]))]
+    runs = [[times[0], times[0]]]
+    for a, b in zip(times, times[1:]):
+        if minute(b) - minute(a) > 15:
+            runs.append([b, b])
+        runs[-1][1] = b
+    best = min(runs, key=lambda r: (-(second(r[1]) - second(r[0])), r[0]))
+    assert [tuple(r) for r in longest_session_span(df).collect()] == [(second(best[1]) - second(best[0]), best[0])]
+    assert longest_session_span(df.limit(0)).count() == longest_gap(df.limit(0)).count() == longest_gap(df.limit(1)).count() == 0
+
+
+def test_longest_gap_scans_once(spark, tmp_path):
+    spark.range(500).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * id) AS ts").write.parquet(f"{tmp_path}/m")
+    gap = longest_gap(spark.read.parquet(f"{tmp_path}/m"))
+    gap.collect()
+    final = gap._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1
+
+
 def test_longest_gap_within_one_second(spark):
     def gap(*micros):
         df = messages(spark, [(str(i), 1, 1, T0 + timedelta(microseconds=m), "x") for i, m in enumerate(micros)])
