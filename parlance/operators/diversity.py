@@ -6,10 +6,13 @@ one talkative person from becoming one task, the stream is cut by a range
 partitioning over (person, ts, id), whose boundaries come from a sample and may
 fall anywhere inside a person. Each piece is walked on its own as if it began
 fresh. What a piece hands on is only its open stretch: the set of words since the
-last restart, and their number. Pieces whose true input turns out to differ from
-what they assumed are walked again, until nothing changes. Walks fall into step
-after a few restarts, so one extra round is the usual case, and after k rounds
-the first k pieces are exact, so the loop always ends.
+last restart, and their number. A piece without a restart adds its words to what
+it was handed; long runs of such pieces are composed pairwise, spans doubling, so the
+last of n has all words before it after log2 n steps. Pieces whose input turns
+out to differ from what they assumed are walked again, until nothing changes.
+Walks fall into step after a few restarts, so one extra round is the usual case,
+as it is for somebody who never restarts at all. After k rounds the first k
+pieces are exact, so the loop always ends.
 """
 
 from __future__ import annotations
@@ -28,30 +31,34 @@ from ..session import pinned
 THRESHOLD = 0.72
 # ----------------------------------------------------------------------------
 
-PIECE_SCHEMA = "person_id int, backward boolean, piece int, n bigint, closed bigint, open_words array<string>, open_count bigint"
+#: places up to which pieces without a restart hand on one by one
+SHORT = 4
+PIECE_SCHEMA = "person_id bigint, backward boolean, piece int, n bigint, closed bigint, open_words array<string>, open_count bigint, own_words array<string>"
 PIECE = ["person_id", "backward", "piece"]
 
 
 def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFrame]:
     """Rows arrive ordered by person and position; state is carried across batches.
 
-    A row with ``entry`` set holds the open stretch a piece starts with.
+    A row with ``entry`` set holds the open stretch a piece starts with. ``own_words`` are
+    the words of a piece that never restarts, without those it started with.
     """
-    columns = [*PIECE, "n", "closed", "open_words", "open_count"]
+    columns = [*PIECE, "n", "closed", "open_words", "open_count", "own_words"]
     current = None
     n = closed = count = 0
     words: set[str] = set()
+    own: set[str] = set()
     out: list[tuple] = []
 
     def finish():
         if current is not None:
-            out.append((current[0], backward, current[1], n, closed, sorted(words), count))
+            out.append((current[0], backward, current[1], n, closed, sorted(words), count, sorted(own)))
 
     for pdf in batches:
         for person, piece, entry, tokens in zip(pdf["person_id"], pdf["piece"], pdf["entry"], pdf["tokens"]):
             if current != (person, piece):
                 finish()
-                current, n, closed, count, words = (person, piece), 0, 0, 0, set()
+                current, n, closed, count, words, own = (person, piece), 0, 0, 0, set(), set()
             if entry > 0:
                 words, count = set(tokens), int(entry)
                 continue
@@ -62,6 +69,7 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
                 if len(words) / count <= THRESHOLD:
                     closed += 1
                     words, count = set(), 0
+            own = own.union(tokens) if not closed else set()
         if len(out) > 1000:
             yield pd.DataFrame(out, columns=columns)
             out = []
@@ -83,22 +91,50 @@ def _both_ways(ordered: Callable[[bool], DataFrame]) -> DataFrame:
     return one(False).unionByName(one(True))
 
 
+def _handed_on(pieces: DataFrame) -> DataFrame:
+    """(person_id, backward, place, words, count): the open stretch after each piece.
+
+    A piece that restarted has it already. One that did not is composed with the
+    ``span`` pieces before it, which are composed in the same step, so spans double
+    until each reaches a restart or the person's first piece.
+    """
+    restarts = F.col("closed") > 0
+    open_ = pinned(pieces.select(
+        "person_id", "backward", "place", F.when(restarts, F.col("open_words")).otherwise(F.col("own_words")).alias("words"),
+        F.when(restarts, F.col("open_count")).otherwise(F.col("n")).alias("count"), F.lit(1).alias("span"), (restarts | (F.col("place") == 1)).alias("done"),
+    ))
+    while not open_.filter(~F.col("done")).isEmpty():
+        before = open_.select(
+            "person_id", "backward", F.col("place").alias("end"), F.col("words").alias("w"), F.col("count").alias("c"), F.col("span").alias("s"), F.col("done").alias("d")
+        )
+        longer = open_.filter(~F.col("done")).withColumn("end", F.col("place") - F.col("span")).join(before, ["person_id", "backward", "end"]).select(
+            "person_id", "backward", "place", F.sort_array(F.array_union("words", "w")).alias("words"), (F.col("count") + F.col("c")).alias("count"),
+            (F.col("span") + F.col("s")).alias("span"), F.col("d").alias("done"),
+        )
+        open_ = pinned(open_.filter("done").unionByName(longer))
+    return open_.select("person_id", "backward", "place", "words", "count")
+
+
 def _scores(rows: DataFrame) -> DataFrame:
     """(person_id, mtld); ``rows`` is pinned and range partitioned, ``piece`` being the partition."""
     fresh = F.lit(0).cast("bigint")
     nothing = F.array().cast("array<string>")
+    # one row a piece of a person
+    order = W.partitionBy("person_id", "backward").orderBy(F.when(F.col("backward"), -F.col("piece")).otherwise(F.col("piece")))
     pieces = pinned(
         _both_ways(lambda back: rows.withColumn("entry", fresh).sortWithinPartitions("person_id", *_order(back)))
+        .withColumn("place", F.row_number().over(order))
     )
-    place = W.partitionBy("person_id", "backward").orderBy(F.when(F.col("backward"), -F.col("piece")).otherwise(F.col("piece")))
 
     def inputs(done: DataFrame) -> DataFrame:
-        """What each piece should have started with: the open stretch of the piece before it."""
-        return done.select(
-            *PIECE,
-            F.coalesce(F.lag("open_count").over(place), fresh).alias("entry"),
-            F.coalesce(F.lag("open_words").over(place), nothing).alias("tokens"),
-        )
+        """What each piece should have started with: the open stretch after the piece before it."""
+        if done.filter((F.col("closed") == 0) & (F.col("place") > SHORT)).isEmpty():
+            entry, words = F.lag("open_count").over(order), F.lag("open_words").over(order)
+            due = done.withColumns({"entry": entry, "words": words})
+        else:
+            handed = _handed_on(done).select("person_id", "backward", (F.col("place") + 1).alias("place"), F.col("count").alias("entry"), "words")
+            due = done.join(handed, ["person_id", "backward", "place"], "left")
+        return due.select(*PIECE, "place", F.coalesce("entry", fresh).alias("entry"), F.coalesce("words", nothing).alias("tokens"))
 
     used = pieces.select(*PIECE, fresh.alias("entry"), nothing.alias("tokens"))
     while True:
@@ -106,7 +142,7 @@ def _scores(rows: DataFrame) -> DataFrame:
         changed = pinned(
             due.alias("d").join(used.alias("u"), PIECE)
             .filter((F.col("d.entry") != F.col("u.entry")) | (F.col("d.tokens") != F.col("u.tokens")))
-            .select(*PIECE, F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
+            .select(*PIECE, F.col("d.place").alias("place"), F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
         )
         if changed.isEmpty():
             break
@@ -127,7 +163,8 @@ def _scores(rows: DataFrame) -> DataFrame:
             )
 
         kept = pieces.join(changed.select(*PIECE), PIECE, "left_anti")
-        used, pieces = due, pinned(kept.unionByName(_both_ways(again)))
+        walked = _both_ways(again).join(changed.select(*PIECE, "place"), PIECE)
+        used, pieces = due, pinned(kept.unionByName(walked))
     per = pieces.groupBy("person_id", "backward").agg(
         F.sum("n").alias("n"),
         F.sum("closed").alias("closed"),
@@ -156,7 +193,7 @@ def mtld(rows: DataFrame, pieces: int | None = None) -> DataFrame:
     spark = rows.sparkSession
     count = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
     written = rows.filter(F.coalesce("content", F.lit("")) != "").select(
-        F.col("person_id").cast("int").alias("person_id"), "ts", "id", "content"
+        F.col("person_id").cast("bigint").alias("person_id"), "ts", "id", "content"
     )
     words = F.filter(tx.tokens(F.col("content")), lambda w: ~tx.is_stop_word(w))
     # text is cut up after the shuffle, so that sampling the ranges does not pay for it

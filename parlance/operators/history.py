@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, squeeze
 from ..model import Chat, Filters
+from ..session import written
 from .asof import as_of
 from .scope import channel_dim, in_dates, shown_channel
 
@@ -28,10 +30,6 @@ def identity_names(chat: Chat) -> DataFrame:
     ``resolved`` is the person's own name, except where that is missing or "You": then
     the configured name, then any better name the person is known by.
     """
-    return chat.once("identity_names", lambda: _identity_names(chat))
-
-
-def _identity_names(chat: Chat) -> DataFrame:
     known = chat.platform_identities.select(
         "platform", F.col("platform_user_id").alias("raw_id"), "person_id"
     ).join(chat.people.select(F.col("id").alias("person_id"), "display_name"), "person_id")
@@ -91,9 +89,9 @@ def nickname_timeline(chat: Chat) -> DataFrame:
     return changes.withColumn("nickname", F.when(~gone, F.col("new_name")))
 
 
-def with_actor(chat: Chat, changes: DataFrame) -> DataFrame:
+def with_actor(chat: Chat, changes: DataFrame, identities: DataFrame) -> DataFrame:
     """Adds author_name to changes with platform, source_id, chat_id, actor_name, actor_raw_id and ts."""
-    names = identity_names(chat).select(
+    names = identities.select(
         "platform", F.col("raw_id").alias("actor_raw_id"), F.col("person_id").alias("actor_id"), "resolved"
     )
     known = changes.join(names, ["platform", "actor_raw_id"], "left")
@@ -144,8 +142,8 @@ def renames(chat: Chat, filters=Filters()) -> DataFrame:
     changes = channel_changes(chat, filters)
     before, after = name_key(F.col("previous_name")), name_key(F.col("new_name"))
     kept = changes.filter((after != "") & (before != after))
-    renamed = kept.filter(before != "").select("channel_id").distinct()
-    rows = kept.join(renamed, "channel_id", "left_semi")
+    ever = F.max(before != "").over(W.partitionBy("channel_id"))
+    rows = kept.withColumn("renamed", ever).filter("renamed").drop("renamed")
     admitted = chats_of_configured_people(chat).withColumn("ok", F.lit(True))
     rows = rows.join(admitted, "channel_id", "left").filter((F.col("platform") != "signal") | F.col("ok")).drop("ok")
     return rows.withColumn("current_name", shown_channel(chat, F.col("channel_name"), F.col("source_name")))
@@ -153,7 +151,7 @@ def renames(chat: Chat, filters=Filters()) -> DataFrame:
 
 def rename_history(chat: Chat, filters=Filters()) -> DataFrame:
     """Real renames of chats, one row each, with their author."""
-    return with_actor(chat, renames(chat, filters)).select(
+    return with_actor(chat, renames(chat, filters), identity_names(chat)).select(
         F.col("channel_id").alias("id"), "platform", "source_name", "source_id", "current_name",
         F.col("chat_id").alias("platform_channel_id"), "previous_name", "new_name", "author_name", "ts",
     )
@@ -176,8 +174,9 @@ def nickname_history(chat: Chat, filters=Filters()) -> DataFrame:
     if filters.platforms:
         sources = sources.filter(F.col("platform").isin(*filters.platforms))
     people = chat.people.select(F.col("id").alias("person_id"), "display_name")
-    rows = with_actor(chat, rows.join(sources, "source_id").join(people, "person_id"))
-    better = identity_names(chat).filter(F.col("person_id").isNotNull()).select("person_id", "preferred").distinct()
+    identities = written(identity_names(chat))  # read twice
+    rows = with_actor(chat, rows.join(sources, "source_id").join(people, "person_id"), identities)
+    better = identities.filter(F.col("person_id").isNotNull()).select("person_id", "preferred").distinct()
     owner = F.lit(chat.config.primary_person).cast("string")
     shown = F.coalesce(
         "preferred", F.when(name_key(F.col("display_name")) == "you", owner), F.col("display_name")
@@ -198,11 +197,11 @@ def nickname_groups(chat: Chat, filters=Filters()) -> DataFrame:
     """Facebook nicknames by person name, repeated changes of a chat counted once."""
     rows = chat_participants(chat, filters).filter(F.col("platform") == "facebook")
     rows = rows.withColumn("person_key", F.lower(F.trim("display_name")))
-    people = rows.groupBy("person_key").agg(F.min(F.struct("person_id", "display_name")).alias("p"))
     events = rows.groupBy("person_key", "channel_id", "current_name", "source_name", "ts", "new_name", "author_name").agg(
-        F.min("previous_name").alias("previous_name")
+        F.min("previous_name").alias("previous_name"), F.min(F.struct("person_id", "display_name")).alias("p")
     )
-    return events.join(people, "person_key").select(
+    person = F.min("p").over(W.partitionBy("person_key"))
+    return events.withColumn("p", person).select(
         F.col("p.person_id").alias("id"), F.col("p.display_name").alias("display_name"), "channel_id",
         "current_name", "source_name", "previous_name", "new_name", "author_name", "ts",
     )

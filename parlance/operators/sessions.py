@@ -62,7 +62,7 @@ def longest_gap(df: DataFrame) -> DataFrame:
 
     Columns gap_seconds, prev_ts, ts; no row when there are fewer than two messages.
     Days are summed up as (first, last, best gap inside), and days next to each other
-    give the gaps between them: one scan, and one row a day is all that comes together.
+    give the gaps between them: one row a day is all that comes together.
     """
 
     def gap(before: Column, after: Column) -> Column:
@@ -81,11 +81,11 @@ def longest_gap(df: DataFrame) -> DataFrame:
     between = _neighbours(F.col("d"), lambda a, b: gap(a["last"], b["first"]))
     inside = F.filter(F.transform("d", lambda x: x["best"]), lambda x: x.isNotNull())
     gaps = whole.select(F.array_max(F.concat(between, inside)).alias("g")).filter(F.col("g").isNotNull()).select("g.gap_seconds", "g.prev_ts", "g.ts")
-    # Only when everything was written within one second are the first two messages looked
-    # for. Else this one-row table is empty, and adaptive execution drops the second scan.
-    lone = whole.filter((F.size("d") == 1) & (F.col("d")[0]["n"] == 1)).select(F.col("d")[0]["first"]["first_ts"].alias("from_ts"))
+    # Only when everything was written within one second do the first two messages decide;
+    # else this one-row table is empty, and nothing of the second scan passes the join.
+    lone = whole.filter((F.size("d") == 1) & (F.col("d")[0]["n"] == 1)).select(F.col("d")[0]["first"]["at"].alias("at"))
     pair = (
-        df.select("ts").join(F.broadcast(lone), F.col("ts") >= F.col("from_ts")).select("ts").orderBy("ts").limit(2)
+        df.select("ts", boundary_number(F.col("ts"), 1).alias("at")).join(F.broadcast(lone), "at").select("ts").orderBy("ts").limit(2)
         .agg(F.min("ts").alias("prev_ts"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
         .filter("n = 2")
         .select(F.lit(0).cast("bigint").alias("gap_seconds"), "prev_ts", "ts")

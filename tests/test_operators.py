@@ -104,14 +104,6 @@ def test_gap_and_session_against_brute_force(spark, seed):
     assert longest_session_span(df.limit(0)).count() == longest_gap(df.limit(0)).count() == longest_gap(df.limit(1)).count() == 0
 
 
-def test_longest_gap_scans_once(spark, tmp_path):
-    spark.range(500).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * id) AS ts").write.parquet(f"{tmp_path}/m")
-    gap = longest_gap(spark.read.parquet(f"{tmp_path}/m"))
-    gap.collect()
-    final = gap._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("Scan parquet") == 1
-
-
 def test_longest_gap_within_one_second(spark):
     def gap(*micros):
         df = messages(spark, [(str(i), 1, 1, T0 + timedelta(microseconds=m), "x") for i, m in enumerate(micros)])
@@ -277,6 +269,32 @@ def test_reaction_clamp(spark):
     ]
 
 
+@pytest.mark.parametrize("words", ["none restarts", "restarts are rare"])
+def test_mtld_of_many_pieces_needs_few_rounds(spark, monkeypatch, words):
+    """64 pieces of somebody who never restarts: one walk, six doublings, one walk with what they give."""
+    rng = random.Random(5)
+    letters = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(4)) + "q"
+    rows, n = [], 0
+    for i in range(640):
+        text = []
+        for _ in range(6):
+            repeat = words != "none restarts" and n and rng.random() < 0.24
+            text.append(letters(rng.randrange(n) if repeat else n))
+            n += 1
+        rows.append((f"m{i:04}", 1, 2**40, T0 + timedelta(minutes=i), " ".join(text)))
+    walks, doublings = [], []
+    both = diversity._both_ways
+    monkeypatch.setattr(diversity, "_both_ways", lambda *a: walks.append(1) or both(*a))
+    pin = diversity.pinned
+    monkeypatch.setattr(diversity, "pinned", lambda df: doublings.append("span" in df.columns) or pin(df))
+    df = spark.createDataFrame(rows, "id string, channel_id int, person_id long, ts timestamp_ntz, content string")
+    got = diversity.mtld(df, 64).collect()
+    tokens = [w for *_, text in rows for w in text.split()]
+    assert [(r.person_id, round(r.mtld, 9)) for r in got] == [(2**40, round((walk(tokens) + walk(tokens[::-1])) / 2, 9))]
+    if words == "none restarts":
+        assert len(walks) <= 2 and sum(doublings) <= 2 * 7
+
+
 # -- names -------------------------------------------------------------------
 def test_as_of(spark):
     rng = random.Random(9)
