@@ -31,7 +31,7 @@ from ..session import pinned
 THRESHOLD = 0.72
 # ----------------------------------------------------------------------------
 
-#: places up to which pieces without a restart hand on one by one
+#: so many pieces without a restart may hand on one by one
 SHORT = 4
 PIECE_SCHEMA = "person_id bigint, backward boolean, piece int, n bigint, closed bigint, open_words array<string>, open_count bigint, own_words array<string>"
 PIECE = ["person_id", "backward", "piece"]
@@ -41,26 +41,26 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
     """Rows arrive ordered by person and position; state is carried across batches.
 
     A row with ``entry`` set holds the open stretch a piece starts with. ``own_words`` are
-    the words of a piece that never restarts, without those it started with.
+    the words of a piece that was given some and never restarts, without those it was given.
     """
     columns = [*PIECE, "n", "closed", "open_words", "open_count", "own_words"]
     current = None
     n = closed = count = 0
     words: set[str] = set()
-    own: set[str] = set()
+    own: set[str] | None = None  # kept while a piece goes on with what it was given
     out: list[tuple] = []
 
     def finish():
         if current is not None:
-            out.append((current[0], backward, current[1], n, closed, sorted(words), count, sorted(own)))
+            out.append((current[0], backward, current[1], n, closed, sorted(words), count, None if own is None else sorted(own)))
 
     for pdf in batches:
         for person, piece, entry, tokens in zip(pdf["person_id"], pdf["piece"], pdf["entry"], pdf["tokens"]):
             if current != (person, piece):
                 finish()
-                current, n, closed, count, words, own = (person, piece), 0, 0, 0, set(), set()
+                current, n, closed, count, words, own = (person, piece), 0, 0, 0, set(), None
             if entry > 0:
-                words, count = set(tokens), int(entry)
+                words, count, own = set(tokens), int(entry), set()
                 continue
             n += len(tokens)
             for word in reversed(tokens) if backward else tokens:
@@ -69,7 +69,10 @@ def _walk(batches: Iterator[pd.DataFrame], backward: bool) -> Iterator[pd.DataFr
                 if len(words) / count <= THRESHOLD:
                     closed += 1
                     words, count = set(), 0
-            own = own.union(tokens) if not closed else set()
+            if closed:
+                own = None
+            elif own is not None:
+                own.update(tokens)
         if len(out) > 1000:
             yield pd.DataFrame(out, columns=columns)
             out = []
@@ -100,7 +103,7 @@ def _handed_on(pieces: DataFrame) -> DataFrame:
     """
     restarts = F.col("closed") > 0
     open_ = pinned(pieces.select(
-        "person_id", "backward", "place", F.when(restarts, F.col("open_words")).otherwise(F.col("own_words")).alias("words"),
+        "person_id", "backward", "place", F.when(restarts, F.col("open_words")).otherwise(F.coalesce("own_words", "open_words")).alias("words"),
         F.when(restarts, F.col("open_count")).otherwise(F.col("n")).alias("count"), F.lit(1).alias("span"), (restarts | (F.col("place") == 1)).alias("done"),
     ))
     while not open_.filter(~F.col("done")).isEmpty():
@@ -123,18 +126,19 @@ def _scores(rows: DataFrame) -> DataFrame:
     order = W.partitionBy("person_id", "backward").orderBy(F.when(F.col("backward"), -F.col("piece")).otherwise(F.col("piece")))
     pieces = pinned(
         _both_ways(lambda back: rows.withColumn("entry", fresh).sortWithinPartitions("person_id", *_order(back)))
-        .withColumn("place", F.row_number().over(order))
     )
 
     def inputs(done: DataFrame) -> DataFrame:
-        """What each piece should have started with: the open stretch after the piece before it."""
-        if done.filter((F.col("closed") == 0) & (F.col("place") > SHORT)).isEmpty():
-            entry, words = F.lag("open_count").over(order), F.lag("open_words").over(order)
-            due = done.withColumns({"entry": entry, "words": words})
+        """What each piece should have started with: the open stretch of the piece before it."""
+        # between their first and last piece, a person's pieces hold nobody else
+        stuck = done.groupBy("backward", "piece").agg(F.count(F.lit(1)).alias("people"), F.max("closed").alias("closed"))
+        if stuck.filter("people = 1 and closed = 0").limit(SHORT + 1).count() <= SHORT:
+            due = done.withColumns({"entry": F.lag("open_count").over(order), "words": F.lag("open_words").over(order)})
         else:
-            handed = _handed_on(done).select("person_id", "backward", (F.col("place") + 1).alias("place"), F.col("count").alias("entry"), "words")
-            due = done.join(handed, ["person_id", "backward", "place"], "left")
-        return due.select(*PIECE, "place", F.coalesce("entry", fresh).alias("entry"), F.coalesce("words", nothing).alias("tokens"))
+            placed = done.withColumn("place", F.row_number().over(order))
+            handed = _handed_on(placed).select("person_id", "backward", (F.col("place") + 1).alias("place"), F.col("count").alias("entry"), "words")
+            due = placed.join(handed, ["person_id", "backward", "place"], "left")
+        return due.select(*PIECE, F.coalesce("entry", fresh).alias("entry"), F.coalesce("words", nothing).alias("tokens"))
 
     used = pieces.select(*PIECE, fresh.alias("entry"), nothing.alias("tokens"))
     while True:
@@ -142,7 +146,7 @@ def _scores(rows: DataFrame) -> DataFrame:
         changed = pinned(
             due.alias("d").join(used.alias("u"), PIECE)
             .filter((F.col("d.entry") != F.col("u.entry")) | (F.col("d.tokens") != F.col("u.tokens")))
-            .select(*PIECE, F.col("d.place").alias("place"), F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
+            .select(*PIECE, F.col("d.entry").alias("entry"), F.col("d.tokens").alias("tokens"))
         )
         if changed.isEmpty():
             break
@@ -163,8 +167,7 @@ def _scores(rows: DataFrame) -> DataFrame:
             )
 
         kept = pieces.join(changed.select(*PIECE), PIECE, "left_anti")
-        walked = _both_ways(again).join(changed.select(*PIECE, "place"), PIECE)
-        used, pieces = due, pinned(kept.unionByName(walked))
+        used, pieces = due, pinned(kept.unionByName(_both_ways(again)))
     per = pieces.groupBy("person_id", "backward").agg(
         F.sum("n").alias("n"),
         F.sum("closed").alias("closed"),
