@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 200_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,12 @@ def stage(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``staged``, with a call that deletes the table, for when all that reads it is written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # its shuffle files go when the table is there, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
     def delete() -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,13 +1,15 @@
 """Edge cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    chain_dedup, components, decontaminate, dom, embedding_dedup, golay, html_extract, language_id, license_scan, mixing, simhash, suffix_dedup, url_filter,
+    centroids, chain_dedup, collocations, components, decontaminate, dom, embedding_dedup, golay, html_extract, language_id, license_scan, line_dedup, mixing, simhash, suffix_dedup, url_filter,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, x_doc string, score double, taken long, spans string, row long"
@@ -349,3 +351,146 @@ def test_urls(spark):
     assert got == {0: [], 1: ["spam"], 2: ["spam"], 3: [], 4: ["bad", "spam"], 5: [], 6: [], 7: [], 8: [], 9: ["spam"], 10: ["spam"]}
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0
     assert not any(r["blocked"] for r in url_filter.evaluate(captures, entries.limit(0)).collect())
+
+
+# -- collocations ------------------------------------------------------------
+def brute_collocations(rows, least, top):
+    from collections import Counter, defaultdict
+
+    counts, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", lower):
+            words = re.findall(r"[^ \t]+", piece)
+            n[lang] += len(words)
+            for m in (1, 2, 3, 4):
+                counts[lang].update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+    out = []
+    for lang, f in counts.items():
+        many = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        found = []
+        for p, a in many.items():
+            inside = lambda q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))  # noqa: B023, E731
+            if any(len(q) > len(p) and 100 * b >= 80 * a and inside(q) for q, b in many.items()):
+                continue
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for i, (score, a, phrase, left, right) in enumerate(sorted(found)[:top]):
+            out.append((lang, i + 1, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def some_texts(seed, n=1500):
+    rng = random.Random(seed)
+    words = [w + x for w in ("zug", "ß", "The", "new", "york", "a\x1c", "b\u2028", "日本") for x in ("", "é", "1")]
+    texts = []
+    for _ in range(n):
+        said = [rng.choice(words[: 1 + int(len(words) * rng.random() ** 2)]) for _ in range(rng.randrange(40))]
+        texts.append(("".join(w + rng.choice([" ", " ", "  ", "\t", ". ", "\n", "\r"]) for w in said), rng.choice(["en", "en", "en", "de", None, ""])))
+    return texts
+
+
+@pytest.mark.parametrize("most", [1 << 22, 4])
+def test_collocations_against_brute_force(spark, most, monkeypatch):
+    """Once as it is, once with every tile cut into ranges of cells and merged in small buffers."""
+    rows = some_texts(1) + [(None, "en"), ("", None), (" \t\n", "fr"), ("one", "xx")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "text string, lang string, n long, rank string").repartition(5)
+    got = sorted(tuple(r) for r in collocations.collocations(df, least=30, top=40, most=most).collect())
+    assert got == brute_collocations(rows, 30, 40) and len(got) > 60
+    assert collocations.collocations(df.limit(0)).count() == 0
+
+
+def test_tiles_address_every_pair():
+    rng = np.random.default_rng(2)
+    codes = np.concatenate([rng.integers(-1, 40, 3000), rng.integers(-1, 60_000, 3000), rng.integers(0, 1 << 40, 100)])
+    at, tiles, cells = collocations.cells_of(codes)
+    for tile in np.unique(tiles):
+        mine = tiles == tile
+        left, right = collocations.pairs_of(int(tile), cells[mine])
+        assert (left == codes[at[mine]]).all() and (right == codes[at[mine] + 1]).all()
+        found, n = collocations.counted(int(tile), cells[mine])
+        assert (found == np.unique(cells[mine])).all() and n.sum() == mine.sum()
+    assert sorted(at) == [i for i in range(len(codes) - 1) if codes[i] >= 0 and codes[i + 1] >= 0]
+    for numbers in ([], [-1], [-1, 5, 254, 255, 1 << 40], list(range(70_000))):
+        assert collocations.unpack(collocations.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+# -- centroids ---------------------------------------------------------------
+def brute_clusters(rows, k, rounds):
+    kept = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
+    first = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:k]
+    centres = [v for _, v in first]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for turn in range(rounds + 1):
+        near = [min((far(v, c), j) for j, c in enumerate(centres)) for _, v in kept]
+        if turn < rounds:
+            for j in range(len(centres)):
+                mine = [v for (_, v), (_, c) in zip(kept, near) if c == j]
+                if mine:
+                    centres[j] = [sum(col) // len(mine) for col in zip(*mine)]
+    return sorted((str(i), j, d, sum(e for e, c in near if c == j), sum(e for e, _ in near)) for (i, _), (d, j) in zip(kept, near))
+
+
+@pytest.mark.parametrize(("n", "k", "spread"), [(150, 16, 1.0), (60, 16, 0.01), (9, 16, 1.0), (40, 1, 1.0), (120, 5, 300.0)])
+def test_clusters_against_brute_force(spark, n, k, spread):
+    """Few vectors, one centroid, ties of close vectors, repeated rows and ids, unusable ones, clashing columns."""
+    rng = np.random.default_rng(n)
+    rows = [(i, (rng.standard_normal(64) * spread).tolist()) for i in range(n)]
+    rows += rows[:3] + [(900 + i, v) for i, (_, v) in enumerate(rows[:4])] + [(None, rows[0][1])]
+    bad = [(800, None), (801, []), (802, [1.0] * 63), (803, [None] + [1.0] * 63), (804, [float("nan")] * 64), (805, [float("inf")] * 64)]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows + bad], "vec_id long, embedding array<double>, n int, cluster string").repartition(3)
+    got = centroids.cluster(df, k=k).collect()
+    assert sorted((str(r.vec_id), r.cluster, r.distance, r.cluster_inertia, r.inertia) for r in got) == brute_clusters(rows, k, 3)
+    for r in got:
+        assert r.centroid_sha256 == hashlib.sha256(",".join(map(str, r.centroid)).encode()).hexdigest()
+
+
+def test_clusters_of_nothing(spark):
+    none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert centroids.cluster(none).count() == 0 and centroids.cluster(none.limit(0)).columns[:2] == ["vec_id", "cluster"]
+
+
+# -- lines -------------------------------------------------------------------
+def brute_lines(rows):
+    top = 1 << 63
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            first[key(line)] = min(first.get(key(line), top), top if i is None else i)
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or first[key(x)] == (top if i is None else i)]
+        out.append((str(i), len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def test_lines_against_brute_force(spark, odd):
+    rng = random.Random(4)
+    lines = ["", " ", "short", "Exactly 10", "exactly 10\r", "\u00a0padded with other space", "日本語日本語日本語日", "日本語日本語日本語", "a line\u2028of two", "x" * 400]
+    rows = [(i % 70, "\n".join(rng.choice(lines) for _ in range(rng.randrange(9)))) for i in range(80)]
+    rows += [(500 + i, "A very common line") for i in range(300)] + [(None, "A very common line"), (None, None), (3, None), (499, "A very common line\n" * 2000)]
+    df = spark.createDataFrame([(*r, "t", 5) for r in rows], "doc_id long, text string, keep string, place int").repartition(7)
+    done = line_dedup.dedup_lines(df)
+    assert {"keep", "place"} <= set(done.columns)
+    got = done.select("doc_id", "n_lines", "n_dropped", line_dedup.apply_keep().alias("left")).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.left) for r in got) == brute_lines(rows)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(odd).count() == odd.count()
+
+
+def test_a_line_over_many_partitions(spark):
+    """One line makes up most of the corpus; it is spread over partitions, and only its first document keeps it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).selectExpr("id AS doc_id", "concat('the very common line\nown line number ', id) AS text")
+        done = line_dedup.dedup_lines(df).groupBy("n_dropped").count().collect()
+        lines = line_dedup.hashed_lines(df.selectExpr("doc_id AS doc", "0L AS tag", "text"), 10)
+        ranged = lines.repartitionByRange("h1", "h2", "doc", "tag", "place").withColumn("p", F.spark_partition_id())
+        hot = ranged.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("parts")).orderBy(F.desc("n")).head()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, done)) == [(0, 1), (1, 3999)]
+    assert hot.n == 4000 and hot.parts > 1
