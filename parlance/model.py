@@ -81,7 +81,7 @@ class Chat:
 
     Derived tables that are None are computed from message content on the fly.
     ``places`` and ``ordered`` number messages in (channel, ts, id) order; the first
-    is sorted by id, the second by number.
+    is sorted by id, the second by number. ``months`` lists the months with messages.
     """
 
     messages: DataFrame
@@ -103,6 +103,7 @@ class Chat:
     member_events: DataFrame | None = None
     places: DataFrame | None = None
     ordered: DataFrame | None = None
+    months: DataFrame | None = None
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that several operators read: written when first asked for, read after that."""

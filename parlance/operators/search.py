@@ -50,9 +50,30 @@ def search_total(chat: Chat, q: str, filters=Filters()) -> DataFrame:
     return search_matches(chat, q, filters).agg(F.count(F.lit(1)).alias("total"))
 
 
+def oldest_month(chat: Chat, matches: DataFrame, filters: Filters, wanted: int) -> int:
+    """The newest month that, with those after it, holds ``wanted`` matches; the first one if all hold fewer."""
+    first = filters.start.year * 100 + filters.start.month if filters.start else 0
+    last = filters.end.year * 100 + filters.end.month if filters.end else 999_999
+    months = chat.months.filter(F.col(MONTH_KEY).between(first, last)).select(MONTH_KEY)
+    keys = sorted((r[0] for r in months.collect()), reverse=True)  # one row a month of the calendar
+    found, at, step = 0, 0, 1
+    while at < len(keys) and found < wanted:
+        span = keys[at : at + step]
+        found += matches.filter(F.col(MONTH_KEY).between(span[-1], span[0])).limit(wanted - found).count()
+        at, step = at + len(span), step * 2
+    return keys[at - 1] if at else 0
+
+
 def search(chat: Chat, q: str, filters=Filters(), limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page, newest first; equal time stamps are ordered by id."""
-    page = search_matches(chat, q, filters).orderBy(F.desc("ts"), F.desc("id"))
+    """One page, newest first; equal time stamps are ordered by id.
+
+    A build knows its months. They are walked from the newest on, twice as many at a
+    time, until they hold a page of matches; older ones are not read.
+    """
+    matches = search_matches(chat, q, filters)
+    if chat.months is not None and MONTH_KEY in matches.columns:
+        matches = matches.filter(F.col(MONTH_KEY) >= oldest_month(chat, matches, filters, offset + limit))
+    page = matches.orderBy(F.desc("ts"), F.desc("id"))
     page = (page.offset(offset) if offset else page).limit(limit)
     people = chat.people.select(
         F.col("id").alias("person_id"), F.col("display_name").alias("person_name"), F.col("color").alias("person_color")

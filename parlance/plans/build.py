@@ -28,7 +28,7 @@ from ..sources.signal import read_signal
 
 POINTER = "CURRENT"
 STAGED = "_staged"
-#: derived tables and the column their files are clustered by, so that scans for one key skip files
+#: derived tables and the column their files are clustered by, with Bloom filters, so that scans for one key skip files
 FACT_KEYS = {
     "message_tokens": "token",
     "message_links": "domain",
@@ -38,8 +38,6 @@ FACT_KEYS = {
 }
 #: file names that may be broadcast, some 100 bytes each
 LISTED_FILES = 100_000
-#: tasks that a key with many rows is spread over
-SALTS = 16
 PLAIN_TABLES = (
     "people", "platform_identities", "sources", "themes", "channels", "person_name_changes", "channel_name_changes",
     "conversations", "member_events", "person_stats", "build_metadata",
@@ -189,13 +187,15 @@ def _fs(spark: SparkSession, path: str):
 
 def _write(df: DataFrame, folder: str, key: str | None = None, seen: Observation | None = None) -> None:
     """Writes a table; ``seen`` takes the number of its rows in passing."""
+    writer_options = {}
     if key:
-        # by hash, since ranges would derive the rows a first time to sample them; the salt splits keys with many rows
-        salt = F.pmod(F.xxhash64("message_id"), F.lit(SALTS))
-        df = df.repartition(key, salt).sortWithinPartitions(key, "message_id")
+        # by hash, since ranges would derive the rows a first time to sample them; adaptive execution splits
+        # the partition of a key with many rows by the bytes it finds, so a hot key takes as many files as it needs
+        df = df.hint("rebalance", key).sortWithinPartitions(key, "message_id")
+        writer_options[f"parquet.bloom.filter.enabled#{key}"] = "true"
     if seen:
         df = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").options(**writer_options).parquet(folder)
 
 
 def _staging(spark: SparkSession, folder: str) -> Stage:
@@ -241,6 +241,7 @@ def write_tables(export: Export, folder: str, config: Config) -> dict[str, int]:
     counted.write.mode("overwrite").partitionBy(MONTH_KEY).parquet(f"{folder}/messages")
     stored = spark.read.parquet(f"{folder}/messages")
     write_places(stored, folder)
+    _write(stored.groupBy(MONTH_KEY).agg(F.count(F.lit(1)).alias("n")), f"{folder}/message_months")
     _write(conversation_table(stored, ("platform", "person_raw_id")), f"{folder}/conversations")
     persons, chats = name_change_tables(export.name_changes, read["sources"], read["channels"], read["platform_identities"])
     _write(persons, f"{folder}/person_name_changes")
@@ -373,7 +374,7 @@ def open_build(spark: SparkSession, out: str, config: Config = Config()) -> Chat
         person_stats=table("person_stats"), conversations=table("conversations"),
         platform_identities=table("platform_identities"), person_name_changes=table("person_name_changes"),
         channel_name_changes=table("channel_name_changes"), member_events=table("member_events"),
-        places=table("message_places"), ordered=table("message_order"),
+        places=table("message_places"), ordered=table("message_order"), months=table("message_months"),
     )
     if not facts.facts_valid(chat, table("build_metadata")):
         chat.tokens = chat.links = chat.mentions = chat.trigrams = chat.reaction_events = None

@@ -182,6 +182,40 @@ def test_windows_by_stored_places(built):
     assert "dynamicpruning" in found  # other months are not read
 
 
+def test_a_page_of_search_reads_the_newest_months_only(built):
+    import copy
+
+    _, c = built
+    everything = copy.copy(c)
+    everything.months = None
+    months = sorted(r[0] for r in c.months.select("month_key").collect())
+    assert len(months) > 1
+    for q in ("the", "words", "e", "nowhere"):
+        for limit, offset in ((1, 0), (2, 1), (50, 0)):
+            page = search.search(c, q, limit=limit, offset=offset)
+            assert page.collect() == search.search(everything, q, limit=limit, offset=offset).collect()
+    newest = c.messages.filter(F.col("month_key") == months[-1]).filter("content is not null and not is_system").head().content
+    plan_text = search.search(c, newest[:8], limit=1)._jdf.queryExecution().executedPlan().toString()
+    assert f">= {months[-1]})" in plan_text  # no older month is read
+    assert search.search(c, newest[:8], Filters(end=date(1999, 1, 1)), limit=1).count() == 0
+
+
+def test_a_hot_key_takes_as_many_files_as_it_needs(spark, tmp_path):
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("cast(id AS string) AS message_id", "if(id % 10 < 7, 'hot', concat('t', id % 500)) AS token", "repeat(cast(id * 7919 AS string), 3) AS pad")
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+    try:
+        plan._write(rows, f"{tmp_path}/t", "token")
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = spark.read.parquet(f"{tmp_path}/t").withColumn("file", F.input_file_name()).groupBy("token").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+    found = {r.token: (r.files, r.n) for r in files.collect()}
+    assert found["hot"][1] == 42_000 and found["hot"][0] >= 4  # splits follow the tasks that wrote the rows
+    assert sum(n for _, n in found.values()) == 60_000 and max(f for t, (f, _) in found.items() if t != "hot") <= 2
+
+
 def test_dedupe_keeps_the_earliest(spark):
     rows = [("a", datetime(2020, 1, 2), 1, "late"), ("a", datetime(2020, 1, 1), 3, "third"), ("a", datetime(2020, 1, 1), 2, "second"), ("b", datetime(2020, 1, 1), 1, "b")]
     df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, ord int, content string")

@@ -347,12 +347,11 @@ def test_colors_and_quotes(spark):
 
 CONFIG = Config(
     people=(
-        PersonRule("Alex", "#76f774", identities=(Identity("signal", "Alex"), Identity("discord", "42"))),
-        PersonRule("Daniel", "#D91111", identities=(Identity("signal", "self"),)),
-        PersonRule("Theo", "#FFFFFF", identities=(Identity("facebook", "Theo Mohamed"),)),
-        PersonRule("Caelan", identities=(Identity("facebook", "Caelan Rae-Oulette"),)),
-        PersonRule("Sam One", identities=(Identity("facebook", "Sam Stone"),)),
-        PersonRule("Sam Two", identities=(Identity("facebook", "Sam Wood"),)),
+        PersonRule("Quince", "#0B4F6C", identities=(Identity("discord", "9001"), Identity("signal", "Quince Jam"))),
+        PersonRule("Medlar", "#A23E48", identities=(Identity("facebook", "Old Medlar"),)),
+        PersonRule("Rowan", identities=(Identity("facebook", "Rowan Ash-Hedge"),)),
+        PersonRule("Plum Early", identities=(Identity("facebook", "Plum North"),)),
+        PersonRule("Plum Late", "#102030", identities=(Identity("facebook", "Plum South"),)),
     ),
     themes=(
         ThemeRule("Main", channels=(("Discord: S", "general"), ("Facebook: Pals", "Pals"))),
@@ -361,23 +360,29 @@ CONFIG = Config(
 )
 
 
+TIERS = {
+    "the identity itself": (("discord", "9001", "anything"), "Quince"),
+    "identity of the platform, in another case": (("facebook", "OLD   medlar", "anything"), "Medlar"),
+    "alias of the platform": (("signal", "name:QUINCE jam", "anything"), "Quince"),
+    "alias known from another platform": (("signal", "name:old medlar", "anything"), "Medlar"),
+    "alias with some of an identity's words": (("signal", "name:rowan hedge", "anything"), "Rowan"),
+    "name that is an identity of the platform": (("signal", "s5", "Quince  jam"), "Quince"),
+    "name that is an identity elsewhere": (("discord", "d6", "Plum SOUTH"), "Plum Late"),
+    "name of a person": (("discord", "d7", " plum   late"), "Plum Late"),
+    "name with all of an identity's words and more": (("discord", "d8", "Plum North of the wall"), "Plum Early"),
+    "name with a word two people have": (("discord", "d9", "Plum"), None),
+    "name without words": (("discord", "d10", "???"), None),
+    "nobody known": (("signal", "name:fig", "Fig"), None),
+}
+
+
 def test_person_tiers(spark):
-    cases = {
-        ("signal", "name:alex", "Alex"): ("Alex", "#76f774"),
-        ("signal", "self", "You"): ("Daniel", "#D91111"),
-        ("signal", "name:theo mohamed", "Theo Mohamed"): ("Theo", "#FFFFFF"),
-        ("signal", "name:caelan rae", "Caelan Rae"): ("Caelan", "Caelan"),
-        ("discord", "42", "whatever"): ("Alex", "#76f774"),
-        ("discord", "1", "daniel"): ("Daniel", "#D91111"),
-        ("discord", "2", " sam   TWO"): ("Sam Two", "Sam Two"),
-        ("facebook", "x", "Sam"): ("Sam", ""),  # fits two people
-        ("facebook", "THEO  mohamed", "Zed"): ("Theo", "#FFFFFF"),
-        ("discord", "3", "Sam Stone Junior"): ("Sam One", "Sam One"),
-        ("discord", "4", "!!!"): ("!!!", ""),
-    }
-    df = spark.createDataFrame(list(cases), "platform string, raw_id string, display_name string")
+    """Each way to find a person, alone."""
+    hints = {p.name: p.hint for p in CONFIG.people}
+    df = spark.createDataFrame([row for row, _ in TIERS.values()], "platform string, raw_id string, display_name string")
     got = {(r.platform, r.raw_id, r.display_name): (r.canonical_name, r.color_hint) for r in resolve_people(df, CONFIG).collect()}
-    assert got == cases
+    for tier, (row, person) in TIERS.items():
+        assert got[row] == ((person, hints[person]) if person else (row[2], "")), tier
 
 
 def test_theme_tiers(spark):
