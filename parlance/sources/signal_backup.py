@@ -1,7 +1,9 @@
 """Signal backups as JSON lines: account, recipient, chat and chatItem records.
 
-Lines are read as text, so a large backup is split over many tasks. Recipients and
-chats are small tables joined to the items.
+Lines are read as text, so a large backup is split over many tasks. Each line is
+parsed once: the records are stored by kind as Parquet, and everything after reads
+the kinds and columns it needs. Recipients and chats are small tables joined to the
+items.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.names import casefold
 from ..functions.times import from_micros
-from ..session import pinned
+from ..session import pinned, written
 from .facebook import ranked_summary
 from .seeds import Export
 from .signal import LEAST_CONFIGURED, group_name_change, is_system_text, title_changes
@@ -25,6 +27,7 @@ from .signal import LEAST_CONFIGURED, group_name_change, is_system_text, title_c
 PHOTO_CHANGED, EMOJI_CHANGED, POLL = "(photo changed)", "(emoji changed)", "(poll)"
 REACTION_KEYS = ("reactions", "reactionList", "reactionData")
 OWN_RECIPIENT = "1"
+KINDS = ("account", "recipient", "chat", "chatItem")
 # ----------------------------------------------------------------------------
 
 CONTACT = (
@@ -81,7 +84,7 @@ def _recipients(records: DataFrame, given: str | None, username: str | None) ->
     )
     stable = [F.nullif(c[k], F.lit("")) for k in ("aci", "pni", "e164")]
     raw = F.when(own, F.coalesce(own_id, F.concat(F.lit("signal-self:"), r["id"]))).otherwise(F.coalesce(*stable, r["id"]))
-    return records.filter(r.isNotNull()).select(
+    return records.filter("kind = 'recipient'").select(
         r["id"].alias("recipient_id"), raw.alias("raw_id"), display.alias("display_name"),
         F.filter(F.array(*stable), lambda s: s.isNotNull()).alias("stable"),
         r["group"].isNotNull().alias("is_group"), r["group"]["snapshot"]["title"]["title"].alias("title"),
@@ -124,16 +127,27 @@ def _title_updates(items: DataFrame) -> DataFrame:
     return items.select("chat", "ts", "pos", "payload", F.explode(names).alias("name"))
 
 
+def stored_records(lines: DataFrame) -> DataFrame:
+    """One row a record, stored below a folder for each ``kind``; the only place where lines are parsed.
+
+    ``pos`` is the order of the lines, ``payload`` the text of a chat item.
+    """
+    parsed = lines.select(F.from_json("value", RECORD).alias("r"), "value", F.monotonically_increasing_id().alias("pos"))
+    kind = F.coalesce(*[F.when(F.col(f"r.{k}").isNotNull(), F.lit(k)) for k in KINDS])
+    payload = F.when(F.col("r.chatItem").isNotNull(), F.get_json_object("value", "$.chatItem"))
+    return written(parsed.select("r.*", "pos", payload.alias("payload"), kind.alias("kind")).filter(F.col("kind").isNotNull()), by="kind")
+
+
 def read_signal_backup(lines: DataFrame, source: str, identities: set[str] | None = None) -> Export:
     """Group chats of a backup from its lines, as ``spark.read.text`` gives them.
 
     With ``identities``, only chats with at least two of them.
     """
-    records = lines.select(F.from_json("value", RECORD).alias("r"), "value").select("r.*", "value")
-    # one account record per backup
-    account = records.filter("account is not null").select("account.*").head()
+    records = stored_records(lines)
+    # one account record per backup; of several the first
+    account = records.filter("kind = 'account'").orderBy("pos").select("account.*").head()
     recipients = pinned(_recipients(records, account and account.givenName, account and account.username))
-    chats = records.filter("chat is not null").select(F.col("chat.id").alias("chat"), F.col("chat.recipientId").alias("recipient_id"))
+    chats = records.filter("kind = 'chat'").select(F.col("chat.id").alias("chat"), F.col("chat.recipientId").alias("recipient_id"))
     groups = chats.join(recipients.filter("is_group").select("recipient_id", "title", "members"), "recipient_id").select(
         "chat", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Signal group "), "chat")).alias("title"), "members"
     )
@@ -142,10 +156,9 @@ def read_signal_backup(lines: DataFrame, source: str, identities: set[str] | Non
     content = F.coalesce(
         F.nullif(item["standardMessage"]["text"]["body"], F.lit("")), F.nullif(item["contactMessage"]["text"]["body"], F.lit("")), F.lit("")
     )
-    items = records.filter(item.isNotNull()).select(
+    items = records.filter("kind = 'chatItem'").select(
         item["chatId"].alias("chat"), item["authorId"].alias("author_id"), item.alias("item"), content.alias("content"),
-        from_micros(item["dateSent"].cast("bigint") * 1000).alias("ts"), F.monotonically_increasing_id().alias("pos"),
-        F.get_json_object("value", "$.chatItem").alias("payload"),
+        from_micros(item["dateSent"].cast("bigint") * 1000).alias("ts"), "pos", "payload",
     )
     # one row per stable id: the first recipient that carries it
     by_stable = (

@@ -2,6 +2,9 @@ import hashlib
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from parlance.sources import signal_backup
 from parlance.sources.signal_backup import read_signal_backup
 
 ITEM = {"chatId": "10", "authorId": "2", "dateSent": "1602273050123"}
@@ -58,3 +61,25 @@ def test_backup_filter(spark, tmp_path):
     lines = spark.read.text(write(tmp_path))
     assert read_signal_backup(lines, "b", {"aaa", "ME.01"}).messages.count() == 5
     assert read_signal_backup(lines, "b", {"aaa", "PPP"}).messages.count() == 0
+
+
+def test_lines_are_parsed_once(spark, tmp_path, monkeypatch):
+    """All later plans read stored columns of the kinds they need; no line is parsed again."""
+    parses = []
+    whole = signal_backup.stored_records
+    monkeypatch.setattr(signal_backup, "stored_records", lambda lines: parses.append(1) or whole(lines))
+    path = write(tmp_path)
+    export = read_signal_backup(spark.read.text(path), "backup", {"aaa", "ME.01"})
+    assert parses == [1]
+    for df in (export.messages, export.channels, export.people, export.name_changes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert path not in plan and "Scan text" not in plan
+    kinds = {r.kind: r.n for r in whole(spark.read.text(path)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {"account": 1, "recipient": 4, "chat": 2, "chatItem": 6}
+
+
+def test_of_several_accounts_the_first_counts(spark, tmp_path):
+    lines = [json.dumps(r) for r in [RECORDS[0], {"account": {"givenName": "Other", "username": "other.02"}}, *RECORDS[1:]]] + ["", "no json", "{}"]
+    (tmp_path / "two.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    export = read_signal_backup(spark.read.text(str(tmp_path / "two.jsonl")), "backup")
+    assert {r.raw_id for r in export.people.collect()} == {"AAA", "ZZZ", "me.01", "77"}
