@@ -74,8 +74,9 @@ def block_start(blocks: np.ndarray) -> np.ndarray:
     return np.where(blocks < SIDE, (np.int64(1) << np.minimum(blocks, SIDE)) - 1, ((blocks - SIDE + 1) << SIDE) - 1)
 
 
-def width(blocks: np.ndarray) -> np.ndarray:
-    return np.minimum(blocks, SIDE)
+def tile_bits(tile: int) -> int:
+    """log2 of a tile's number of cells."""
+    return min(tile >> 31, SIDE) + min(tile & ((1 << 31) - 1), SIDE)
 
 
 def cells_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def cells_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pairs_of(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, across = np.int64(tile >> 31), np.int64(tile & ((1 << 31) - 1))
-    bits = int(width(across))
+    bits = int(min(across, SIDE))
     return block_start(up) + (cells >> bits), block_start(across) + (cells & ((1 << bits) - 1))
 
 
@@ -100,7 +101,7 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of a tile and how often each occurs: a dense array where the tile is small or well filled, else COO."""
-    size = 1 << int(width(np.int64(tile >> 31)) + width(np.int64(tile & ((1 << 31) - 1))))
+    size = 1 << tile_bits(tile)
     if size <= max(DENSE, 2 * len(cells)):
         dense = np.bincount(cells, minlength=size)
         found = np.nonzero(dense)[0]
@@ -115,7 +116,8 @@ def tiled(lang, chunk, codes: np.ndarray) -> Iterator[tuple]:
     order = np.argsort(tiles, kind="stable")
     tiles, cells = tiles[order], cells[order]
     if len(tiles):
-        for tile, part in zip(runs(tiles)[0].tolist(), np.split(cells, runs(tiles)[1][1:])):
+        each, starts = runs(tiles)
+        for tile, part in zip(each.tolist(), np.split(cells, starts[1:])):
             found, n = counted(tile, part)
             yield lang, chunk, None, tile, pack_sorted(found), pack(n), len(found)
 
@@ -135,13 +137,8 @@ def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number += 1
         coded = pa.array(held.pop(lang), pa.binary()).dictionary_encode()
         words, codes = coded.dictionary.cast(pa.string()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        if b"." in (w.encode() for w in words):
-            dot = words.index(".")
-            n = np.bincount(codes, minlength=len(words))
-            n[dot] = 0
-            codes[codes == dot] = -1
-        else:
-            n = np.bincount(codes, minlength=len(words))
+        n, dot = np.bincount(codes, minlength=len(words)), words.index(".")  # every text ends with a break
+        n[dot], codes[codes == dot] = 0, -1
         return rows([(lang, number, words, n, pack(codes))], schema)
 
     for batch in batches:
@@ -152,7 +149,7 @@ def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held[lang].append(b".")
                 if len(held[lang]) >= CHUNK:
                     yield flush(lang)
-        if sum(map(len, held.values())) >= 4 * CHUNK:  # many languages, each below its share
+        if sum(map(len, held.values())) >= 2 * CHUNK:  # many languages, each below its share
             for lang in list(held):
                 yield flush(lang)
     for lang in list(held):
@@ -199,9 +196,9 @@ def split(counts: bool):
                 yield batch.loc[whole, columns].assign(part=0)
             for r in batch[~whole].itertuples():
                 cells, n = unpack_sorted(r.cells), unpack(r.counts) if counts else None
-                bits = int(width(np.int64(r.tile >> 31)) + width(np.int64(r.tile & ((1 << 31) - 1))))
-                parts = cells >> max(bits - r.cut, 0)
-                for p, first, last in zip(*(lambda p, f: (p.tolist(), f.tolist(), [*f[1:].tolist(), len(parts)]))(*runs(parts))):
+                parts = cells >> max(tile_bits(r.tile) - r.cut, 0)
+                found, starts = runs(parts)
+                for p, first, last in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(parts)]):
                     extra = {"counts": [pack(n[first:last])]} if counts else {}
                     yield pd.DataFrame({"lang": [r.lang], "tile": [r.tile], "chunk": [r.chunk], "cells": [pack_sorted(cells[first:last])], **extra, "part": [p]})
 
@@ -212,14 +209,14 @@ def merged(least: int, buffer: int):
     """Adds up the lists of each (lang, tile, part) of a sorted partition; gives the pairs that occur ``least`` times."""
     schema = "lang string, tile bigint, part bigint, cell bigint, left bigint, right bigint, f bigint"
 
-    def close(key, cells: list, counts: list) -> tuple[list, list]:
+    def close(cells: list, counts: list) -> tuple[list, list]:
         every, n = np.concatenate(cells), np.concatenate(counts)
         order = np.argsort(every, kind="stable")
         found, first = runs(every[order])
         return [found], [np.add.reduceat(n[order], first)]
 
     def frequent(key, cells, counts) -> pd.DataFrame | None:
-        (found,), (n,) = close(key, cells, counts)
+        (found,), (n,) = close(cells, counts)
         found, n = found[n >= least], n[n >= least]
         left, right = pairs_of(key[1], found)
         return pd.DataFrame({"lang": key[0], "tile": key[1], "part": key[2], "cell": found, "left": left, "right": right, "f": n})
@@ -236,7 +233,7 @@ def merged(least: int, buffer: int):
                 counts.append(unpack(n))
                 held += len(cells[-1])
                 if held > buffer:
-                    cells, counts = close(key, cells, counts)
+                    cells, counts = close(cells, counts)
                     held = buffer // 2 if len(cells[0]) > buffer // 2 else len(cells[0])
         if key is not None:
             yield frequent(key, cells, counts)
