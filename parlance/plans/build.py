@@ -191,6 +191,7 @@ def _write(df: DataFrame, folder: str, key: str | None = None, seen: Observation
     if key:
         # by hash, since ranges would derive the rows a first time to sample them; adaptive execution splits
         # the partition of a key with many rows by the bytes it finds, so a hot key takes as many files as it needs
+        # (and so do keys that hash into its partition; at most one file for each task that wrote the rows)
         df = df.hint("rebalance", key).sortWithinPartitions(key, "message_id")
         writer_options[f"parquet.bloom.filter.enabled#{key}"] = "true"
     if seen:
