@@ -10,11 +10,16 @@ are verified by their bits.
 Only distinct fingerprints take part, so copies cost nothing. Where many fingerprints share a
 key, connectivity is found by visiting: each visited fingerprint is compared with those not
 yet reached, so a dense bucket is used up in a few steps, and links are reported as a star.
+
+Near copies of whole documents (``near_groups``) are found with wider fingerprints, whose bits
+only propose pairs: a pair is linked if the sets of its five-word shingles, compared whole,
+have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -88,8 +93,9 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def reach(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each row of fingerprints the number of the first one it is linked with, through others."""
+def reach(fps: np.ndarray, distance: int, direct: bool = False) -> np.ndarray:
+    """For each row of fingerprints the number of the first one it is linked with, through
+    others; with ``direct`` of the one it was reached from, which is within the distance."""
     root = np.arange(len(fps))
     left = np.arange(len(fps))
     while len(left):
@@ -99,17 +105,19 @@ def reach(fps: np.ndarray, distance: int) -> np.ndarray:
             at = queue.pop()
             hit = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1) <= distance
             found, left = left[hit], left[~hit]
-            root[found] = start
+            root[found] = at if direct else start
             queue.extend(found.tolist())
     return root
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct: bool = False) -> DataFrame:
     """Links (a, b) of nodes that share a key and differ in at most ``distance`` bits of all planes.
 
     ``fps``: distinct ``node`` and ``fps``. With one plane and up to 4 bits no link is missed;
     with several, a pair is found if any plane's keys meet. The links are a star in each
-    bucket, so there are never more of them than bucket members.
+    bucket, so there are never more of them than bucket members. With ``direct`` they are
+    trees whose two ends are themselves within the distance, and every bucket starts its tree
+    at another member, so that a node of several buckets meets several others.
     """
     if planes == 1 and distance > 4:
         raise ValueError("three segments find at most 4 different bits")
@@ -130,7 +138,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1) -> Dat
             return
         key = np.concatenate([b["key"].to_numpy(np.int64) for b in whole])
         node = np.concatenate([b[carried[0]].to_numpy(np.int64) for b in whole])
-        order = np.lexsort((node, key))
+        mixed = (node.view(np.uint64) ^ key.view(np.uint64) * MIXERS[0]) * MIXERS[1] if direct else node
+        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)) if direct else node, key))
         key, node = key[order], node[order]
         fp = np.stack([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in names], axis=1).view(np.uint64)
         cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
@@ -141,7 +150,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1) -> Dat
         a.append(node[twos[hit] + 1])
         b.append(node[twos[hit]])
         for start, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            root = reach(fp[start : start + n], distance)
+            root = reach(fp[start : start + n], distance, direct)
             linked = np.nonzero(root != np.arange(n))[0]
             a.append(node[start + linked])
             b.append(node[start + root[linked]])
@@ -172,19 +181,76 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, planes:
 
 
 #: For whole documents: three fingerprints of word pairs. Texts that share four fifths of their
-#: five-word shingles differ in some 2 % of their words and in 10 % of these 192 bits, give or
-#: take 2 %; unrelated ones in about half of them.
-NEAR = {"shingle": 2, "distance": 24, "planes": 3}
+#: five-word shingles differ in 5 to 18 % of these 192 bits, unrelated ones in about half of them.
+NEAR = {"shingle": 2, "distance": 40, "planes": 3}
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
+    cut = text.encode("utf-8", "replace").lower().split() if text else []
+    if not cut:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    hashes = (digest(b" ".join(cut[i : i + words]), SEED) for i in range(max(1, len(cut) - words + 1)))
+    return np.unique(np.fromiter(hashes, np.uint64)).view(np.int64)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (``node``, ``grams``) have a Jaccard similarity of ``at_least``; two empty sets are alike."""
+    share = Fraction(str(at_least))
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    counted = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
+    return counted.filter(F.col("both") * share.denominator >= (F.col("all") - F.col("both")) * share.numerator).select("a", "b")
+
+
+def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle: int = NEAR["shingle"], distance: int = NEAR["distance"], planes: int = NEAR["planes"]) -> DataFrame:
+    """``doc_id``, ``node`` (hash of the text) and ``component_id`` for every row of ``docs``.
+
+    Different texts are linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``at_least``; fingerprints only say which pairs are compared. First
+    every text is held against its smallest neighbour; what other pairs could still connect
+    is compared then, so large groups cost one comparison a member. Null ids, repeated ids,
+    texts without words and empty tables are treated as in ``simhash_groups``.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def grams(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([shingle_set(t, words) for t in batch], dtype=object)
+
+    texts = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
+    printed = staged(fingerprints(texts, shingle, planes).select("doc_id", F.xxhash64("text").alias("node"), "fps"))
+    distinct = staged(printed.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("first_id")))
+    near = staged(fingerprint_links(distinct, distance, planes, direct=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    one_row = asked.join(distinct, "node").select("node", "first_id")  # one row of each text that is asked for
+    rows = texts.alias("t").join(one_row.alias("o"), (F.col("t.node") == F.col("o.node")) & F.col("t.doc_id").eqNullSafe(F.col("o.first_id")))
+    sets = staged(rows.select("t.node", grams("t.text").alias("grams")).dropDuplicates(["node"]))
+    size = sets.select("node", F.size("grams").alias("n"))
+    sized = near.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    able = staged(sized.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(at_least - 1e-9)).select("a", "b"))
+    first = able.groupBy("a").agg(F.min("b").alias("b"))
+    sure = staged(similar(first, sets, at_least))
+    known = components(sure)
+    at_a, at_b = known.select(F.col("node").alias("a"), F.col("component").alias("ca")), known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    crossing = able.join(first, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left").filter(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    )
+    found = components(sure.unionByName(similar(crossing.select("a", "b"), sets, at_least)))
+    named = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return printed.select("doc_id", "node").join(named.join(label, "component").select("node", "component_id"), "node")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = NEAR["shingle"], distance: int = NEAR["distance"], planes: int = NEAR["planes"]) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns of ``docs``.
+def drop_near_duplicates(docs: DataFrame, at_least: float = 0.8, words: int = 5) -> DataFrame:
+    """One document of each group of ``near_groups``, the one with the smallest id, with all columns of ``docs``.
 
-    The defaults find copies and what is as similar as 0.8 of the five-word shingles. Texts
-    without words form one group. Rows that share the smallest id of a group all stay, and so
-    do rows whose id is null. Of rows with one id and different texts, only the copies go.
+    Texts without words form one group. Rows that share the smallest id of a group all stay,
+    and so do rows whose id is null. Of rows with one id and different texts, only the copies go.
     """
     name = fresh(docs)
-    groups = simhash_groups(docs, shingle, distance, planes)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name), F.col("digest").alias(f"{name}digest")).distinct()
+    groups = near_groups(docs, at_least, words)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name), F.col("node").alias(f"{name}digest")).distinct()
     return docs.join(gone, (docs["doc_id"] == gone[name]) & (F.xxhash64(docs["text"]) == gone[f"{name}digest"]), "left_anti")
