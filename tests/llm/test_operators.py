@@ -45,6 +45,28 @@ def test_mixing(odd, none):
     assert {r["size"] for r in rows if r["doc_id"] in (4, 5, 6)} == {0}
 
 
+def test_mixing_inclusion_is_unequal_and_met(spark):
+    """600 sources with the same 24 sizes: how often each size is taken comes near its inclusion."""
+    sizes = [1, 2, 3, 5, 6, 9, 11, 14, 18, 22, 27, 33] * 2
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"s{s:03}") for s in range(600) for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault((r["copies"], round(r["target"] / r["source_size"], 6), r["size"]), []).append((r["inclusion"], r["sampled"]))
+    assert len({k[1] for k in seen}) == 3
+    for (copies, times, size), marks in seen.items():
+        assert len({p for p, _ in marks}) == 1 and len(marks) == 400
+        assert abs(sum(taken for _, taken in marks) / 400 - marks[0][0]) < 0.12, (times, size)
+    for key in {k[:2] for k in seen}:
+        by_size = [seen[(*key, n)][0][0] for n in sorted(set(sizes))]
+        assert by_size == sorted(by_size) and by_size[-1] > 2 * by_size[0]
+        words = sum(2 * n * p for n, p in zip(sorted(set(sizes)), by_size))
+        assert abs(words - (key[1] - key[0]) * sum(sizes)) < 1e-3  # inclusions fill the quota
+    # the quotient of the odds decides, not the random number alone
+    other = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed="b").collect()
+    assert {(r["doc_id"], r["sampled"]) for r in other} != {(r["doc_id"], r["sampled"]) for r in got}
+
+
 def test_mixing_comes_near_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(1, 40)), rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]
