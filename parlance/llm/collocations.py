@@ -129,13 +129,15 @@ def rows(found: list[tuple], schema: str) -> pd.DataFrame:
 def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, chunk, words, counts, codes): documents of a language as numbers into the chunk's own list of words."""
     schema = "lang string, chunk bigint, words array<string>, counts array<bigint>, codes binary"
-    held: dict[str, list[bytes]] = {}
+    held: dict[str, list[pa.Array]] = {}  # words as Arrow keeps them: bytes end to end, not an object each
+    sizes: dict[str, int] = {}
     number = TaskContext.get().partitionId() << 32
 
     def flush(lang: str) -> pd.DataFrame:
         nonlocal number
         number += 1
-        coded = pa.array(held.pop(lang), pa.binary()).dictionary_encode()
+        del sizes[lang]
+        coded = pa.concat_arrays(held.pop(lang)).dictionary_encode()
         words, codes = coded.dictionary.cast(pa.string()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
         n, dot = np.bincount(codes, minlength=len(words)), words.index(".")  # every text ends with a break
         n[dot], codes[codes == dot] = 0, -1
@@ -145,11 +147,12 @@ def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(batch["lang"], batch["text"]):
             words = text.encode().lower().translate(BREAKS).replace(b".", b" . ").split()
             if words:
-                held.setdefault(lang, []).extend(words)
-                held[lang].append(b".")
-                if len(held[lang]) >= CHUNK:
+                words.append(b".")
+                held.setdefault(lang, []).append(pa.array(words, pa.binary()))
+                sizes[lang] = sizes.get(lang, 0) + len(words)
+                if sizes[lang] >= CHUNK:
                     yield flush(lang)
-        if sum(map(len, held.values())) >= 2 * CHUNK:  # many languages, each below its share
+        if sum(sizes.values()) >= 2 * CHUNK:  # many languages, each below its share
             for lang in list(held):
                 yield flush(lang)
     for lang in list(held):

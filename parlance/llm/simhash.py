@@ -110,7 +110,7 @@ def reach(fps: np.ndarray, distance: int, direct: bool = False) -> np.ndarray:
     return root
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct: bool = False) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct: bool = False, apart: float | None = None) -> DataFrame:
     """Links (a, b) of nodes that share a key and differ in at most ``distance`` bits of all planes.
 
     ``fps``: distinct ``node`` and ``fps``. With one plane and up to 4 bits no link is missed;
@@ -118,11 +118,16 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct
     bucket, so there are never more of them than bucket members. With ``direct`` they are
     trees whose two ends are themselves within the distance, and every bucket starts its tree
     at another member, so that a node of several buckets meets several others.
+
+    With ``apart``, ``fps`` also has ``component`` and ``n``, and of the links of each bucket
+    only those are given whose ends are of different components and whose smaller ``n`` is at
+    least ``apart`` of the larger: a bucket of one component gives none.
     """
     if planes == 1 and distance > 4:
         raise ValueError("three segments find at most 4 different bits")
     names = [f"f{i}" for i in range(planes)]
-    carried = names if planes == 1 else ["node", *names]  # one plane is its own node
+    known = [] if apart is None else ["component", "n"]
+    carried = [*([] if planes == 1 else ["node"]), *names, *known]  # one plane is its own node
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,24 +147,31 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct
         order = np.lexsort((mixed ^ (mixed >> np.uint64(29)) if direct else node, key))
         key, node = key[order], node[order]
         fp = np.stack([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in names], axis=1).view(np.uint64)
+        part, n_grams = ([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in known]) if known else (None, None)
         cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
         size = np.diff(cut)
-        a, b = [], []
         twos = cut[:-1][size == 2]
         hit = np.bitwise_count(fp[twos] ^ fp[twos + 1]).sum(axis=1) <= distance
-        a.append(node[twos[hit] + 1])
-        b.append(node[twos[hit]])
-        for start, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
+        a, b = [twos[hit] + 1], [twos[hit]]
+        many = size > 2
+        if known:
+            many &= np.minimum.reduceat(part, cut[:-1]) != np.maximum.reduceat(part, cut[:-1])
+        for start, n in zip(cut[:-1][many].tolist(), size[many].tolist()):
             root = reach(fp[start : start + n], distance, direct)
             linked = np.nonzero(root != np.arange(n))[0]
-            a.append(node[start + linked])
-            b.append(node[start + root[linked]])
-        found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            a.append(start + linked)
+            b.append(start + root[linked])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if known:
+            one, two = n_grams[a], n_grams[b]
+            able = (part[a] != part[b]) & (np.minimum(one, two) >= np.maximum(one, two) * (apart - 1e-9))
+            a, b = a[able], b[able]
+        found = pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
         if len(found):
             yield found
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = fps.select("node", *[F.col("fps")[i].alias(c) for i, c in enumerate(names)]).select(*carried)
+    wide = fps.select("node", *known, *[F.col("fps")[i].alias(c) for i, c in enumerate(names)]).select(*carried)
     keyed = wide.mapInPandas(emit, ", ".join(f"{c} bigint" for c in ("key", *carried)))
     return keyed.repartition(parts, "key").mapInPandas(verify, "a bigint, b bigint")
 
@@ -210,8 +222,10 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle:
 
     Different texts are linked if their sets of ``words``-word shingles have a Jaccard
     similarity of at least ``at_least``; fingerprints only say which pairs are compared. First
-    every text is held against its smallest neighbour; what other pairs could still connect
-    is compared then, so large groups cost one comparison a member. Null ids, repeated ids,
+    every text is held against its smallest neighbour. Then the buckets are gone through once
+    more by the texts that have a neighbour, and give only the pairs that could still connect
+    two components, so a large group costs one comparison a member and no join of all its
+    pairs. Null ids, repeated ids,
     texts without words and empty tables are treated as in ``simhash_groups``.
     """
 
@@ -228,17 +242,16 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle:
     one_row = asked.join(distinct, "node").select("node", "first_id")  # one row of each text that is asked for
     rows = texts.alias("t").join(one_row.alias("o"), (F.col("t.node") == F.col("o.node")) & F.col("t.doc_id").eqNullSafe(F.col("o.first_id")))
     sets = staged(rows.select("t.node", grams("t.text").alias("grams")).dropDuplicates(["node"]))
-    size = sets.select("node", F.size("grams").alias("n"))
-    sized = near.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    able = staged(sized.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(at_least - 1e-9)).select("a", "b"))
-    first = able.groupBy("a").agg(F.min("b").alias("b"))
+    first = near.groupBy("a").agg(F.min("b").alias("b"))
     sure = staged(similar(first, sets, at_least))
-    known = components(sure)
-    at_a, at_b = known.select(F.col("node").alias("a"), F.col("component").alias("ca")), known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    crossing = able.join(first, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left").filter(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    size = sets.select("node", F.size("grams").cast("bigint").alias("n"))
+    marked = staged(
+        distinct.join(size, "node").join(components(sure), "node", "left")
+        .select("node", "fps", "n", F.coalesce("component", "node").alias("component"))
     )
-    found = components(sure.unionByName(similar(crossing.select("a", "b"), sets, at_least)))
+    crossing = fingerprint_links(marked, distance, planes, direct=True, apart=at_least)
+    crossing = crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = components(sure.unionByName(similar(crossing, sets, at_least)))
     named = distinct.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return printed.select("doc_id", "node").join(named.join(label, "component").select("node", "component_id"), "node")
