@@ -1,10 +1,11 @@
 """What the readers of exports do with many files and many messages."""
 
+import random
 from datetime import datetime
 
 import pandas as pd
 
-from parlance.sources import discord
+from parlance.sources import discord, html
 from parlance.sources.html import parse_html
 
 HEAD = '<div class="preamble__entry">Guild</div><div class="preamble__entry">Text / chat</div>'
@@ -35,3 +36,32 @@ def test_a_told_time_counts_before_that_of_the_id(spark):
     html = HEAD + box(plain) + box(spilt, f' data-timestamp="{told}"') + box(plain + 1, ' data-timestamp="soon"')
     files = spark.createDataFrame([("file:/data/discord/9/1.html", html.encode())], "path string, content binary")
     assert [r["ts"] for r in discord.read_discord(files).messages.orderBy("pos").collect()] == [datetime(2015, 1, 1, 0, 0, 1)] * 3
+
+
+def tree(node) -> list:
+    return [node.tag, list(node.attrs.items()), [c if isinstance(c, str) else tree(c) for c in node.children]]
+
+
+def tokenized(text: str):
+    builder = html._Builder()
+    builder.feed(text)
+    builder.close()
+    return builder.root
+
+
+def test_plain_pages_are_cut_at_their_tags(monkeypatch):
+    page = f"<!DOCTYPE html><html><head><title>a &amp; b</title></head><body>{HEAD}{box(7)}<ul><li>1<li>2</ul><p>x<div>y</p></body></html>"
+    expected = tree(tokenized(page))
+    monkeypatch.setattr(html._Builder, "feed", lambda self, text: 1 / 0)
+    assert tree(parse_html(page)) == expected
+
+
+def test_cutting_at_tags_gives_the_tree_of_the_tokenizer():
+    pieces = (
+        '<p> </p> <div class="a b"> </div> <li> </li> <ul> </ul> <br/> <br> <td> <tr> <table> </table> &amp; &lt <title> </title> <script> </script> '
+        "<style> </style> <!--c--> <b < <i/> </i/> text>more <x-y> </> <A> </A> & <svg:x> <i y=2> <textarea> </textarea> <!doctype>"
+    ).split() + ['<img src="x" alt="y&amp;z">', "<i x='1'>", '<a href="u?x=1>2">', '<d a="b"c="e">', '<A HREF="q" href="r">', "a & b", '<img alt="" />', "<!DOCTYPE html>"]
+    pick = random.Random(5)
+    for _ in range(5_000):
+        page = "".join(pick.choices(pieces, k=pick.randint(1, 12)))
+        assert tree(parse_html(page)) == tree(tokenized(page)), page
