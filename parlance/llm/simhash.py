@@ -35,6 +35,7 @@ SEED = 42
 AT_ONCE = 1 << 16
 MIXERS = (np.random.default_rng(23).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2)) | np.uint64(1)
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+SKETCH = 512  # cells
 
 
 def fingerprint(text: str | None, shingle: int = 4, planes: int = 1) -> list[int]:
@@ -110,6 +111,21 @@ def reach(fps: np.ndarray, distance: int, direct: bool = False) -> np.ndarray:
     return root
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH`` cells the hashes fall into, one bit a cell, as signed 64-bit numbers."""
+    cells = np.zeros(SKETCH, bool)
+    cells[(hashes.view(np.uint64) * MIXERS[2]) >> np.uint64(64 - SKETCH.bit_length() + 1)] = True
+    return np.packbits(cells).view(np.int64)
+
+
+def at_most(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No less than what sets of these sizes and sketches have in common: each cell that only
+    one of them has holds something that the other has not."""
+    a, b = a.view(np.uint64), b.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    only_a, only_b = np.bitwise_count(a & ~b).sum(axis=1), np.bitwise_count(b & ~a).sum(axis=1)
+    return np.minimum(n_a - only_a.astype(np.int64), n_b - only_b.astype(np.int64))
+
+
 def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct: bool = False, apart: float | None = None) -> DataFrame:
     """Links (a, b) of nodes that share a key and differ in at most ``distance`` bits of all planes.
 
@@ -119,14 +135,15 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct
     trees whose two ends are themselves within the distance, and every bucket starts its tree
     at another member, so that a node of several buckets meets several others.
 
-    With ``apart``, ``fps`` also has ``component`` and ``n``, and of the links of each bucket
-    only those are given whose ends are of different components and whose smaller ``n`` is at
-    least ``apart`` of the larger: a bucket of one component gives none.
+    With ``apart``, ``fps`` also has ``component``, ``n`` and, if known, ``sketch``, and of the links
+    of each bucket only those are given whose ends are of different components and whose sets of
+    ``n`` can have a Jaccard similarity of ``apart`` (see ``at_most``): a bucket of one component gives none.
     """
     if planes == 1 and distance > 4:
         raise ValueError("three segments find at most 4 different bits")
     names = [f"f{i}" for i in range(planes)]
-    known = [] if apart is None else ["component", "n"]
+    sketched = [f"s{i}" for i in range(SKETCH // 64)] if apart is not None and "sketch" in fps.columns else []
+    known = [] if apart is None else ["component", "n", *sketched]
     carried = [*([] if planes == 1 else ["node"]), *names, *known]  # one plane is its own node
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +164,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct
         order = np.lexsort((mixed ^ (mixed >> np.uint64(29)) if direct else node, key))
         key, node = key[order], node[order]
         fp = np.stack([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in names], axis=1).view(np.uint64)
-        part, n_grams = ([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in known]) if known else (None, None)
+        part, n_grams, *bits = ([np.concatenate([b[c].to_numpy(np.int64) for b in whole])[order] for c in known]) if known else (None, None)
         cut = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
         size = np.diff(cut)
         twos = cut[:-1][size == 2]
@@ -163,15 +180,18 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, planes: int = 1, direct
             b.append(start + root[linked])
         a, b = np.concatenate(a), np.concatenate(b)
         if known:
+            able, share = part[a] != part[b], Fraction(str(apart))
+            a, b = a[able], b[able]
             one, two = n_grams[a], n_grams[b]
-            able = (part[a] != part[b]) & (np.minimum(one, two) >= np.maximum(one, two) * (apart - 1e-9))
+            both = at_most(one, two, *(np.stack([c[i] for c in bits], axis=1) for i in (a, b))) if bits else np.minimum(one, two)
+            able = both * share.denominator >= (one + two - both) * share.numerator
             a, b = a[able], b[able]
         found = pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
         if len(found):
             yield found
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = fps.select("node", *known, *[F.col("fps")[i].alias(c) for i, c in enumerate(names)]).select(*carried)
+    wide = fps.select("node", *known[:2], *[F.col("sketch")[i].alias(c) for i, c in enumerate(sketched)], *[F.col("fps")[i].alias(c) for i, c in enumerate(names)]).select(*carried)
     keyed = wide.mapInPandas(emit, ", ".join(f"{c} bigint" for c in ("key", *carried)))
     return keyed.repartition(parts, "key").mapInPandas(verify, "a bigint, b bigint")
 
@@ -224,8 +244,8 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle:
     similarity of at least ``at_least``; fingerprints only say which pairs are compared. First
     every text is held against its smallest neighbour. Then the buckets are gone through once
     more by the texts that have a neighbour, and give only the pairs that could still connect
-    two components, so a large group costs one comparison a member and no join of all its
-    pairs. Null ids, repeated ids,
+    two components and whose sketches leave room for so much in common, so a large group costs
+    one comparison a member and no join of all its pairs, alike or not. Null ids, repeated ids,
     texts without words and empty tables are treated as in ``simhash_groups``.
     """
 
@@ -234,6 +254,11 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle:
         for batch in texts:
             yield pd.Series([shingle_set(t, words) for t in batch], dtype=object)
 
+    @F.pandas_udf("array<bigint>")
+    def sketches(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in sets:
+            yield pd.Series([sketch(np.asarray(g, np.int64)) for g in batch], dtype=object)
+
     texts = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
     printed = staged(fingerprints(texts, shingle, planes).select("doc_id", F.xxhash64("text").alias("node"), "fps"))
     distinct = staged(printed.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("first_id")))
@@ -244,10 +269,10 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, words: int = 5, shingle:
     sets = staged(rows.select("t.node", grams("t.text").alias("grams")).dropDuplicates(["node"]))
     first = near.groupBy("a").agg(F.min("b").alias("b"))
     sure = staged(similar(first, sets, at_least))
-    size = sets.select("node", F.size("grams").cast("bigint").alias("n"))
+    size = sets.select("node", F.size("grams").cast("bigint").alias("n"), sketches("grams").alias("sketch"))
     marked = staged(
         distinct.join(size, "node").join(components(sure), "node", "left")
-        .select("node", "fps", "n", F.coalesce("component", "node").alias("component"))
+        .select("node", "fps", "n", "sketch", F.coalesce("component", "node").alias("component"))
     )
     crossing = fingerprint_links(marked, distance, planes, direct=True, apart=at_least)
     crossing = crossing.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -32,3 +32,20 @@ def test_buckets_of_one_component_give_no_pairs(spark):
     assert links(fps.filter("component = 1")) == set()
     found = links(fps)
     assert found and all(4 in pair and 5 not in pair for pair in found)
+
+
+def test_a_sketch_bounds_what_sets_have_in_common(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 100, 700):
+        pool = rng.integers(-(1 << 63), (1 << 63) - 1, 2 * n + 1, dtype=np.int64)
+        for shared in {0, n // 2, n}:
+            a, b = pool[:n], np.concatenate((pool[:shared], pool[n : 2 * n - shared]))
+            size = np.array([n])
+            most = simhash.at_most(size, size, simhash.sketch(a)[None], simhash.sketch(b)[None])
+            assert shared <= most[0] <= n and (n != 100 or most[0] < shared + 30)
+    near, far = (rng.integers(0, 1 << 62, 100, dtype=np.int64) for _ in range(2))
+    half = np.concatenate((near[:90], far[:10]))
+    rows = [(i, [i, 7, 9], i, 100, simhash.sketch(g).tolist()) for i, g in enumerate((near, far, half), 1)]
+    fps = spark.createDataFrame(rows, "node bigint, fps array<bigint>, component bigint, n bigint, sketch array<bigint>")
+    found = {tuple(sorted(r)) for r in simhash.fingerprint_links(fps, 40, 3, direct=True, apart=0.8).collect()}
+    assert found <= {(1, 3)}  # all three are near in bits, the second has nothing like the others' shingles
