@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 
-from parlance.llm import collocations, simhash
+from parlance.llm import chain_dedup, collocations, simhash
 
 
 def test_words_of_a_chunk_are_not_held_as_objects(monkeypatch):
@@ -49,3 +49,29 @@ def test_a_sketch_bounds_what_sets_have_in_common(spark):
     fps = spark.createDataFrame(rows, "node bigint, fps array<bigint>, component bigint, n bigint, sketch array<bigint>")
     found = {tuple(sorted(r)) for r in simhash.fingerprint_links(fps, 40, 3, direct=True, apart=0.8).collect()}
     assert found <= {(1, 3)}  # all three are near in bits, the second has nothing like the others' shingles
+
+
+def test_links_that_span_too_little_are_not_sorted():
+    tag = 1 << chain_dedup.TAG
+    doc, other = np.array([5, 5, 5, 6, 6, 5], np.int64), np.array([1, 1, 2, 1, 1, 1], np.int64)
+    place, to = np.array([10, 30, 40, 9, 3, tag + 90], np.int64), np.array([0, 20, 0, 7, 1, 0], np.int64)
+    assert sorted(chain_dedup.far_apart(doc, place, other, to, 7)) == [0, 1]  # 6 words between documents 6 and 1, one link with 2 and of the other tag
+    assert sorted(chain_dedup.far_apart(doc, place, other, to, 6)) == [0, 1, 3, 4]
+    assert sorted(chain_dedup.far_apart(doc, place, other, to, 0)) == [0, 1, 2, 3, 4, 5]
+
+
+def test_alignment_has_fewest_edits_and_then_most_matches():
+    def plain(a, b):
+        best = {(i, 0): (i, 0) for i in range(len(a) + 1)} | {(0, j): (j, 0) for j in range(len(b) + 1)}
+        for i, v in enumerate(a, 1):
+            for j, w in enumerate(b, 1):
+                cost, match = best[i - 1, j - 1]
+                steps = [(cost + (v != w), match - (v == w))]
+                steps += [(best[at][0] + 1, best[at][1]) for at in ((i - 1, j), (i, j - 1))]
+                best[i, j] = min(steps)
+        return -best[len(a), len(b)][1]
+
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        a, b = (rng.integers(0, 5, rng.integers(0, 9)).astype(np.uint32) for _ in range(2))
+        assert chain_dedup.edit_matches(a, b) == plain(a.tolist(), b.tolist())
