@@ -7,21 +7,22 @@ chains - is done on columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import fold
-from ..functions.text import let, squeeze
+from ..functions.text import let, may_say, squeeze
 from ..functions.times import boundary_number, iso_text, micros, from_micros
 from ..session import pinned, written
 from .discord import first_group
-from .html import Node, in_frames, parse_html
+from .html import Node, arrow_schema, in_batches, outlined
 from .seeds import Export
 
 # --- fixed values, must equal the reference's for equal results -------------
@@ -83,8 +84,18 @@ ANNOUNCEMENTS = (
     r"(?iu)^.+ sent an attachment\.\s*download file:\s*(messages/\S+)\s*$",
     r"(?iu)^(https?://\S+)\s+\1$",
 )
+# words without which none of the patterns above can be found
+MEMBER_WORDS = {"added": " added ", "removed": " removed ", "left": " left the "}
+GROUP_WORDS = (" named the group", " renamed the group", " the group name", " the chat name")
+NICK_WORDS = ("nickname",)
+SENT_WORDS = (" sent a link.", " sent an attachment")
+OTHER_WORDS = (
+    " changed the ", " updated the ", "poll", " set the ", " turned o", " pinned a message", " video",
+    "o call", " created ", " scored ", "plan created: ", " named the plan ", " responded ",
+)
 REMOVED_MEDIA = "one or more media attachments were removed"
 CLEARED = "(cleared)"
+_REACTIONS = re.compile(r"(\d+)\s+reactions?")
 EMOJI_MODIFIERS = "[️︎‍]"
 EMOJI_LENGTH = 6
 # ----------------------------------------------------------------------------
@@ -97,14 +108,16 @@ RAW_SCHEMA = (
 
 def repair(text: str) -> str:
     """Undoes UTF-8 that was stored as Latin-1."""
+    if text.isascii():
+        return text
     try:
         return text.encode("latin-1").decode("utf-8")
     except (UnicodeEncodeError, UnicodeDecodeError):
         return text
 
 
-def _text(node: Node) -> str:
-    return repair(" ".join(node.text(" ").split()))
+def _text(parts: Iterable[str]) -> str:
+    return repair(" ".join(" ".join(parts).split()))
 
 
 @lru_cache(maxsize=4096)
@@ -115,10 +128,6 @@ def _minute(text: str) -> datetime | None:
         return None
 
 
-def _time(children: list[Node]) -> datetime | None:
-    return next((ts for child in reversed(children) if (ts := _minute(_text(child))) is not None), None)
-
-
 def _preview(node: Node) -> str | None:
     for name in ("src", "data-src", "href"):
         if (node.get(name) or "").strip():
@@ -142,30 +151,48 @@ def _attachments(body: Node) -> list[dict]:
     return out
 
 
-def parse_chat_file(path: str, html: str) -> Iterator[tuple]:
-    import re
+def _outline(box: Node) -> tuple:
+    """Where a box has its texts: author, body, all of it with and without lists of reactions, each child from the
+    last, items of those lists; and what its tags tell."""
+    children = box.elements()
+    if len(children) < 2:
+        return ()
+    whole, lines = list(box.strings()), [list(c.strings()) for c in children]
+    tagged = sum(any("reaction" in c.lower() for c in n.kinds) for n in box.walk() if n.kinds)
+    lists = box.all("ul._tqp")
+    items = [list(li.strings()) for ul in lists for li in ul.elements() if li.tag == "li"]
+    for ul in children[1].all("ul._tqp"):
+        ul.remove()
+    # without lists the two are one
+    left = list(box.strings()) if lists else None
+    return lines[0], list(children[1].strings()), whole, left, lines[::-1], items, tagged, _attachments(children[1])
+
 
-    for pos, box in enumerate(parse_html(html).all(CONTAINER)):
-        children = box.elements()
-        if len(children) < 2:
+def parse_chat_file(path: str, html: str) -> Iterator[tuple]:
+    for pos, (outline, pick) in enumerate(outlined(html, CONTAINER, _outline)[1]):
+        if not outline:
             continue
-        author, ts = _text(children[0]), _time(children)
-        tagged = sum(any("reaction" in c.lower() for c in n.kinds) for n in box.walk() if n.kinds)
-        said = re.search(r"(\d+)\s+reactions?", _text(box).lower())
-        lists = box.all("ul._tqp")
-        items = [_text(li) for ul in lists for li in ul.elements() if li.tag == "li"]
-        for ul in children[1].all("ul._tqp"):
-            ul.remove()
-        if ts is not None:
-            yield (
-                path, pos, author, _text(children[1]), _text(box), ts, _attachments(children[1]), tagged,
-                int(said.group(1)) if said else None, items,
-            )
+        author, body, whole, left, lines, items, tagged, attachments = outline
+        ts = next((ts for line in lines if (ts := _minute(_text(pick(line)))) is not None), None)
+        if ts is None:
+            continue
+        shown = _text(pick(whole))
+        said = _REACTIONS.search(shown.lower()) if "reaction" in shown.lower() else None
+        yield (
+            path, pos, _text(pick(author)), _text(pick(body)), shown if left is None else _text(pick(left)), ts, attachments, tagged, int(said.group(1)) if said else None,
+            [_text(pick(item)) for item in items],
+        )
+
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """Rows of RAW_SCHEMA from files of (path, content)."""
+    schema = arrow_schema(RAW_SCHEMA)
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    files = ((path, content) for batch in batches for path, content in zip(batch["path"], batch["content"]))
-    yield from in_frames((row for path, content in files for row in parse_chat_file(path, bytes(content).decode("utf-8", errors="replace"))), RAW_SCHEMA)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (file for batch in batches for file in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()))
+        yield from in_batches((row for path, content in found for row in parse_chat_file(path, content.decode("utf-8", errors="replace"))), schema)
+
+    return files.select("path", "content").mapInArrow(parse, RAW_SCHEMA)
 
 
 def _any(text: Column, patterns) -> Column:
@@ -186,9 +213,13 @@ def _plain_body(body: Column) -> Column:
     def unwrap(text: Column, pattern: str) -> Column:
         return let(text, lambda t: F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(t))
 
-    for pattern in ANNOUNCEMENTS:
-        body = unwrap(body, pattern)
-    return body
+    def unwrapped(text: Column) -> Column:
+        for pattern in ANNOUNCEMENTS[:2]:
+            text = unwrap(text, pattern)
+        return text
+
+    # the last one begins with the link, which is seen at once
+    return unwrap(let(body, lambda t: F.when(may_say(t, *SENT_WORDS), unwrapped(t)).otherwise(t)), ANNOUNCEMENTS[2])
 
 
 def cleaned_body(body: Column, attachments: Column) -> Column:
@@ -214,8 +245,9 @@ def cleaned_body(body: Column, attachments: Column) -> Column:
         url = F.nullif(F.regexp_extract(text, r"https?://[^\s]+", 0), F.lit(""))
         local = F.nullif(F.regexp_extract(text, r"messages/[^\s]+", 0), F.lit(""))
         target = F.coalesce(url, local)
+        # what only asks for audio or video begins with a fixed word
         placeholder = (
-            _any(squeeze(text), ATTACHMENT_ONLY)
+            (may_say(squeeze(text), " sent an attachment", "click for ") & _any(squeeze(text), ATTACHMENT_ONLY))
             | text.rlike(r"(?iu)sent (an |a )?(attachment|link)")
             | F.contains(F.lower(text), F.lit(REMOVED_MEDIA))
             | text.rlike(r"(?iu)^https?://")
@@ -253,13 +285,15 @@ def ranked_summary(emojis: Column) -> Column:
 def is_emoji_message(text: Column) -> Column:
     """Short text of symbols only: at most six visible characters, none ASCII, no letters or digits."""
     visible = F.regexp_replace(text, rf"(?U)\s|{EMOJI_MODIFIERS}", "")
-    return visible.rlike(r"^[^\x00-\x7F\p{L}\p{N}]{1," + str(EMOJI_LENGTH) + "}$")
+    # most texts show a letter at once
+    return ~text.rlike("[A-Za-z0-9]") & visible.rlike(r"^[^\x00-\x7F\p{L}\p{N}]{1," + str(EMOJI_LENGTH) + "}$")
 
 
 # -- events in the text ------------------------------------------------------
 def group_rename(text: Column) -> tuple[Column, Column]:
     """(new name, actor) of a group rename."""
-    return _trim_end(first_group(text, GROUP_NAME, 2)), F.trim(first_group(text, GROUP_NAME, 1))
+    said = may_say(text, *GROUP_WORDS)
+    return F.when(said, _trim_end(first_group(text, GROUP_NAME, 2))), F.when(said, F.trim(first_group(text, GROUP_NAME, 1)))
 
 
 def split_names(names: Column) -> Column:
@@ -279,10 +313,10 @@ def member_event(text: Column) -> Column:
     out = None
     for kind in ("added", "removed"):
         targets = split_names(F.regexp_extract(text, MEMBER[kind], 2))
-        hit = text.rlike(MEMBER[kind]) & (F.size(targets) > 0)
+        hit = may_say(text, MEMBER_WORDS[kind]) & text.rlike(MEMBER[kind]) & (F.size(targets) > 0)
         out = (F if out is None else out).when(hit, event(kind, targets))
     left = F.array(F.trim(F.regexp_extract(text, MEMBER["left"], 1)))
-    return out.when(text.rlike(MEMBER["left"]), event("left", left))
+    return out.when(may_say(text, MEMBER_WORDS["left"]) & text.rlike(MEMBER["left"]), event("left", left))
 
 
 def nickname_event(text: Column) -> Column:
@@ -310,14 +344,14 @@ def nickname_event(text: Column) -> Column:
         .when(text.rlike(NICK_CLEAR_YOUR), event(NICK_CLEAR_YOUR, none, gone, True))
         .when(text.rlike(NICK_CLEAR_OWN), event(NICK_CLEAR_OWN, none, gone, True))
     )
-    return F.when(found["nickname"] != "", found)
+    return F.when(may_say(text, *NICK_WORDS), let(found, lambda f: F.when(f["nickname"] != "", f)))
 
 
 def is_system_text(text: Column) -> Column:
     """Whether single-spaced text is a notice of the platform."""
     said = (
-        _any(text, GROUP_NAME) | member_event(text).isNotNull() | nickname_event(text).isNotNull()
-        | _any(text, OTHER_SYSTEM)
+        (may_say(text, *GROUP_WORDS) & _any(text, GROUP_NAME)) | member_event(text).isNotNull() | nickname_event(text).isNotNull()
+        | (may_say(text, *OTHER_WORDS) & _any(text, OTHER_SYSTEM))
     )
     return (text != "") & said
 
@@ -532,7 +566,7 @@ def _member_events(rows: DataFrame, bindings: DataFrame) -> DataFrame:
 
 def parse_rows(files: DataFrame) -> DataFrame:
     """One row per message container, with what its text says about names and members."""
-    raw = files.select("path", "content").mapInPandas(_parse, RAW_SCHEMA)
+    raw = _parsed(files)
     chat = F.element_at(F.split("path", "/"), -2)
     body = cleaned_body(F.col("body"), F.col("attachments"))
     rows = raw.withColumn("chat", chat).withColumn("b", body).select("*", "b.*").drop("b")
