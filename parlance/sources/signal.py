@@ -6,21 +6,21 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.names import casefold, unquote
-from ..functions.text import let, squeeze
+from ..functions.text import let, may_say, squeeze
 from ..operators.resolve import resolve_people
 from ..session import written
-from .html import Node, by_class, in_frames, parse_html
+from .html import Node, arrow_schema, by_class, in_batches, outlined
 from .seeds import Export, first_people
 
 # --- fixed values, must equal the reference's for equal results -------------
@@ -54,9 +54,13 @@ OTHER_SENTENCES = (
     "added .* to the group",
     "removed .* from the group",
 )
+# words without which no name is given to a group, and none of the first three notices of SYSTEM is found
+NAMED_WORDS = ("named the group ", " group name to ", " group title to ")
+NOTICE_WORDS = (" the group", " the chat")
 TIME_FORMATS = ("%b %d, %Y %H:%M:%S", "%b %d, %Y %H:%M")
 DIR_ID = r"\(_id(\d+)\)\s*$"
 LEAST_CONFIGURED = 2
+FOOTERS, QUOTE = frozenset({"footer", "footer-status"}), "msg-quote"
 # ----------------------------------------------------------------------------
 
 RAW_SCHEMA = (
@@ -103,33 +107,48 @@ def _members(page: Node, found: dict[str, list[Node]]) -> set[str]:
     return names - {""}
 
 
-def _status(box: Node) -> str:
-    pre = box.one("div.status-text", "pre")
-    if pre is not None:
-        return pre.text()
-    for node in box.all("pre"):
-        if not any({"footer", "footer-status"} & set(p.classes()) for p in node.ancestors()) and node.text():
-            return node.text()
-    return ""
+def _joined(parts: Iterable[str], joiner: str = " ") -> str:
+    return joiner.join([p for part in parts if (p := part.strip())])
 
 
-def _body(nodes: list[Node]) -> str:
-    """Texts of a message without the quoted one."""
-    texts = [p.text("\n") for p in nodes if p.tag == "pre" and not any("msg-quote" in a.classes() for a in p.ancestors())]
-    return "\n\n".join(t for t in texts if t)
+def _strings(node: Node | None) -> list[str]:
+    return [] if node is None else list(node.strings())
 
 
-def _reactions(box: Node, found: dict[str, list[Node]]) -> tuple[int, str | None, str | None]:
+class _Outline:
+    """What the tags of a message box tell, and where its texts are."""
+
+    def __init__(self, box: Node):
+        nodes = list(box.walk())
+        found = by_class(nodes)
+        dates, members = found.get("msg-data", ()), found.get("membername", ())
+        self.kinds = set(box.classes())
+        stamp = box.one("div.footer", "span.msg-data", among=dates) or box.one("div.footer-status", "span.msg-data", among=dates)
+        self.stamp = None if stamp is None else _strings(stamp)
+        self.names = [_strings(n) for n in box.all("div.membername", among=members)]
+        status = box.one("div.status-text", "pre")
+        self.status = [_strings(n) for n in ([status] if status is not None else box.all("pre")) if n is status or not any(FOOTERS & p.kinds for p in n.ancestors())]
+        quote = next((a for a in found.get("quote-link", ()) if (a.get("href") or "").startswith("#")), None)
+        self.reply = (quote.attrs["href"].lstrip("#").strip() or None) if quote is not None else None
+        targets = (n.get("href") if n.tag == "a" else n.get("src") if n.tag in ("img", "source") else None for n in nodes)
+        self.files = list(dict.fromkeys(t for t in targets if t and t.startswith("media/")))
+        # texts of a message without the quoted one
+        self.body = [_strings(n) for n in nodes if n.tag == "pre" and not any(QUOTE in p.kinds for p in n.ancestors())]
+        self.reactions = [
+            (_strings(r.one("span.msg-emoji")), _strings(r.one("span.reaction-count")), _strings(r.one(".msg-reaction-info")))
+            for r in box.all("div.msg-reactions", "div.msg-reaction", among=found.get("msg-reaction", ()))
+        ]
+
+
+@lru_cache(maxsize=4096)
+def _reactions(items: tuple[tuple[str, str, str], ...]) -> tuple[int, str | None, str | None]:
     counts: Counter[str] = Counter()
     who: dict[str, list[dict]] = {}
-    for item in box.all("div.msg-reactions", "div.msg-reaction", among=found.get("msg-reaction", ())):
-        tag, number, info = item.one("span.msg-emoji"), item.one("span.reaction-count"), item.one(".msg-reaction-info")
-        emoji = tag.text("") if tag is not None else ""
+    for emoji, shown, info in items:
         if not emoji:
             continue
-        shown = number.text("") if number is not None else ""
         counts[emoji] += max(int(shown), 1) if shown.isdigit() else 1
-        said = re.search(r"(?:^|\n)\s*From:\s*(.+?)(?:\n|$)", info.text("\n"), re.IGNORECASE) if info is not None else None
+        said = re.search(r"(?:^|\n)\s*From:\s*(.+?)(?:\n|$)", info, re.IGNORECASE)
         if said:
             name = said.group(1).strip()
             who.setdefault(emoji, []).append({"platform": "signal", "raw_id": person_raw_id(name), "display_name": name})
@@ -145,49 +164,45 @@ def parse_chat(path: str, html: str) -> Iterator[tuple]:
     folder = path.split("/")[-2]
     numbered = re.search(DIR_ID, folder)
     chat = numbered.group(1) if numbered else folder
-    page = parse_html(html)
+    page, boxes = outlined(html, "div.msg", _Outline, inside=frozenset({"columnview"}), outside=FOOTERS | {QUOTE, "membername", "columnview"})
     head = page.one("title")
     title = (head.text("") if head is not None else "") or re.sub(r"\s*" + DIR_ID, "", folder).strip() or folder
     nothing = (None, None, None, None, 0, None, 0, None, None)
     yield (path, -1, chat, title, "chat", None, None, None, *nothing[1:])
-    kept = by_class(page.walk())
-    for name in sorted(_members(page, kept)):
+    wrote = {_joined(pick(name)) for box, pick in boxes for name in box.names} - {""}
+    for name in sorted(_members(page, page.by_class()) | wrote):
         yield (path, -1, chat, title, "member", None, person_raw_id(name), name, *nothing[1:])
-    for pos, box in enumerate(page.all("div.msg", among=kept.get("msg", ())), start=1):
-        kinds = set(box.classes())
-        if "msg-date-change" in kinds:
+    for pos, (box, pick) in enumerate(boxes, start=1):
+        if "msg-date-change" in box.kinds:
             continue
-        nodes = list(box.walk())
-        found = by_class(nodes)
-        dates = found.get("msg-data", ())
-        stamp = box.one("div.footer", "span.msg-data", among=dates) or box.one("div.footer-status", "span.msg-data", among=dates)
-        ts = _time(stamp.text()) if stamp is not None else None
+        ts = _time(_joined(pick(box.stamp))) if box.stamp is not None else None
         if ts is None:
             continue
-        if "msg-status" in kinds:
-            yield (path, pos, chat, title, "status", ts, None, None, _status(box), *nothing[2:])
+        if "msg-status" in box.kinds:
+            said = next((text for part in box.status if (text := _joined(pick(part)))), "")
+            yield (path, pos, chat, title, "status", ts, None, None, said, *nothing[2:])
             continue
-        member = box.one("div.membername", among=found.get("membername", ()))
-        name = "You" if "msg-outgoing" in kinds else member.text() if member is not None else "Unknown"
-        quote = next((a for a in found.get("quote-link", ()) if (a.get("href") or "").startswith("#")), None)
-        reply = (quote.attrs["href"].lstrip("#").strip() or None) if quote is not None else None
-        files: list[str] = []
-        for node in nodes:
-            target = node.get("href") if node.tag == "a" else node.get("src") if node.tag in ("img", "source") else None
-            if target and target.startswith("media/") and f"{folder}/{target}" not in files:
-                files.append(f"{folder}/{target}")
-        raw_id, content = person_raw_id(name), _body(nodes)
+        name = "You" if "msg-outgoing" in box.kinds else _joined(pick(box.names[0])) if box.names else "Unknown"
+        files = [f"{folder}/{target}" for target in box.files]
+        raw_id = person_raw_id(name)
+        content = "\n\n".join(text for part in box.body if (text := _joined(pick(part), "\n")))
         parts = [chat, ts.isoformat(), raw_id, content, str(pos), files[0] if files else ""]
         yield (
             path, pos, chat, title, "message", ts, raw_id, "You" if raw_id == "self" else name, content,
-            hashlib.sha1("|".join(parts).encode("utf-8")).hexdigest(), reply, len(files), files[0] if files else None,
-            *_reactions(box, found),
+            hashlib.sha1("|".join(parts).encode("utf-8")).hexdigest(), box.reply, len(files), files[0] if files else None,
+            *_reactions(tuple((_joined(pick(tag), ""), _joined(pick(number), ""), _joined(pick(info), "\n")) for tag, number, info in box.reactions)),
         )
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    files = ((path, content) for batch in batches for path, content in zip(batch["path"], batch["content"]))
-    yield from in_frames((row for path, content in files for row in parse_chat(path, bytes(content).decode("utf-8", errors="ignore"))), RAW_SCHEMA)
+def _parsed(files: DataFrame) -> DataFrame:
+    """Rows of RAW_SCHEMA from files of (path, content)."""
+    schema = arrow_schema(RAW_SCHEMA)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (file for batch in batches for file in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()))
+        yield from in_batches((row for path, content in found for row in parse_chat(path, content.decode("utf-8", errors="ignore"))), schema)
+
+    return files.select("path", "content").mapInArrow(parse, RAW_SCHEMA)
 
 
 def group_name_change(content: Column) -> Column:
@@ -207,13 +222,17 @@ def group_name_change(content: Column) -> Column:
         sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: (s != "") & ~F.lower(s).rlike(other))
         return F.coalesce(let(F.nullif(F.trim(F.array_join(sentences, " ")), F.lit("")), first), first(text))
 
-    return let(squeeze(F.coalesce(content, F.lit(""))), either)
+    return let(squeeze(F.coalesce(content, F.lit(""))), lambda text: F.when(may_say(text, *NAMED_WORDS), either(text)))
 
 
 def is_system_text(content: Column) -> Column:
     def said(text: Column) -> Column:
         notice = text.rlike(SYSTEM[0])
-        for pattern in SYSTEM[1:]:
+        for pattern in SYSTEM[1:3]:
+            notice = notice | text.rlike(pattern)
+        # the others begin with fixed words
+        notice = may_say(text, *NOTICE_WORDS) & notice
+        for pattern in SYSTEM[3:]:
             notice = notice | text.rlike(pattern)
         # a group name change always contains one of these phrases
         named = F.lower(text).rlike(r"(named the group|group (name|title) to) ") & group_name_change(text).isNotNull()
@@ -248,7 +267,7 @@ def title_changes(events: DataFrame) -> DataFrame:
 def read_signal(files: DataFrame, config: Config | None = None, source: str = "signal_decrypted") -> Export:
     """Chats from rows of (path, content). With a configuration, only chats of at least two configured people."""
     # parsed once, read by several consumers below
-    raw = written(files.select("path", "content").mapInPandas(_parse, RAW_SCHEMA))
+    raw = written(_parsed(files))
     if config is not None:
         raw = raw.join(admitted_chats(raw.filter(F.col("kind") == "member"), config), "chat", "left_semi")
     source_name = F.lit(f"Signal: {source}")

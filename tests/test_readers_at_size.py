@@ -4,8 +4,9 @@ import random
 from datetime import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from parlance.sources import discord, html
+from parlance.sources import discord, facebook, html, signal
 from parlance.sources.html import parse_html
 
 HEAD = '<div class="preamble__entry">Guild</div><div class="preamble__entry">Text / chat</div>'
@@ -65,3 +66,61 @@ def test_cutting_at_tags_gives_the_tree_of_the_tokenizer():
     for _ in range(5_000):
         page = "".join(pick.choices(pieces, k=pick.randint(1, 12)))
         assert tree(parse_html(page)) == tree(tokenized(page)), page
+
+
+FB = '<div class="pam _3-95 _2pi0 _2lej uiBoxWhite noborder">'
+
+
+def facebook_box(n: int, more: str = "") -> str:
+    return f"{FB}<div>User {n}</div><div><div>{more}hello &amp; {n}</div><ul class='_tqp'></ul></div><div>12 Jan 2024, 10:{n % 60:02}</div></div>".replace("'", '"')
+
+
+def signal_box(n: int, more: str = "") -> str:
+    return (
+        f'<div class="msg msg-incoming"><div class="membername">User {n}</div>{more}<pre>hi {n}</pre><div class="footer">'
+        f'<span class="msg-data">Jan 05, 2024 10:00:{n % 60:02}</span></div></div>'
+    )
+
+
+def test_alike_boxes_are_parsed_once(monkeypatch):
+    made, init = [], html.Node.__init__
+
+    def counted(self, *args):
+        made.append(1)
+        init(self, *args)
+
+    monkeypatch.setattr(html.Node, "__init__", counted)
+    rows = list(facebook.parse_chat_file("a/b/c.html", "<html><body>" + "\n".join(map(facebook_box, range(500))) + "</body></html>"))
+    assert [r[2:4] for r in rows] == [(f"User {n}", f"hello & {n}") for n in range(500)] and len(made) < 700
+    made.clear()
+    rows = list(signal.parse_chat("a/b/c.html", "<html><body>" + "\n".join(map(signal_box, range(500))) + "</body></html>"))
+    assert [r[8] for r in rows if r[4] == "message"] == [f"hi {n}" for n in range(500)] and len(made) < 700
+
+
+def test_cut_boxes_read_like_the_whole_page(monkeypatch):
+    pieces = (
+        "<p> </p> <div> </div> <span> </span> <ul> <li> </ul> <pre> </pre> <td> </table> <br> <img|src=\"media/a.png\"> <script> </script> <!--c--> "
+        '<div|class="columnview"> <div|class="footer"> <div|class="msg-quote"> <div|class="membername"> <title> </title> x 3|reactions &lt; </body>'
+    ).split(" ")
+    pieces = [p.replace("|", " ") for p in pieces] + ['<div class="msg">', FB, '<ul class="_tqp"><li>👍 Ann</li></ul>']
+    pick = random.Random(7)
+    pages = []
+    for _ in range(2_000):
+        boxes = [pick.choice((facebook_box, signal_box))(n, "".join(pick.choices(pieces, k=pick.choice((0, 0, 1, 2))))) for n in range(3)]
+        pages.append("".join(pick.choices(pieces, k=pick.choice((0, 0, 1)))).join(["", *boxes, ""]))
+
+    def read():
+        return [(list(facebook.parse_chat_file("a/b/c.html", p)), list(signal.parse_chat("a/b/c.html", p))) for p in pages]
+
+    cut = read()
+    monkeypatch.setattr(html, "_cut", lambda text, step: None)
+    assert cut == read()
+
+
+def test_notices_in_any_case_are_still_tried(spark):
+    said = ["Ann ſet the emoji to x", "Ann created a POLL: x", "Ann changed your nIcKname to Bo.", "Ann set the nİcKname for Bo to Cy.", "Ann left the chat", "we left it", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select(
+        "i", facebook.is_system_text(F.col("t")).alias("s"), facebook.may_say(F.col("t"), "nickname", "set the").alias("m"))
+    found = rows.orderBy("i").collect()
+    assert [r.s for r in found] == [True, True, True, True, True, False, False]
+    assert [r.m for r in found] == [True, False, True, True, False, False, False]
