@@ -501,3 +501,17 @@ def test_pages_are_cut_after_unknown_authors_are_left_out(spark):
     assert domain_examples(chat, "a.org", limit=6).count() == 6
     top = top_reacted_messages(chat, limit=6).collect()
     assert len(top) == 6 and not any(r.has_more for r in top)
+
+
+def test_reactions_without_a_reactor_are_dealt_out(spark):
+    messages = spark.range(4_000).selectExpr(
+        "cast(id as string) AS id", "'discord' AS platform", "1 AS reaction_count", "'👍×1' AS reaction_summary", "cast(null as string) AS reaction_details_json")
+    who = spark.range(500).selectExpr("'discord' AS platform", "concat('u', id) AS platform_user_id", "id AS person_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in reaction_events(messages, who).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 4_000 and max(sizes) < 2_000
