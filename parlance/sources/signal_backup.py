@@ -180,6 +180,8 @@ def read_signal_backup(lines: DataFrame, source: str, identities: set[str] | Non
         enough = ids.groupBy("chat").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_CONFIGURED)
         groups = groups.join(enough, "chat", "left_semi")
         members = members.join(enough, "chat", "left_semi")
+    # a row a chat: stored, so that its size is known and the items of a busy chat need not meet in one task
+    groups = written(groups)
     authors = person.select(F.col("recipient_id").alias("author_id"), "raw_id", "display_name")
     items = pinned(
         items.join(groups.select("chat", "title"), "chat").join(authors, "author_id", "left")
@@ -189,11 +191,11 @@ def read_signal_backup(lines: DataFrame, source: str, identities: set[str] | Non
     source_name, signal, none = F.lit(f"Signal: {source}"), F.lit("signal"), F.lit(None).cast("string")
     ord_ = F.struct(F.lit(2).alias("rank"), F.lit(source).alias("path"), "pos")
 
-    titles = title_changes(_title_updates(items))
+    titles = written(title_changes(_title_updates(items)))
     final = titles.groupBy("chat").agg(F.max_by("name", F.struct("ts", casefold(F.col("name")), "pos")).alias("last"))
-    channels = groups.select("chat", "title").join(final, "chat", "left").select(
+    channels = written(groups.select("chat", "title").join(final, "chat", "left").select(
         source_name.alias("source_name"), F.col("chat").alias("raw_id"), F.coalesce("last", "title").alias("name")
-    )
+    ))
     renamed = titles.select(
         source_name.alias("source_name"), signal.alias("platform"), F.lit("channel").alias("entity_kind"),
         F.col("chat").alias("entity_raw_id"), "previous_name", F.col("name").alias("new_name"), "ts",

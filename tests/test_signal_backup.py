@@ -83,3 +83,11 @@ def test_of_several_accounts_the_first_counts(spark, tmp_path):
     (tmp_path / "two.jsonl").write_text("\n".join(lines), encoding="utf-8")
     export = read_signal_backup(spark.read.text(str(tmp_path / "two.jsonl")), "backup")
     assert {r.raw_id for r in export.people.collect()} == {"AAA", "ZZZ", "me.01", "77"}
+
+
+def test_items_are_not_dealt_by_chat(spark):
+    lines = [{"recipient": {"id": "g1", "group": {"snapshot": {"title": {"title": "T"}}}}}, {"chat": {"id": "1", "recipientId": "g1"}}]
+    lines += [{"chatItem": {"chatId": "1", "authorId": "p", "dateSent": str(n), "standardMessage": {"text": {"body": "x"}}}} for n in range(5)]
+    messages = read_signal_backup(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"), "b").messages
+    plan = messages._jdf.queryExecution().executedPlan().toString()
+    assert messages.count() == 5 and "SortMergeJoin" not in plan and "hashpartitioning(chat" not in plan
