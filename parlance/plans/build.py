@@ -38,6 +38,8 @@ FACT_KEYS = {
 }
 #: file names that may be broadcast, some 100 bytes each
 LISTED_FILES = 100_000
+#: an id with more copies than this is looked up without a shuffle; the list is shorter than the messages by this factor
+OFTEN = 100_000
 PLAIN_TABLES = (
     "people", "platform_identities", "sources", "themes", "channels", "person_name_changes", "channel_name_changes",
     "conversations", "member_events", "person_stats", "build_metadata",
@@ -89,12 +91,18 @@ def dedupe_messages(messages: DataFrame, order: str = "ord") -> DataFrame:
     """Of messages with the same id the earliest; equal times keep reading order.
 
     Which one that is comes from narrow columns alone; only ids that occur more than once
-    need the look-up, and no row is packed whole.
+    need the look-up, and no row is packed whole. Ids with very many copies are settled where
+    their rows are read, so that the copies of one id need not meet in one task.
     """
     keys = messages.groupBy("id").agg(F.count(F.lit(1)).alias("n_"), F.min(F.struct("ts", F.col(order).alias("o_"))).alias("first_"))
-    again = keys.filter("n_ > 1").select("id", F.col("first_.ts").alias("ts_"), F.col("first_.o_").alias("o_"))
     kept = F.col("ts_").isNull() | ((F.col("ts") == F.col("ts_")) & (F.col(order) == F.col("o_")))
-    return messages.join(again, "id", "left").filter(kept).select(*messages.columns)
+
+    def looked_up(rows: DataFrame, again: DataFrame, hint=lambda df: df) -> DataFrame:
+        first = again.select("id", F.col("first_.ts").alias("ts_"), F.col("first_.o_").alias("o_"))
+        return rows.join(hint(first), "id", "left").filter(kept).select(*messages.columns)
+
+    rest = looked_up(messages, keys.filter(F.col("n_") > OFTEN), F.broadcast)
+    return looked_up(rest, keys.filter((F.col("n_") > 1) & (F.col("n_") <= OFTEN)))
 
 
 Stage = Callable[[DataFrame, str], DataFrame]

@@ -223,3 +223,19 @@ def test_dedupe_keeps_the_earliest(spark):
     rows = [("a", datetime(2020, 1, 2), 1, "late"), ("a", datetime(2020, 1, 1), 3, "third"), ("a", datetime(2020, 1, 1), 2, "second"), ("b", datetime(2020, 1, 1), 1, "b")]
     df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, ord int, content string")
     assert {r.id: r.content for r in plan.dedupe_messages(df).collect()} == {"a": "second", "b": "b"}
+
+
+def test_dedupe_does_not_gather_the_copies_of_a_frequent_id(spark, monkeypatch):
+    monkeypatch.setattr(plan, "OFTEN", 3, raising=False)
+    at = lambda i: datetime(2020, 1, i)
+    rows = [("a", at(i), i, f"a{i}") for i in range(9, 0, -1)] + [("b", at(2), 0, "late"), ("b", at(1), 1, "b"), ("c", at(1), 0, "c")]
+    df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, ord int, content string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only a hint broadcasts
+    try:
+        left = plan.dedupe_messages(df)
+        assert sorted((r.id, r.content) for r in left.collect()) == [("a", "a1"), ("b", "b"), ("c", "c")]
+        steps = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in steps
