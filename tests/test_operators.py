@@ -19,6 +19,7 @@ from parlance.operators.links import attachment_kind, domain_examples, is_url_on
 from parlance.operators.numbering import numbered, numbered_in_time
 from parlance.operators.reactions import reaction_events, top_reacted_messages
 from parlance.operators.resolve import resolve_people, resolve_themes
+from parlance.operators.scope import scope
 from parlance.operators.search import query_grams, search_matches
 from parlance.operators.sessions import activity_sessions, assign_conversations, longest_gap, longest_session_span, with_start_message
 from parlance.operators.words import word_examples
@@ -515,3 +516,53 @@ def test_reactions_without_a_reactor_are_dealt_out(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 4_000 and max(sizes) < 2_000
+
+
+# -- what a task holds -------------------------------------------------------
+def test_words_are_counted_in_as_many_tasks_as_the_text_takes(spark, tmp_path, monkeypatch):
+    from parlance import session
+
+    df = spark.createDataFrame(
+        [(f"m{i}", i % 3, f"word{chr(97 + i % 5)} again again the") for i in range(200)], "id string, person_id int, content string"
+    )
+    df.repartition(4).write.parquet(f"{tmp_path}/a b")
+    rows = spark.read.parquet(f"{tmp_path}/a b")
+    monkeypatch.setattr(session, "SHARE", 100, raising=False)
+    counts = people.word_counts(small_chat(spark, [("1", 1, 1, T0, "x")]), rows)
+    assert counts.rdd.getNumPartitions() > 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.person_id, r.word): r.n for r in counts.collect()}
+    assert got[0, "again"] == 134 and sum(got.values()) == 600 and not any(w == "the" for _, w in got)
+
+
+def test_pieces_hand_out_open_words_of_people_who_can_go_on_only(spark, monkeypatch):
+    rows = [(f"m{i:03}", 1, i // 4, T0 + timedelta(minutes=i), f"one two three {'abcdefghij'[i % 10] * 4}") for i in range(80)]
+    kept = []
+    pin = diversity.pinned
+    monkeypatch.setattr(diversity, "pinned", lambda df: kept.append(pin(df)) or kept[-1])
+    got = {r.person_id: r.mtld for r in diversity.mtld(messages(spark, rows), 3).collect()}
+    said = {p: [w for r in rows if r[2] == p for w in r[4].split()] for p in range(20)}
+    assert got == pytest.approx({p: (walk(w) + walk(w[::-1])) / 2 for p, w in said.items()})
+    walked = next(df for df in kept if "open_words" in df.columns)
+    assert walked.filter("size(open_words) > 0").count() <= 2 * 2 * 3
+
+
+def test_statistics_of_the_people_shown_equal_those_of_all(spark):
+    rows = [("1", 1, 1, T0, "alpha shared alpha beta"), ("2", 1, 2, T0, "gamma shared gamma gamma"), ("3", 1, 3, T0, None)]
+    chat = small_chat(spark, rows)
+    shown = spark.createDataFrame([(2,), (3,)], "person_id int")
+    every = {r.person_id: r for r in people.person_stats(chat, Filters()).collect()}
+    some = {r.person_id: r for r in people.person_stats(chat, Filters(), shown).collect()}
+    assert some == {p: every[p] for p in (2, 3)} and some[2].exclusive_word_count == 1
+
+
+def test_messages_of_a_theme_are_not_dealt_out_by_channel(spark):
+    chat = small_chat(spark, [("1", 1, 1, T0, "alpha"), ("2", 2, 2, T0, "beta")], Config(themes=(ThemeRule("T", "", (("Discord: s", "c"),)),)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that only a hint broadcasts
+    try:
+        rows = scope(chat, Filters(themes=(1,)))
+        assert [r.id for r in rows.collect()] == ["1"]
+        steps = rows._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in steps
