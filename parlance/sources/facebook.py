@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.names import fold
 from ..functions.text import let, may_say, squeeze
 from ..functions.times import boundary_number, iso_text, micros, from_micros
-from ..session import pinned, written
+from ..session import written
 from .discord import first_group
 from .html import Node, arrow_schema, in_batches, outlined
 from .seeds import Export
@@ -392,10 +392,10 @@ def name_bindings(rows: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("raw_id", "parent"), "since").alias("b"), F.min("since").alias("since"))
         .select("chat", "key", "b.raw_id", "b.parent", "since")
     )
-    names = pinned(first)
+    names = written(first)  # its size is known later on
     while not names.filter(F.col("parent").isNotNull()).isEmpty():
         up = names.select("chat", F.col("key").alias("parent"), F.col("raw_id").alias("up_raw"), F.col("parent").alias("up_parent"))
-        names = pinned(
+        names = written(
             names.join(up, ["chat", "parent"], "left").select(
                 "chat", "key", F.coalesce("up_raw", "raw_id").alias("raw_id"), F.col("up_parent").alias("parent"), "since"
             )
@@ -415,51 +415,66 @@ def _bound(rows: DataFrame, bindings: DataFrame, name: str, out: str, step: int
 
 
 # -- folding and ordering ----------------------------------------------------
-def fold_emoji_messages(messages: DataFrame) -> DataFrame:
+def fold_emoji_messages(rows: DataFrame) -> DataFrame:
     """Counts emoji-only messages as reactions to the message before them, and spreads a minute.
 
-    Time stamps have whole minutes, files list newest first. Inside a minute rows
+    Of rows with equal author, minute and text the first one read counts. Time stamps have
+    whole minutes, files list newest first. Inside a minute rows
     are numbered backwards through the file and get that number as microseconds.
     An emoji message belongs to the last ordinary message before it: found inside
     its minute, else carried over from the nearest earlier minute of the chat, so
-    the only window across a chat runs over one row per minute.
+    the only window across a chat runs over one row per minute. A chat's very first
+    message belongs to none.
+
+    All of this looks at places and emojis only; texts travel once, by ``row``.
     """
-    minute = boundary_number(F.col("ts"), 60)
-    back = [F.desc("path"), F.desc("pos")]
-    inside = W.partitionBy("chat", "minute").orderBy(*back)
-    rows = messages.withColumn("minute", minute).withColumn("rn", F.row_number().over(inside))
-    start = rows.groupBy("chat").agg(F.min("minute").alias("first_minute"))
-    rows = rows.join(start, "chat").withColumn("emoji", squeeze(F.col("content")))
-    opening = (F.col("minute") == F.col("first_minute")) & (F.col("rn") == 1)
-    rows = rows.withColumn("anchors", opening | ~is_emoji_message(F.col("emoji")))
-    before = inside.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("near", F.last(F.when(F.col("anchors"), F.col("id")), ignorenulls=True).over(before))
-    minutes = rows.groupBy("chat", "minute").agg(
-        F.max_by(F.when(F.col("anchors"), F.col("id")), F.when(F.col("anchors"), F.col("rn"))).alias("closing")
+    text = squeeze(F.col("content"))
+    marks = (
+        rows.select(
+            "chat", F.unhex("id").alias("id"), boundary_number(F.col("ts"), 60).alias("minute"), "path", "pos", "row",
+            F.when(is_emoji_message(text), text).alias("emoji"),
+        )
+        .groupBy("chat", "id").agg(F.min(F.struct("path", "pos", "row", "minute", "emoji")).alias("m"))
+        .select("chat", "m.*").repartition("chat", "minute")
+    )
+    ordinary = F.col("emoji").isNull()
+    minutes = marks.groupBy("chat", "minute").agg(
+        F.min(F.when(ordinary, F.struct("path", "pos", "row"))).alias("last"), F.max(F.struct("path", "pos", "row")).alias("first")
+    )
+    line = W.partitionBy("chat").orderBy("minute")
+    minutes = minutes.withColumn("opens", F.lag("minute").over(line).isNull())
+    minutes = minutes.withColumn("closing", F.coalesce("last.row", F.when(F.col("opens"), F.col("first.row"))))
+    carried = minutes.select(
+        "chat", "minute", "opens", F.last("closing", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("far")
     )
-    line = W.partitionBy("chat").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
-    carried = minutes.select("chat", "minute", F.last("closing", ignorenulls=True).over(line).alias("far"))
-    rows = rows.join(carried, ["chat", "minute"]).withColumn(
-        "anchor", F.when(~F.col("anchors"), F.coalesce("near", "far"))
+    inside = W.partitionBy("chat", "minute").orderBy(F.desc("path"), F.desc("pos"))
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    near = F.last(F.when(ordinary, F.col("row")), ignorenulls=True).over(before)
+    placed = marks.select(
+        "chat", "minute", "row", "emoji", F.row_number().over(inside).alias("rn"), F.coalesce(near, F.first("row").over(before)).alias("opening"),
+        near.alias("near"),
     )
+    # the first of a chat's first minute is an anchor whatever it says
+    anchor = F.coalesce("near", F.when(F.col("opens"), F.col("opening")).otherwise(F.col("far")))
+    placed = placed.join(carried, ["chat", "minute"]).select("minute", "row", "emoji", "rn", F.when(~ordinary, anchor).alias("anchor"))
     # per anchor: how often each emoji came, and when it came last
     given = (
-        rows.filter(F.col("anchor").isNotNull())
-        .groupBy("chat", "anchor", "emoji")
+        placed.filter(F.col("anchor").isNotNull())
+        .groupBy("anchor", "emoji")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("minute", "rn")).alias("at"))
-        .groupBy("chat", "anchor")
+        .groupBy("anchor")
         .agg(F.sum("n").alias("more"), F.collect_list(F.struct("emoji", "n", "at")).alias("given"))
-        .select("chat", F.col("anchor").alias("id"), "more", "given")
+        .withColumnRenamed("anchor", "row")
     )
-    rows = rows.join(given, ["chat", "id"], "left")
+    found = placed.select("row", "rn", F.col("anchor").isNotNull().alias("folded"))
     spread = from_micros(micros(F.col("ts")) + F.col("rn") - 1)
-    return rows.select(
-        *[c for c in messages.columns if c not in ("ts", "reaction_count", "reaction_summary", "is_system")],
+    return rows.join(found, "row").join(given, "row", "left").select(
+        *[c for c in rows.columns if c not in ("ts", "reaction_count", "reaction_summary", "is_system")],
         spread.alias("ts"),
         (F.col("reaction_count") + F.coalesce("more", F.lit(0))).cast("int").alias("reaction_count"),
         F.when(F.col("given").isNotNull(), merged_summary(F.col("reaction_summary"), F.col("given")))
         .otherwise(F.col("reaction_summary")).alias("reaction_summary"),
-        (F.col("is_system") | F.col("anchor").isNotNull()).alias("is_system"),
+        (F.col("is_system") | F.col("folded")).alias("is_system"),
     )
 
 
@@ -584,6 +599,7 @@ def parse_rows(files: DataFrame) -> DataFrame:
         rename.alias("rename"), rename_actor.alias("rename_actor"),
         member_event(said).alias("member"), nickname_event(said).alias("nick"),
         F.sha1(F.concat_ws("\x1f", F.col("author"), iso_text(F.col("ts")), F.col("content"))).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -592,21 +608,13 @@ def read_facebook(files: DataFrame) -> Export:
     # parsed once, read by several consumers below
     rows = written(parse_rows(files))
     bindings = name_bindings(rows)
-    rows = _bound(rows, bindings, "author", "raw_id")
     ord_ = F.struct(F.lit(1).alias("rank"), "path", "pos")
-    # equal author, minute and text: the first one read counts
-    columns = [
-        "author", "raw_id", "content", "ts", "attachment_count", "attachment_preview", "reaction_count",
-        "reaction_summary", "is_system", "path", "pos", "source_name",
-    ]
-    unique = rows.groupBy("chat", "id").agg(F.min_by(F.struct(*columns), F.struct("path", "pos")).alias("m")).select(
-        "chat", "id", "m.*"
-    )
-    messages = fold_emoji_messages(unique)
     seen = F.array(F.struct(F.lit(0).alias("step"), F.col("author").alias("name")))
     people = _people(rows, bindings, seen)
-    names = people.select("chat", F.col("raw_id").alias("person_raw_id"), F.col("display_name").alias("person_name"))
-    messages = messages.withColumnRenamed("raw_id", "person_raw_id").join(names, ["chat", "person_raw_id"]).select(
+    names = people.select("chat", "raw_id", F.col("display_name").alias("person_name"))
+    known = bindings.join(names, ["chat", "raw_id"]).select("chat", F.col("key").alias("k_"), F.col("raw_id").alias("person_raw_id"), "person_name")
+    authors = rows.select("row", "chat", _key(F.col("author")).alias("k_")).join(known, ["chat", "k_"]).drop("chat", "k_")
+    messages = fold_emoji_messages(rows).join(authors, "row").select(
         F.lit("facebook").alias("platform"), "source_name", F.col("chat").alias("channel_raw_id"),
         F.col("chat").alias("channel_name"), "id", "person_raw_id", "person_name", "ts", "content",
         F.lit(None).cast("string").alias("reply_to_id"), "attachment_count", "attachment_preview", "reaction_count",
@@ -619,6 +627,7 @@ def read_facebook(files: DataFrame) -> Export:
     channels = chats.select(
         F.concat(F.lit("Facebook: "), "chat").alias("source_name"), F.col("chat").alias("raw_id"), F.col("chat").alias("name")
     )
+    rows = _bound(rows, bindings, "author", "raw_id")
     return Export(
         messages=messages,
         sources=sources,

@@ -1,6 +1,7 @@
 """What the readers of exports do with many files and many messages."""
 
 import random
+import re
 from datetime import datetime
 
 import pandas as pd
@@ -124,3 +125,15 @@ def test_notices_in_any_case_are_still_tried(spark):
     found = rows.orderBy("i").collect()
     assert [r.s for r in found] == [True, True, True, True, True, False, False]
     assert [r.m for r in found] == [True, False, True, True, False, False, False]
+
+
+def test_facebook_texts_are_shuffled_once(spark):
+    boxes = "".join(facebook_box(n % 7, f"{n % 3}<i>{'🔥' * (n % 2)}</i>") for n in range(60))
+    files = spark.createDataFrame([(f"file:/data/facebook/Chat_{c}/message_1.html", boxes.encode()) for c in "xy"], "path string, content binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    messages = facebook.read_facebook(files).messages
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = messages._jdf.queryExecution().explainString(mode)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) > 1 and sum("content#" in columns for columns in moved) == 1
