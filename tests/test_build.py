@@ -239,3 +239,16 @@ def test_dedupe_does_not_gather_the_copies_of_a_frequent_id(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in steps
+
+
+def test_name_changes_are_looked_for_once(spark, data, tmp_path, monkeypatch):
+    """Numbering reads them twice, and looking for them tries long patterns on all texts."""
+    read, tables = [], plan.name_change_tables
+
+    def kept(changes, *dims):
+        read.extend(changes.inputFiles())
+        return tables(changes, *dims)
+
+    monkeypatch.setattr(plan, "name_change_tables", kept)
+    plan.build(spark, data, str(tmp_path / "out"), CONFIG)
+    assert read and all("/_staged/name_changes/" in file for file in read)

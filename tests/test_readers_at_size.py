@@ -137,3 +137,17 @@ def test_facebook_texts_are_shuffled_once(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert len(moved) > 1 and sum("content#" in columns for columns in moved) == 1
+
+
+def test_discord_notices_in_any_case_are_still_tried(spark):
+    said = [
+        "Ann changed the ſerver icon.", "x\nAnn UPDATED THE GROUP AVATAR", "Ann added the reaction x", "Ann added emoji y.", "Ann set the Group Emoji to z", "poll_question_text",
+        "Ann created a poll: q", "Ann changed their nİcKname to Bo", "Ann CHANGED her nickname to Bo", "Ann changed the channel name: x", "Ann added a reaction", "the channel is open", "", None,
+    ]
+    text = F.col("t")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select(
+        discord.may_say(text, *discord.NOTICE_WORDS).alias("n"), discord._matches(text, discord.PHOTO + discord.EMOJI + discord.POLL).alias("notice"),
+        discord.may_say(text, *discord.RENAME_WORDS).alias("r"), discord._matches(text, discord.CHANNEL_RENAME + discord.NICKNAME).alias("rename"))
+    found = rows.collect()
+    assert [(r.n and r.notice, r.r and r.rename) for r in found] == [(r.notice, r.rename) for r in found]
+    assert sum(bool(r.notice) for r in found) == 7 and sum(bool(r.rename) for r in found) >= 2 and not all(r.n for r in found)
