@@ -240,6 +240,45 @@ def test_passages_whose_lines_stand_before_them_in_the_same_document(spark):
     assert sum(map(bool, need.values())) == 30 and not [d for d in need if not need[d] <= found[d]]
 
 
+def changed_copies(cases: int, pieces: bool):
+    """Passages of 100 words and copies of them with every twelfth word replaced; with ``pieces`` quarters of the passage also stand before and between."""
+    texts = []
+    for case in range(cases):
+        words, at = text_of(50_000 + case, 100).split(), 20 * case
+        copy = [f"new{case}x{i}" if i % 12 == case % 12 else w for i, w in enumerate(words)]
+        around = [text_of(60_000 + 30 * case + i, 30) for i in range(20)]
+        for i, shift in enumerate((0, 10)):
+            for quarter in range(4):
+                piece = " ".join(words[25 * quarter : 25 * quarter + 25]) if pieces else ""
+                texts.append((at + shift + quarter, f"{around[8 * i + quarter]} {piece} {around[8 * i + quarter + 4]}"))
+        texts.append((at + 8, f"{around[16]} {' '.join(words)} {around[17]}"))
+        texts.append((at + 18, f"{around[18]} {' '.join(copy)} {around[19]}"))
+    return texts
+
+
+def test_changed_copies_of_passages_whose_pieces_stand_elsewhere(spark):
+    alone, among = (found_words(spark, changed_copies(30, pieces)) for pieces in (False, True))
+    found = [sum(len(words[20 * case + 18] & set(range(30, 130))) >= 50 for case in range(30)) for words in (alone, among)]
+    assert found[0] == found[1] >= 25
+
+
+def test_documents_with_two_seeds_in_common_meet_in_blocks(spark, monkeypatch):
+    texts = changed_copies(6, True)
+    whole = found_words(spark, texts)
+    monkeypatch.setattr(chain_dedup, "BLOCK", 2)
+    assert found_words(spark, texts) == whole and any(whole.values())
+
+
+def test_agreement_of_many_rows_is_that_of_each():
+    pick = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (pick.integers(0, 2, pick.integers(0, 30)) for _ in range(2))
+        n = min(len(a), len(b))
+        same = np.append((a[:n] == b[:n]).astype(np.int8), np.full(40 - n, -1, np.int8))
+        length, matches, ended = chain_dedup.agreeing_rows(same[None])
+        assert ended[0] and (length[0], matches[0]) == chain_dedup.agreeing(a, b)
+
+
 def test_chains_prefer_the_ascending_matches():
     a, b = np.array([0, 6, 12, 18, 24, 30]), np.array([100, 106, 3, 118, 124, 130])
     best = chain_dedup.chains(a, b)[0]
